@@ -1,14 +1,27 @@
-"""Checks: one row per company and check, with PASS, FAIL or SKIP and a detail."""
+"""Checks: one row per company (and scenario) and check, with PASS, FAIL or SKIP and a detail.
+
+Every year-level comparison becomes one row of a stacked projection, so a whole panel costs a
+single aggregation over the model rows. A check with nothing comparable is SKIP, never PASS.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import dims
-from ..money import ABS_FLOOR, MONEY, REL_TOLERANCE, close
-from .ledger import by_year
+from ..money import ABS_FLOOR, MONEY, REL_TOLERANCE, SUBTOTAL_REL_TOLERANCE, close
+from . import forecast as FC
+from .ledger import by_year, col_of, signed_sum, slot_columns, stacked, with_prior
+
+ZERO = f"CAST(0 AS {MONEY})"
+
+
+def close_sql(a: str, b: str, rel: str = REL_TOLERANCE, floor: str = ABS_FLOOR) -> str:
+    return (
+        f"abs(({a}) - ({b})) <= greatest(greatest(abs({a}), abs({b})) * CAST('{rel}' AS DECIMAL(10,9)), CAST('{floor}' AS DECIMAL(10,9)))"
+    )
 
 
 def cash_rollforward_rows(wide: DataFrame, keys: Sequence[str] = ("company_id",)) -> DataFrame:
@@ -22,3 +35,124 @@ def cash_rollforward_rows(wide: DataFrame, keys: Sequence[str] = ("company_id",)
         .where(F.col("expected").isNotNull() & F.col("closing").isNotNull())
         .withColumn("agrees", close(F.col("expected"), F.col("closing")))
     )
+
+
+def comparisons(floor: str = ABS_FLOOR) -> list[tuple[str, str, str, str]]:
+    """(check, applies when, left, right) over a model row with prev_ columns."""
+    flows = "cf_cash_flow_from_operations + cf_cash_flow_from_investing + cf_cash_flow_from_financing"
+    hist, fore = "NOT is_forecast", "is_forecast"
+    out = [
+        ("historical balance sheet balances", hist, "bs_total_assets", "bs_total_liabilities + bs_total_equity"),
+        ("forecast balance sheet balances", fore, "bs_total_assets", "bs_total_liabilities + bs_total_equity"),
+        ("historical cash flow reconciles", f"{hist} AND n > 1", f"prev_bs_cash + {flows}", "bs_cash"),
+        ("net income linkage", "true", "is_net_income", "cf_net_income"),
+        ("PP&E schedule linkage", fore, "prev_bs_ppe_net - cf_capex - cf_depreciation_amortization - x_disposals", "bs_ppe_net"),
+        ("debt schedule linkage", fore, "prev_bs_debt + cf_debt_issuance + cf_debt_repayment", "bs_debt"),
+        ("retained earnings linkage", fore, "prev_bs_retained_earnings + is_net_income + cf_dividends", "bs_retained_earnings"),
+        ("ending cash linkage", fore, f"prev_bs_cash + {flows}", "bs_cash"),
+        ("FCFF matches the statements", fore, "x_fcff",
+         f"is_ebit - CAST(is_ebit * CAST(x_tax_rate AS DECIMAL(12,8)) AS {MONEY}) + cf_depreciation_amortization + cf_capex + cf_change_in_nwc"),
+    ]
+    for name, items in (("operations", dims.OPERATING_ITEMS), ("investing", dims.INVESTING_ITEMS), ("financing", dims.FINANCING_ITEMS)):
+        cols = [col_of("cashflow", i) for i in items]
+        total = " + ".join(f"coalesce({c}, {ZERO})" for c in cols)
+        out.append(("forecast cash flow subtotals", fore, f"cf_cash_flow_from_{name}", f"CASE WHEN coalesce({', '.join(cols)}) IS NOT NULL THEN {total} END"))
+    for t, (s, p, m) in dims.DERIVATIONS.items():
+        out.append(("reported subtotals reconcile", hist, f"rep_{t}", signed_sum(s, p, m)))
+    return out
+
+
+MODEL_CHECKS = tuple(dict.fromkeys(c[0] for c in comparisons())) + ("no forecast hardcodes", "WACC above terminal growth")
+
+
+def model_rows(filled: DataFrame, fc: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Historical and forecast years of each scenario in one wide table with prev_ columns.
+
+    filled: the filled wide ledger carrying rep_ columns (see ledger.fill_with_reported).
+    """
+    hist = filled.join(scenarios.select("company_id", "scenario_id"), "company_id").selectExpr(
+        "company_id", "scenario_id", "year", *slot_columns(), *[f"rep_{t}" for t in dims.DERIVATIONS],
+        "false AS is_forecast", f"{ZERO} AS x_disposals", f"CAST(NULL AS {MONEY}) AS x_tax_rate", f"CAST(NULL AS {MONEY}) AS x_fcff",
+    )
+    fore = FC.as_wide(
+        fc, *[f"CAST(NULL AS {MONEY}) AS rep_{t}" for t in dims.DERIVATIONS], "true AS is_forecast",
+        f"coalesce(ppe_disposals, {ZERO}) AS x_disposals", "tax_rate AS x_tax_rate", "fcff AS x_fcff",
+    )
+    both = hist.unionByName(fore)
+    return with_prior(both, ["bs_cash", "bs_ppe_net", "bs_debt", "bs_retained_earnings"], ("company_id", "scenario_id"))
+
+
+def panel(rows: DataFrame, keys: Sequence[str] = ("company_id", "scenario_id"), only: Sequence[str] | None = None) -> DataFrame:
+    """All year-level checks in one aggregation."""
+    items = []
+    for name, when, left, right in comparisons():
+        if only is not None and name not in only:
+            continue
+        rel = SUBTOTAL_REL_TOLERANCE if name == "reported subtotals reconcile" else REL_TOLERANCE
+        ok = close_sql(left, right, rel)
+        items.append((f"'{name}'", f"CASE WHEN {when} THEN {ok} END", f"CAST(({left}) - ({right}) AS {MONEY})"))
+    long = rows.selectExpr(*keys, "year", stacked(items, ("check_name", "ok", "difference")))
+    return summarise(long, keys)
+
+
+def summarise(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(check_name, ok, difference, year) rows to one status row per check."""
+    return (
+        long.groupBy(*keys, "check_name")
+        .agg(
+            F.count_if(F.col("ok").isNotNull()).alias("compared"),
+            F.count_if(~F.col("ok")).alias("broken"),
+            F.array_sort(F.collect_list(F.when(~F.col("ok"), F.concat("year", F.lit(": out by "), F.format_number("difference", 4))))).alias("breaks"),
+        )
+        .selectExpr(
+            *keys, "check_name",
+            "CASE WHEN compared = 0 THEN 'SKIP' WHEN broken > 0 THEN 'FAIL' ELSE 'PASS' END AS status",
+            "compared", "broken",
+            "CASE WHEN compared = 0 THEN 'nothing to compare' WHEN broken > 0 THEN array_join(breaks, '; ') ELSE concat(compared, ' compared') END AS detail",
+        )
+    )
+
+
+def hardcode_check(fc_long: DataFrame) -> DataFrame:
+    return fc_long.groupBy("company_id", "scenario_id").agg(F.count_if(F.col("origin") == "reported").alias("broken"), F.count("*").alias("compared")).selectExpr(
+        "company_id", "scenario_id", "'no forecast hardcodes' AS check_name",
+        "CASE WHEN broken > 0 THEN 'FAIL' ELSE 'PASS' END AS status", "compared", "broken", "concat(broken, ' hardcoded cells') AS detail",
+    )
+
+
+def wacc_check(valuation: DataFrame) -> DataFrame:
+    return valuation.selectExpr(
+        "company_id", "scenario_id", "'WACC above terminal growth' AS check_name",
+        "CASE WHEN wacc IS NULL OR terminal_growth IS NULL THEN 'SKIP' WHEN wacc > terminal_growth THEN 'PASS' ELSE 'FAIL' END AS status",
+        "CAST(wacc IS NOT NULL AND terminal_growth IS NOT NULL AS BIGINT) AS compared",
+        "CAST(coalesce(wacc <= terminal_growth, false) AS BIGINT) AS broken",
+        "concat('WACC ', round(wacc, 4), ' against g ', round(terminal_growth, 4)) AS detail",
+    )
+
+
+def all_checks(rows: DataFrame, fc_long: DataFrame, valuation: DataFrame) -> DataFrame:
+    """The 13-line model panel."""
+    return panel(rows).unionByName(hardcode_check(fc_long)).unionByName(wacc_check(valuation))
+
+
+def historical_checks(filled: DataFrame) -> DataFrame:
+    """Balance, cash, subtotals and linkage over the reported years only."""
+    d = with_prior(filled.selectExpr("*", "false AS is_forecast"), ["bs_cash"])
+    names = ("historical balance sheet balances", "historical cash flow reconciles", "net income linkage", "reported subtotals reconcile")
+    return panel(d, ("company_id",), names)
+
+
+def counts(results: DataFrame, *by: str) -> DataFrame:
+    """PASS, FAIL and SKIP counts with subtotals by the given columns."""
+    return results.rollup(*by).agg(
+        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("PASS", "FAIL", "SKIP")]
+    )
+
+
+def filtered(results: DataFrame, status: str | None = None, severity: Sequence[str] | None = None) -> DataFrame:
+    out = results
+    if status is not None:
+        out = out.where(F.col("status") == status)
+    if severity is not None:
+        out = out.where(F.col("severity").isin(list(severity)))
+    return out

@@ -87,9 +87,8 @@ def fold_revenue_and_ppe(drivers: DataFrame, opening: DataFrame) -> DataFrame:
     )
     joined = per.join(opening.where("size(missing_base) = 0").drop("missing_base"), "company_id")
     bs = [c for c in joined.columns if c.startswith("b_")]
-    return joined.selectExpr(*K, "last_actual", *bs, f"inline(arrays_zip(ys, {fold} AS f))").selectExpr(
-        *K, "last_actual", *bs, "ys.*", "f.*"
-    )
+    zipped = joined.selectExpr(*K, "last_actual", *bs, "ys", f"{fold} AS f")
+    return zipped.selectExpr(*K, "last_actual", *bs, "inline(arrays_zip(ys, f))").selectExpr(*K, "last_actual", *bs, "ys.*", "f.*")
 
 
 def build(drivers: DataFrame, opening: DataFrame) -> DataFrame:
@@ -227,13 +226,13 @@ def to_long(fc: DataFrame) -> DataFrame:
     return fc.selectExpr(*K, "year", stacked(rows, ("statement", "account", "value", "origin", "basis"))).where("value IS NOT NULL")
 
 
-def as_wide(fc: DataFrame) -> DataFrame:
+def as_wide(fc: DataFrame, *extra: str) -> DataFrame:
     """Forecast rows in the wide ledger shape, for the checks."""
     from .ledger import SLOTS, col_of
 
     have = {(s, a): e for s, a, e, _ in LINES}
     cols = [f"CAST({have.get((s, a), 'NULL')} AS {MONEY}) AS {col_of(s, a)}" for s, a in SLOTS]
-    return fc.selectExpr(*K, "year", *cols)
+    return fc.selectExpr(*K, "year", *cols, *extra)
 
 
 def segment_revenue(segments: DataFrame, growth: DataFrame) -> DataFrame:

@@ -75,6 +75,11 @@ def fill_derivable(wide: DataFrame) -> DataFrame:
     return out
 
 
+def fill_with_reported(wide: DataFrame) -> DataFrame:
+    """The filled wide ledger, keeping each subtotal as reported in rep_<target>."""
+    return fill_derivable(wide.selectExpr("*", *[f"{col_of(s, t)} AS rep_{t}" for t, (s, _, _) in dims.DERIVATIONS.items()]))
+
+
 def filled_ledger(ledger: DataFrame, keys: Sequence[str] = ("company_id",)) -> DataFrame:
     """Long ledger with derived subtotals added; origin tells which were computed, basis how."""
     subtotals = {(s, t) for t, (s, _, _) in dims.DERIVATIONS.items()}

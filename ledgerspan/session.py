@@ -18,6 +18,7 @@ def local_session(app: str = "ledgerspan", cpus: str | None = None) -> SparkSess
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LEDGERSPAN_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")

@@ -88,7 +88,7 @@ ASSUMPTIONS = (
     ("base", "opex_pct_revenue", None, "ratio", "operating_expenses / revenue", "Approved", "Historical Driver", "TRUE"),
     ("base", "depreciation_pct_beginning_ppe", None, "ratio", "0.10", "Approved", "Historical Driver", "TRUE"),
     ("base", "capex_pct_revenue", None, "ratio", "0.07", "Approved", "Analyst Assumption", "TRUE"),
-    ("base", "dso", None, "days", "accounts_receivable * 365 / revenue", "Approved", "Historical Driver", "TRUE"),
+    ("base", "dso", None, "days", "CAST(accounts_receivable AS DECIMAL(18,6)) * 365 / CAST(revenue AS DECIMAL(18,6))", "Approved", "Historical Driver", "TRUE"),
     ("base", "inventory_days", None, "days", "CAST(60 + company_id % 10 AS DECIMAL(12,8))", "Approved", "Historical Driver", "TRUE"),
     ("base", "dpo", None, "days", "CAST(50 AS DECIMAL(12,8))", "Approved", "Historical Driver", "TRUE"),
     ("base", "other_current_assets_pct_revenue", None, "ratio", "0.02", "Approved", "Analyst Assumption", "TRUE"),
@@ -113,7 +113,7 @@ ASSUMPTIONS = (
     ("upside", "capex_pct_revenue", None, "ratio", "0.07", "Approved", "Scenario Override", "TRUE"),
     ("downside", "revenue_growth", 2004, "ratio", "-0.02", "Approved", "Scenario Override", "TRUE"),
     ("downside", "opex_pct_revenue", None, "ratio", "operating_expenses / revenue + 0.03", "Approved", "Scenario Override", "TRUE"),
-    ("downside", "dso", None, "days", "accounts_receivable * 365 / revenue + 5", "Draft", "Scenario Override", "company_id % 17 = 3"),
+    ("downside", "dso", None, "days", "CAST(accounts_receivable AS DECIMAL(18,6)) * 365 / CAST(revenue AS DECIMAL(18,6)) + 5", "Draft", "Scenario Override", "company_id % 17 = 3"),
     ("stretch", "revenue_growth", 2002, "ratio", "0.15", "Approved", "Scenario Override", "TRUE"),
     ("stretch", "terminal_growth", None, "ratio", "0.03", "Approved", "Scenario Override", "TRUE"),
 )
