@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import dims
 from ..money import ABS_FLOOR, MONEY, REL_TOLERANCE, SUBTOTAL_REL_TOLERANCE, close
 from . import forecast as FC
-from .ledger import by_year, col_of, signed_sum, slot_columns, stacked, with_prior
+from . import valuation as V
+from .ledger import by_year, signed_sum, stacked, with_prior
 
 ZERO = f"CAST(0 AS {MONEY})"
 
@@ -37,73 +38,63 @@ def cash_rollforward_rows(wide: DataFrame, keys: Sequence[str] = ("company_id",)
     )
 
 
-def comparisons(floor: str = ABS_FLOOR) -> list[tuple[str, str, str, str]]:
-    """(check, applies when, left, right) over a model row with prev_ columns."""
-    flows = "cf_cash_flow_from_operations + cf_cash_flow_from_investing + cf_cash_flow_from_financing"
-    hist, fore = "NOT is_forecast", "is_forecast"
+_FLOWS = "cf_cash_flow_from_operations + cf_cash_flow_from_investing + cf_cash_flow_from_financing"
+
+
+def historical_comparisons() -> list[tuple[str, str, str, str]]:
+    """(check, left, right, relative tolerance) over a filled row with prev_bs_cash and rep_ columns."""
     out = [
-        ("historical balance sheet balances", hist, "bs_total_assets", "bs_total_liabilities + bs_total_equity"),
-        ("forecast balance sheet balances", fore, "bs_total_assets", "bs_total_liabilities + bs_total_equity"),
-        ("historical cash flow reconciles", f"{hist} AND n > 1", f"prev_bs_cash + {flows}", "bs_cash"),
-        ("net income linkage", "true", "is_net_income", "cf_net_income"),
-        ("PP&E schedule linkage", fore, "prev_bs_ppe_net - cf_capex - cf_depreciation_amortization - x_disposals", "bs_ppe_net"),
-        ("debt schedule linkage", fore, "prev_bs_debt + cf_debt_issuance + cf_debt_repayment", "bs_debt"),
-        ("retained earnings linkage", fore, "prev_bs_retained_earnings + is_net_income + cf_dividends", "bs_retained_earnings"),
-        ("ending cash linkage", fore, f"prev_bs_cash + {flows}", "bs_cash"),
-        ("FCFF matches the statements", fore, "x_fcff",
-         f"is_ebit - CAST(is_ebit * CAST(x_tax_rate AS DECIMAL(12,8)) AS {MONEY}) + cf_depreciation_amortization + cf_capex + cf_change_in_nwc"),
+        ("historical balance sheet balances", "bs_total_assets", "bs_total_liabilities + bs_total_equity", REL_TOLERANCE),
+        ("historical cash flow reconciles", f"prev_bs_cash + {_FLOWS}", "bs_cash", REL_TOLERANCE),
+        ("net income linkage", "is_net_income", "cf_net_income", REL_TOLERANCE),
     ]
-    for name, items in (("operations", dims.OPERATING_ITEMS), ("investing", dims.INVESTING_ITEMS), ("financing", dims.FINANCING_ITEMS)):
-        cols = [col_of("cashflow", i) for i in items]
-        total = " + ".join(f"coalesce({c}, {ZERO})" for c in cols)
-        out.append(("forecast cash flow subtotals", fore, f"cf_cash_flow_from_{name}", f"CASE WHEN coalesce({', '.join(cols)}) IS NOT NULL THEN {total} END"))
-    for t, (s, p, m) in dims.DERIVATIONS.items():
-        out.append(("reported subtotals reconcile", hist, f"rep_{t}", signed_sum(s, p, m)))
+    out += [("reported subtotals reconcile", f"rep_{t}", signed_sum(s, p, m), SUBTOTAL_REL_TOLERANCE) for t, (s, p, m) in dims.DERIVATIONS.items()]
     return out
 
 
-MODEL_CHECKS = tuple(dict.fromkeys(c[0] for c in comparisons())) + ("no forecast hardcodes", "WACC above terminal growth")
-
-
-def model_rows(filled: DataFrame, fc: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Historical and forecast years of each scenario in one wide table with prev_ columns.
-
-    filled: the filled wide ledger carrying rep_ columns (see ledger.fill_with_reported).
-    """
-    hist = filled.join(scenarios.select("company_id", "scenario_id"), "company_id").selectExpr(
-        "company_id", "scenario_id", "year", *slot_columns(), *[f"rep_{t}" for t in dims.DERIVATIONS],
-        "false AS is_forecast", f"{ZERO} AS x_disposals", f"CAST(NULL AS {MONEY}) AS x_tax_rate", f"CAST(NULL AS {MONEY}) AS x_fcff",
-    )
-    fore = FC.as_wide(
-        fc, *[f"CAST(NULL AS {MONEY}) AS rep_{t}" for t in dims.DERIVATIONS], "true AS is_forecast",
-        f"coalesce(ppe_disposals, {ZERO}) AS x_disposals", "tax_rate AS x_tax_rate", "fcff AS x_fcff",
-    )
-    both = hist.unionByName(fore)
-    return with_prior(both, ["bs_cash", "bs_ppe_net", "bs_debt", "bs_retained_earnings"], ("company_id", "scenario_id"))
+def forecast_comparisons() -> list[tuple[str, str, str, str]]:
+    """The same over forecast rows, whose prev_ columns start from the opening balances."""
+    sub = lambda *terms: " + ".join(terms)
+    return [
+        (n, a, b, REL_TOLERANCE)
+        for n, a, b in (
+            ("forecast balance sheet balances", "bs_total_assets", "bs_total_liabilities + bs_total_equity"),
+            ("net income linkage", "is_net_income", "cf_net_income"),
+            ("PP&E schedule linkage", "prev_ppe - cf_capex - cf_depreciation_amortization - x_disposals", "bs_ppe_net"),
+            ("debt schedule linkage", "prev_debt + cf_debt_issuance + cf_debt_repayment", "bs_debt"),
+            ("retained earnings linkage", "prev_re + is_net_income + cf_dividends", "bs_retained_earnings"),
+            ("ending cash linkage", f"prev_cash + {_FLOWS}", "bs_cash"),
+            ("FCFF matches the statements", "x_fcff",
+             f"is_ebit - CAST(is_ebit * CAST(x_tax_rate AS DECIMAL(12,8)) AS {MONEY}) + cf_depreciation_amortization + cf_capex + cf_change_in_nwc"),
+            ("forecast cash flow subtotals", "cf_cash_flow_from_operations", sub(*[f"coalesce(cf_{i}, {ZERO})" for i in dims.OPERATING_ITEMS])),
+            ("forecast cash flow subtotals", "cf_cash_flow_from_investing", sub(*[f"coalesce(cf_{i}, {ZERO})" for i in dims.INVESTING_ITEMS])),
+            ("forecast cash flow subtotals", "cf_cash_flow_from_financing", sub(*[f"coalesce(cf_{i}, {ZERO})" for i in dims.FINANCING_ITEMS])),
+        )
+    ]
 
 
-def panel(rows: DataFrame, keys: Sequence[str] = ("company_id", "scenario_id"), only: Sequence[str] | None = None) -> DataFrame:
-    """All year-level checks in one aggregation."""
-    items = []
-    for name, when, left, right in comparisons():
-        if only is not None and name not in only:
-            continue
-        rel = SUBTOTAL_REL_TOLERANCE if name == "reported subtotals reconcile" else REL_TOLERANCE
-        ok = close_sql(left, right, rel)
-        items.append((f"'{name}'", f"CASE WHEN {when} THEN {ok} END", f"CAST(({left}) - ({right}) AS {MONEY})"))
-    long = rows.selectExpr(*keys, "year", stacked(items, ("check_name", "ok", "difference")))
-    return summarise(long, keys)
+MODEL_CHECKS = tuple(dict.fromkeys(c[0] for c in historical_comparisons() + forecast_comparisons())) + ("no forecast hardcodes", "WACC above terminal growth")
 
 
-def summarise(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(check_name, ok, difference, year) rows to one status row per check."""
+def tally(rows: DataFrame, items: Sequence[tuple[str, str, str, str]], keys: Sequence[str], extra: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+    """Compared and broken counts per check, with the breaks listed by year."""
+    cells = list(extra) + [(f"'{n}'", close_sql(a, b, rel), f"CAST(({a}) - ({b}) AS {MONEY})") for n, a, b, rel in items]
     return (
-        long.groupBy(*keys, "check_name")
+        rows.selectExpr(*keys, "year", stacked(cells, ("check_name", "ok", "difference")))
+        .groupBy(*keys, "check_name")
         .agg(
             F.count_if(F.col("ok").isNotNull()).alias("compared"),
             F.count_if(~F.col("ok")).alias("broken"),
-            F.array_sort(F.collect_list(F.when(~F.col("ok"), F.concat("year", F.lit(": out by "), F.format_number("difference", 4))))).alias("breaks"),
+            F.collect_list(F.when(~F.col("ok"), F.concat("year", F.lit(": out by "), F.format_number("difference", 4)))).alias("breaks"),
         )
+    )
+
+
+def verdict(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """PASS, FAIL or SKIP per check; a check split over several tallies is added up first."""
+    return (
+        tallies.groupBy(*keys, "check_name")
+        .agg(F.sum("compared").alias("compared"), F.sum("broken").alias("broken"), F.array_sort(F.flatten(F.collect_list("breaks"))).alias("breaks"))
         .selectExpr(
             *keys, "check_name",
             "CASE WHEN compared = 0 THEN 'SKIP' WHEN broken > 0 THEN 'FAIL' ELSE 'PASS' END AS status",
@@ -113,33 +104,44 @@ def summarise(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def hardcode_check(fc_long: DataFrame) -> DataFrame:
-    return fc_long.groupBy("company_id", "scenario_id").agg(F.count_if(F.col("origin") == "reported").alias("broken"), F.count("*").alias("compared")).selectExpr(
-        "company_id", "scenario_id", "'no forecast hardcodes' AS check_name",
-        "CASE WHEN broken > 0 THEN 'FAIL' ELSE 'PASS' END AS status", "compared", "broken", "concat(broken, ' hardcoded cells') AS detail",
-    )
+def historical_tally(filled: DataFrame) -> DataFrame:
+    return tally(with_prior(filled, ["bs_cash"]), historical_comparisons(), ("company_id",))
 
 
-def wacc_check(valuation: DataFrame) -> DataFrame:
-    return valuation.selectExpr(
-        "company_id", "scenario_id", "'WACC above terminal growth' AS check_name",
-        "CASE WHEN wacc IS NULL OR terminal_growth IS NULL THEN 'SKIP' WHEN wacc > terminal_growth THEN 'PASS' ELSE 'FAIL' END AS status",
-        "CAST(wacc IS NOT NULL AND terminal_growth IS NOT NULL AS BIGINT) AS compared",
-        "CAST(coalesce(wacc <= terminal_growth, false) AS BIGINT) AS broken",
-        "concat('WACC ', round(wacc, 4), ' against g ', round(terminal_growth, 4)) AS detail",
+def historical_checks(filled: DataFrame) -> DataFrame:
+    """Balance, cash, subtotals and linkage over the reported years only."""
+    return verdict(historical_tally(filled), ("company_id",))
+
+
+def forecast_tally(fc: DataFrame) -> DataFrame:
+    """Every forecast-year check of a scenario from its own rows, in one aggregation."""
+    over = "OVER (PARTITION BY company_id, scenario_id ORDER BY year)"
+    prev = [f"coalesce(lag({c}) {over}, b_{c}) AS prev_{n}" for c, n in (("cash", "cash"), ("ppe_net", "ppe"), ("debt", "debt"), ("retained_earnings", "re"))]
+    driven = f"forall(array({', '.join(b for *_, b in FC.LINES)}), b -> trim(b) <> '') AS x_driven"
+    first = "year = last_actual + 1"
+    rows = FC.as_wide(
+        V.cost_of_capital(fc), *prev, f"coalesce(ppe_disposals, {ZERO}) AS x_disposals", "tax_rate AS x_tax_rate", "fcff AS x_fcff", driven,
+        f"CASE WHEN {first} THEN wacc END AS x_wacc", f"CASE WHEN {first} THEN m_terminal_growth END AS x_growth",
     )
+    extra = [
+        ("'no forecast hardcodes'", "coalesce(x_driven, false)", ZERO),
+        ("'WACC above terminal growth'", "x_wacc > x_growth", f"CAST(x_wacc - x_growth AS {MONEY})"),
+    ]
+    return tally(rows, forecast_comparisons(), FC.K, extra)
 
 
-def all_checks(rows: DataFrame, fc_long: DataFrame, valuation: DataFrame) -> DataFrame:
-    """The 13-line model panel."""
-    return panel(rows).unionByName(hardcode_check(fc_long)).unionByName(wacc_check(valuation))
+def hardcode_check(fc_long: DataFrame) -> DataFrame:
+    return fc_long.groupBy("company_id", "scenario_id").agg(F.count_if(F.col("origin") == "reported").alias("broken"), F.count("*").alias("compared")).selectExpr(
+        "company_id", "scenario_id", "'no forecast hardcodes' AS check_name",
+        "CASE WHEN broken > 0 THEN 'FAIL' ELSE 'PASS' END AS status", "compared", "broken", "concat(broken, ' hardcoded cells') AS detail",
+    )
 
 
-def historical_checks(filled: DataFrame) -> DataFrame:
-    """Balance, cash, subtotals and linkage over the reported years only."""
-    d = with_prior(filled.selectExpr("*", "false AS is_forecast"), ["bs_cash"])
-    names = ("historical balance sheet balances", "historical cash flow reconciles", "net income linkage", "reported subtotals reconcile")
-    return panel(d, ("company_id",), names)
+def all_checks(filled: DataFrame, fc: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The 13-line model panel of every scenario that was forecast."""
+    scen = prepared.where("blocked_by IS NULL").select(*FC.K)
+    hist = scen.join(historical_tally(filled), "company_id")
+    return verdict(hist.unionByName(forecast_tally(fc)), FC.K)
 
 
 def counts(results: DataFrame, *by: str) -> DataFrame:

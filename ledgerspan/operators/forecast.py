@@ -49,32 +49,47 @@ def forecast_periods(wide: DataFrame, count: int = 5) -> DataFrame:
     )
 
 
-def status(resolved: DataFrame, scenarios: DataFrame, opening: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Whether each scenario may calculate, and what blocks it."""
-    g = S.gate(resolved, scenarios, years).groupBy(*K).agg(
-        F.array_sort(F.collect_set(F.concat_ws(": ", "choice", "problem"))).alias("problems")
+_DRIVER_COLS = [d[0] for d in dims.DRIVERS]
+MARKET_CODES = [m[0] for m in dims.MARKET_INPUTS]
+
+
+def prepare(resolved_all: DataFrame, scenarios: DataFrame, opening: DataFrame, years: Sequence[int]) -> DataFrame:
+    """One row per company and scenario with its opening balances, the array of its forecast years,
+    its market inputs, and what blocks it. Everything a scenario needs meets in one company-keyed join."""
+    state = S.driver_state(resolved_all).selectExpr("*", f"{S.gate_problems()} AS problems")
+    cell = ", ".join(["year"] + _DRIVER_COLS + ["tax_source"])
+    market = ", ".join(f"m_{c}" for c in MARKET_CODES)
+    bad = ", ".join(f"CASE WHEN bad_{c} IS NOT NULL THEN '{c}' END" for c in MARKET_CODES)
+    absent = ", ".join(f"CASE WHEN m_{c} IS NULL THEN '{c}' END" for c, _, req, _ in sorted(dims.MARKET_INPUTS) if req)
+    per = state.groupBy(*K).agg(
+        F.expr(f"array_sort(collect_list(CASE WHEN year <> {S.NO_PERIOD} THEN struct({cell}) END)) AS ys"),
+        F.expr(f"array_sort(array_distinct(flatten(collect_list(CASE WHEN year <> {S.NO_PERIOD} THEN transform(problems, p -> concat(p.choice, ': ', p.problem)) END)))) AS problems"),
+        F.expr(f"max(CASE WHEN year = {S.NO_PERIOD} THEN struct({market}) END) AS mk"),
+        F.expr(f"max(CASE WHEN year = {S.NO_PERIOD} THEN array_compact(array({bad})) END) AS unusable"),
+        F.expr(f"max(CASE WHEN year = {S.NO_PERIOD} THEN array_compact(array({absent})) END) AS missing_inputs"),
     )
-    return (
-        scenarios.select(*K)
-        .join(g, list(K), "left")
-        .join(opening.select("company_id", "missing_base"), "company_id", "left")
-        .selectExpr(
-            *K,
-            "CASE WHEN missing_base IS NULL THEN 'no actual period'"
-            " WHEN size(problems) > 0 THEN concat('drivers: ', array_join(problems, '; '))"
-            " WHEN size(missing_base) > 0 THEN concat('opening balances: ', array_join(missing_base, ', ')) END AS blocked_by",
-        )
-        .withColumn("may_calculate", F.col("blocked_by").isNull())
+    step = f"CAST(s.debt + coalesce(y.debt_issuance, {ZERO}) - coalesce(y.debt_repayment, {ZERO}) AS {MONEY})"
+    lowest_debt = (
+        f"aggregate(ys, named_struct('debt', b_debt, 'low', b_debt), (s, y) -> named_struct('debt', {step}, 'low', least(s.low, {step})), s -> s.low)"
+    )
+    known = scenarios.select(*K).join(per, list(K), "left").join(opening, "company_id", "left")
+    return known.selectExpr(
+        "*",
+        "CASE WHEN missing_base IS NULL THEN 'no actual period'"
+        f" WHEN coalesce(size(ys), 0) < {len(years)} THEN 'drivers: no driver for some year'"
+        " WHEN size(problems) > 0 THEN concat('drivers: ', array_join(problems, '; '))"
+        " WHEN size(missing_base) > 0 THEN concat('opening balances: ', array_join(missing_base, ', '))"
+        f" WHEN {lowest_debt} < 0 THEN 'debt: more is repaid than is outstanding' END AS blocked_by",
     )
 
 
-_DRIVER_COLS = [d[0] for d in dims.DRIVERS]
+def status(prepared: DataFrame) -> DataFrame:
+    """Whether each scenario may calculate, and what blocks it."""
+    return prepared.selectExpr(*K, "blocked_by", "blocked_by IS NULL AS may_calculate", "missing_inputs", "unusable")
 
 
-def fold_revenue_and_ppe(drivers: DataFrame, opening: DataFrame) -> DataFrame:
+def fold_revenue_and_ppe(prepared: DataFrame) -> DataFrame:
     """Rows per company, scenario and year with revenue, CapEx, depreciation and PP&E."""
-    fields = ", ".join(["year"] + _DRIVER_COLS + ["tax_source_type"])
-    per = drivers.groupBy(*K).agg(F.expr(f"array_sort(collect_list(struct({fields})))").alias("ys"))
     rev = mul("s.rev", "1 + y.revenue_growth")
     capex = f"coalesce(y.capex_amount, {mul(rev, 'y.capex_pct_revenue')})"
     dep = mul("s.ppe", "y.depreciation_pct_beginning_ppe")
@@ -85,18 +100,23 @@ def fold_revenue_and_ppe(drivers: DataFrame, opening: DataFrame) -> DataFrame:
         f"aggregate(ys, named_struct('rev', b_revenue, 'ppe', b_ppe_net, 'out', {empty}),"
         f" (s, y) -> named_struct('rev', {rev}, 'ppe', {end}, 'out', concat(s.out, array({cell}))), s -> s.out)"
     )
-    joined = per.join(opening.where("size(missing_base) = 0").drop("missing_base"), "company_id")
-    bs = [c for c in joined.columns if c.startswith("b_")]
-    zipped = joined.selectExpr(*K, "last_actual", *bs, "ys", f"{fold} AS f")
-    return zipped.selectExpr(*K, "last_actual", *bs, "inline(arrays_zip(ys, f))").selectExpr(*K, "last_actual", *bs, "ys.*", "f.*")
+    ok = prepared.where("blocked_by IS NULL")
+    bs = [c for c in ok.columns if c.startswith("b_")]
+    keep = [*K, "last_actual", *bs, "mk", "unusable", "element_at(ys, -1).tax_rate AS final_tax_rate"]
+    names = [*K, "last_actual", *bs, "mk", "unusable", "final_tax_rate"]
+    return (
+        ok.selectExpr(*keep, "ys", f"{fold} AS f")
+        .selectExpr(*names, "inline(arrays_zip(ys, f))")
+        .selectExpr(*names, "ys.*", "f.*")
+    )
 
 
-def build(drivers: DataFrame, opening: DataFrame) -> DataFrame:
+def build(prepared: DataFrame) -> DataFrame:
     """The full forecast, one row per company, scenario and year, one column per line."""
     w = "OVER (PARTITION BY company_id, scenario_id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     lagw = "OVER (PARTITION BY company_id, scenario_id ORDER BY year)"
     opt = lambda c: f"coalesce({c}, {ZERO})"
-    d = fold_revenue_and_ppe(drivers, opening)
+    d = fold_revenue_and_ppe(prepared)
     d = d.selectExpr(
         "*",
         f"coalesce(cogs_amount, {mul('revenue', 'cogs_pct_revenue')}) AS cogs",
@@ -145,7 +165,6 @@ def build(drivers: DataFrame, opening: DataFrame) -> DataFrame:
         f"CAST(b_other_noncurrent_assets - sum({opt('other_investing')}) {w} AS {MONEY}) AS other_noncurrent_assets",
         f"CAST(b_other_noncurrent_liabilities + sum({opt('other_operating')} + {opt('other_financing')}) {w} AS {MONEY}) AS other_noncurrent_liabilities",
         *[f"b_{a} AS {a}" for a in CARRIED],
-        "min(debt) OVER (PARTITION BY company_id, scenario_id) AS lowest_debt",
     )
     total = lambda section: " + ".join(f"coalesce({a}, {ZERO})" for a in section)
     return d.selectExpr(
@@ -154,9 +173,9 @@ def build(drivers: DataFrame, opening: DataFrame) -> DataFrame:
         f"CAST({total(dims.LIABILITIES)} AS {MONEY}) AS total_liabilities",
         f"CAST({total(dims.EQUITY)} AS {MONEY}) AS total_equity",
         f"CAST({mul('ebit', '1 - tax_rate')} + depreciation - capex - change_in_nwc AS {MONEY}) AS fcff",
-        "CASE WHEN tax_source_type = 'Historical Driver' THEN 'historical_effective'"
-        " WHEN tax_source_type IN ('Company Filing', 'Company Guidance') THEN 'statutory' ELSE 'normalized_effective' END AS tax_basis",
-    ).where("lowest_debt >= 0")
+        f"CASE WHEN tax_source = {S.SOURCE_TYPES.index('Historical Driver') + 1} THEN 'historical_effective'"
+        f" WHEN tax_source IN ({S.SOURCE_TYPES.index('Company Filing') + 1}, {S.SOURCE_TYPES.index('Company Guidance') + 1}) THEN 'statutory' ELSE 'normalized_effective' END AS tax_basis",
+    )
 
 
 def method_violations(drivers: DataFrame) -> DataFrame:

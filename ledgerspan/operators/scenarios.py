@@ -57,7 +57,7 @@ def tree_violations(scenarios: DataFrame) -> DataFrame:
 
 
 def years_array(years: Sequence[int]) -> str:
-    return "array(" + ", ".join(map(str, years)) + ")"
+    return f"CAST(array({', '.join(map(str, years))}) AS ARRAY<INT>)"
 
 
 def seen_by(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
@@ -72,19 +72,23 @@ def seen_by(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
     )
 
 
-def resolve(scenarios: DataFrame, assumptions: DataFrame, years: Sequence[int]) -> DataFrame:
-    """The value every scenario uses for every code and year.
+NO_PERIOD = 0  # the year under which a resolution with no period given is kept
+
+
+def resolve_all(scenarios: DataFrame, assumptions: DataFrame, years: Sequence[int]) -> DataFrame:
+    """The value every scenario uses for every code, per year and for no period given.
 
     A value scoped to the year wins over an all-years one anywhere on the chain; among equals the
-    nearer scenario wins, then the earlier row.
+    nearer scenario wins, then the earlier row. With no period, the nearer scenario's first row wins.
     """
     ys = years_array(years)
     cands = (
         seen_by(scenarios, assumptions)
+        .selectExpr("*", f"explode(array_union(array({NO_PERIOD}), CASE WHEN period IS NULL THEN {ys} ELSE array_intersect(array(period), {ys}) END)) AS year")
         .selectExpr(
-            "company_id", "scenario_id", "code", f"explode(CASE WHEN period IS NULL THEN {ys} ELSE array_intersect(array(period), {ys}) END) AS year",
-            "struct(period IS NULL AS general, depth, seq) AS pref",
-            "struct(value, unit, status, source_type, owner_id AS supplied_by, depth) AS pick",
+            "company_id", "scenario_id", "code", "year",
+            f"struct(year <> {NO_PERIOD} AND period IS NULL AS general, depth, seq) AS pref",
+            "struct(value, unit, status, source_type, owner_id AS supplied_by, depth, period) AS pick",
         )
     )
     return (
@@ -94,14 +98,12 @@ def resolve(scenarios: DataFrame, assumptions: DataFrame, years: Sequence[int])
     )
 
 
+def resolve(scenarios: DataFrame, assumptions: DataFrame, years: Sequence[int]) -> DataFrame:
+    return resolve_all(scenarios, assumptions, years).where(F.col("year") != NO_PERIOD)
+
+
 def resolve_any_period(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
-    """Resolution with no period given: the nearest scenario's first row wins."""
-    return (
-        seen_by(scenarios, assumptions)
-        .groupBy("company_id", "scenario_id", "code")
-        .agg(F.min_by(F.struct("value", "unit", "status", "source_type", F.col("owner_id").alias("supplied_by"), "depth", "period"), F.struct("depth", "seq")).alias("pick"))
-        .select("company_id", "scenario_id", "code", "pick.*")
-    )
+    return resolve_all(scenarios, assumptions, ()).where(F.col("year") == NO_PERIOD).drop("year")
 
 
 def differences(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
@@ -117,28 +119,44 @@ def differences(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
     )
 
 
+_STATUS_NAMES = "array(" + ", ".join(f"'{x}'" for x in dims.STATUSES) + ")"
+_STATUS_NO = "array_position(" + _STATUS_NAMES + ", status)"
+_BLOCKING_NO = "(" + ", ".join(str(dims.STATUSES.index(x) + 1) for x in dims.BLOCKING_STATUSES) + ")"
+SOURCE_TYPES = tuple(dims.ENGINE_BASIS)
+_SOURCE_NO = "array_position(array(" + ", ".join(f"'{x}'" for x in SOURCE_TYPES) + "), source_type)"
+
+
+def gate_problems() -> str:
+    """SQL array of (choice, problem) over st_ status columns."""
+    out = []
+    for g in dims.required_choices():
+        supplied = " + ".join(f"CAST(st_{c} IS NOT NULL AS INT)" for c in g)
+        blocked = "coalesce(" + ", ".join(f"CASE WHEN st_{c} IN {_BLOCKING_NO} THEN concat('{c} is ', {_STATUS_NAMES}[st_{c} - 1]) END" for c in g) + ")"
+        out.append(
+            f"named_struct('choice', '{'|'.join(g)}', 'problem', CASE WHEN {supplied} = 0 THEN 'missing' WHEN {supplied} > 1 THEN 'ambiguous' ELSE {blocked} END)"
+        )
+    return f"filter(array({', '.join(out)}), p -> p.problem IS NOT NULL)"
+
+
+def driver_state(resolved: DataFrame) -> DataFrame:
+    """One row per company, scenario and year: usable drivers, status numbers of the required ones
+    (st_), usable market inputs (m_) and what is wrong with the others (bad_). Statuses are kept as
+    numbers so the aggregation stays a hash aggregation."""
+    ok = f"{_STATUS_NO} NOT IN {_BLOCKING_NO}"
+    aggs = [f"max(CASE WHEN code = '{d[0]}' AND {ok} THEN value END) AS {d[0]}" for d in dims.DRIVERS]
+    aggs += [f"max(CASE WHEN code = '{c}' THEN CAST({_STATUS_NO} AS INT) END) AS st_{c}" for g in dims.required_choices() for c in g]
+    aggs += [f"max(CASE WHEN code = '{c}' AND {ok} AND unit = '{u}' THEN value END) AS m_{c}" for c, u, _, _ in dims.MARKET_INPUTS]
+    aggs += [f"max(CASE WHEN code = '{c}' AND NOT ({ok} AND unit = '{u}') THEN CAST({_STATUS_NO} AS INT) END) AS bad_{c}" for c, u, _, _ in dims.MARKET_INPUTS]
+    aggs += [f"max(CASE WHEN code = 'tax_rate' AND {ok} THEN CAST({_SOURCE_NO} AS INT) END) AS tax_source"]
+    return resolved.groupBy("company_id", "scenario_id", "year").agg(*map(F.expr, aggs))
+
+
 def gate(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int]) -> DataFrame:
     """Per scenario and year, required choices with none, several, or an unusable answer."""
-    choices = dims.required_choices()
-    picks = [
-        (f"'{'|'.join(g)}'", f"size(filter(array({', '.join(repr(c) for c in g)}), c -> states[c] IS NOT NULL))",
-         f"array_compact(transform(array({', '.join(repr(c) for c in g)}), c -> CASE WHEN states[c] IN {dims.BLOCKING_STATUSES} THEN concat(c, ' is ', states[c]) END))")
-        for g in choices
-    ]
-    codes = sorted({c for g in choices for c in g})
-    states = resolved.where(F.col("code").isin(codes)).groupBy("company_id", "scenario_id", "year").agg(
-        F.map_from_entries(F.collect_list(F.struct("code", "status"))).alias("states")
-    )
     axis = scenarios.selectExpr("company_id", "scenario_id", f"explode({years_array(years)}) AS year")
     return (
-        axis.join(states, ["company_id", "scenario_id", "year"], "left")
-        .withColumn("states", F.expr("coalesce(states, cast(map() as map<string,string>))"))
-        .selectExpr("company_id", "scenario_id", "year", stacked(picks, ("choice", "supplied", "blocked")))
-        .selectExpr(
-            "company_id", "scenario_id", "year", "choice",
-            "CASE WHEN supplied = 0 THEN 'missing' WHEN supplied > 1 THEN 'ambiguous' WHEN size(blocked) > 0 THEN blocked[0] END AS problem",
-        )
-        .where("problem IS NOT NULL")
+        axis.join(driver_state(resolved), ["company_id", "scenario_id", "year"], "left")
+        .selectExpr("company_id", "scenario_id", "year", f"inline({gate_problems()})")
     )
 
 
@@ -159,11 +177,7 @@ def usable(resolved: DataFrame) -> DataFrame:
 
 def driver_wide(resolved: DataFrame) -> DataFrame:
     """Usable driver values as one column per code, per company, scenario and year."""
-    codes = [d[0] for d in dims.DRIVERS]
-    return usable(resolved).groupBy("company_id", "scenario_id", "year").agg(
-        *[F.expr(f"max(CASE WHEN code = '{c}' THEN value END)").alias(c) for c in codes],
-        F.expr("max(CASE WHEN code = 'tax_rate' THEN source_type END)").alias("tax_source_type"),
-    )
+    return driver_state(resolved).select("company_id", "scenario_id", "year", *[d[0] for d in dims.DRIVERS], "tax_source")
 
 
 def driver_lookup(resolved: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -18,35 +18,7 @@ NARROW_HEADROOM = "0.02"
 ZERO = f"CAST(0 AS {MONEY})"
 
 
-def market_inputs(resolved_any: DataFrame) -> DataFrame:
-    """Usable, right-unit market and bridge inputs as columns, plus what is missing or unusable."""
-    units = {c: u for c, u, _, _ in dims.MARKET_INPUTS}
-    rows = resolved_any.where(F.col("code").isin(list(units)))
-    expected = "CASE code " + " ".join(f"WHEN '{c}' THEN '{u}'" for c, u in units.items()) + " END"
-    rows = rows.selectExpr(
-        *K, "code", "value",
-        f"CASE WHEN status IN {dims.BLOCKING_STATUSES} THEN concat(code, ' is ', status) WHEN unit <> {expected} THEN concat(code, ' declared in ', unit) END AS problem",
-    )
-    return rows.groupBy(*K).agg(
-        *[F.expr(f"max(CASE WHEN code = '{c}' AND problem IS NULL THEN value END)").alias(f"m_{c}") for c in units],
-        F.expr("array_sort(collect_set(problem))").alias("unusable"),
-        F.expr("collect_set(code)").alias("carried"),
-    )
-
-
-def missing_inputs(scenarios: DataFrame, resolved_any: DataFrame) -> DataFrame:
-    """Per scenario, required valuation inputs that are absent, unresolved or in the wrong unit."""
-    required = [c for c, _, req, _ in dims.MARKET_INPUTS if req]
-    m = market_inputs(resolved_any)
-    lst = "array(" + ", ".join(f"'{c}'" for c in sorted(required)) + ")"
-    return scenarios.select(*K).join(m, list(K), "left").selectExpr(
-        *K,
-        f"array_except({lst}, coalesce(carried, CAST(array() AS ARRAY<STRING>))) AS missing",
-        "coalesce(unusable, CAST(array() AS ARRAY<STRING>)) AS unusable",
-    )
-
-
-def timing(years: DataFrame, convention: str = "year_end", valuation_date: str | None = None, fiscal_year_end: tuple[int, int] = (12, 31)) -> str:
+def timing(convention: str = "year_end", valuation_date: str | None = None, fiscal_year_end: tuple[int, int] = (12, 31)) -> str:
     """SQL for the time fraction of each year; `n` is its ordinal."""
     if convention == "year_end":
         return "CAST(n AS DECIMAL(20,16))"
@@ -76,17 +48,29 @@ def factor(rate: str, t: str, whole: bool) -> str:
     return f"CAST(1 / {power} AS {FACTOR})"
 
 
-def cost_of_capital(fc: DataFrame, market: DataFrame) -> DataFrame:
-    """CAPM, after-tax debt, weights and WACC. The tax rate is the final forecast year's."""
-    last = fc.groupBy(*K).agg(F.max_by("tax_rate", "year").alias("tax_rate"))
-    j = last.join(market, list(K))
-    return j.selectExpr(
-        "*",
-        f"CAST(CAST(m_risk_free_rate AS {R}) + CAST(m_beta AS {R}) * CAST(m_equity_risk_premium AS {R}) AS {W}) AS cost_of_equity",
-        f"CAST(CAST(m_pretax_cost_of_debt AS {R}) * (1 - CAST(tax_rate AS {R})) AS {W}) AS after_tax_debt",
-        f"CAST(try_divide(m_market_value_equity, m_market_value_equity + m_market_value_debt) AS {FACTOR}) AS weight_equity",
-        f"CAST(try_divide(m_market_value_debt, m_market_value_equity + m_market_value_debt) AS {FACTOR}) AS weight_debt",
-    ).selectExpr("*", f"CAST(weight_equity * cost_of_equity + weight_debt * after_tax_debt AS {W}) AS wacc")
+MARKET = [c for c, *_ in dims.MARKET_INPUTS]
+_COC = ["cost_of_equity", "after_tax_debt", "weight_equity", "weight_debt", "wacc"]
+
+
+def cost_of_capital(fc: DataFrame) -> DataFrame:
+    """Adds CAPM, after-tax debt, weights and WACC to forecast rows, from the inputs each row carries.
+    The tax rate is the final forecast year's."""
+    return (
+        fc.selectExpr("* EXCEPT (mk)", *[f"mk.m_{c} AS m_{c}" for c in MARKET])
+        .selectExpr(
+            "*",
+            f"CAST(CAST(m_risk_free_rate AS {R}) + CAST(m_beta AS {R}) * CAST(m_equity_risk_premium AS {R}) AS {W}) AS cost_of_equity",
+            f"CAST(CAST(m_pretax_cost_of_debt AS {R}) * (1 - CAST(final_tax_rate AS {R})) AS {W}) AS after_tax_debt",
+            f"CAST(try_divide(m_market_value_equity, m_market_value_equity + m_market_value_debt) AS {FACTOR}) AS weight_equity",
+            f"CAST(try_divide(m_market_value_debt, m_market_value_equity + m_market_value_debt) AS {FACTOR}) AS weight_debt",
+        )
+        .selectExpr("*", f"CAST(weight_equity * cost_of_equity + weight_debt * after_tax_debt AS {W}) AS wacc")
+    )
+
+
+def cost_of_capital_table(fc: DataFrame) -> DataFrame:
+    """One row per company and scenario."""
+    return cost_of_capital(fc).groupBy(*K).agg(*[F.first(c).alias(c) for c in _COC + ["final_tax_rate"] + [f"m_{c}" for c in MARKET]])
 
 
 def contract_violations(cc: DataFrame) -> DataFrame:
@@ -94,20 +78,20 @@ def contract_violations(cc: DataFrame) -> DataFrame:
     rules = [
         ("market_value_equity must be positive", "m_market_value_equity <= 0"),
         ("market_value_debt cannot be negative", "m_market_value_debt < 0"),
-        ("tax_rate must be in [0, 1)", "tax_rate < 0 OR tax_rate >= 1"),
+        ("tax_rate must be in [0, 1)", "final_tax_rate < 0 OR final_tax_rate >= 1"),
         ("diluted_shares must be positive", "m_diluted_shares <= 0"),
     ]
     rows = [(f"'{n}'", f"coalesce({e}, false)") for n, e in rules]
     return cc.selectExpr(*K, stacked(rows, ("rule", "broken"))).where("broken").drop("broken")
 
 
-def dcf_years(fc: DataFrame, cc: DataFrame, convention: str = "year_end", **kw) -> DataFrame:
+def dcf_years(fc: DataFrame, convention: str = "year_end", **kw) -> DataFrame:
     """Per forecast year: FCFF, time fraction, discount factor and present value."""
-    flows = fc.selectExpr(*K, "year", "ebit", "tax_rate AS year_tax", "depreciation", "capex", "change_in_nwc", "fcff",
-                          "b_cash", "b_debt", "row_number() OVER (PARTITION BY company_id, scenario_id ORDER BY year) AS n")
-    t = timing(flows, convention, **kw)
+    t = timing(convention, **kw)
+    keep = ["year", "ebit", "tax_rate", "depreciation", "capex", "change_in_nwc", "fcff", "b_cash", "b_debt", "unusable"]
     return (
-        flows.join(cc.drop("tax_rate"), list(K))
+        cost_of_capital(fc)
+        .selectExpr(*K, *keep, *_COC, *[f"m_{c}" for c in MARKET], "row_number() OVER (PARTITION BY company_id, scenario_id ORDER BY year) AS n")
         .selectExpr("*", f"{t} AS t")
         .selectExpr("*", f"{factor('wacc', 't', convention == 'year_end')} AS discount_factor")
         .selectExpr("*", f"CAST(fcff * discount_factor AS {MONEY}) AS present_value")

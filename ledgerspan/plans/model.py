@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators import checks as C
 from ..operators import forecast as FC
@@ -38,50 +38,41 @@ class Model:
         return L.fill_with_reported(self.wide)
 
     @cached_property
-    def resolved(self) -> DataFrame:
-        return S.resolve(self.scenarios, self.assumptions, self.years)
+    def resolved_all(self) -> DataFrame:
+        return S.resolve_all(self.scenarios, self.assumptions, self.years)
 
     @cached_property
-    def resolved_any(self) -> DataFrame:
-        return S.resolve_any_period(self.scenarios, self.assumptions)
+    def resolved(self) -> DataFrame:
+        return self.resolved_all.where(f"year <> {S.NO_PERIOD}")
 
     @cached_property
     def opening(self) -> DataFrame:
         return FC.opening_balances(self.filled)
 
     @cached_property
-    def status(self) -> DataFrame:
-        return FC.status(self.resolved, self.scenarios, self.opening, self.years)
+    def prepared(self) -> DataFrame:
+        """One row per company and scenario, ready to forecast or blocked with a reason."""
+        return FC.prepare(self.resolved_all, self.scenarios, self.opening, self.years)
 
     @cached_property
-    def drivers(self) -> DataFrame:
-        """Wide drivers of the scenarios that may calculate."""
-        ok = self.status.where("may_calculate").select("company_id", "scenario_id")
-        return S.driver_wide(self.resolved).join(ok, ["company_id", "scenario_id"], "left_semi")
+    def status(self) -> DataFrame:
+        return FC.status(self.prepared)
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return FC.build(self.drivers, self.opening)
-
-    @cached_property
-    def market(self) -> DataFrame:
-        return V.market_inputs(self.resolved_any)
+        return FC.build(self.prepared)
 
     @cached_property
     def cost_of_capital(self) -> DataFrame:
-        return V.cost_of_capital(self.forecast, self.market)
+        return V.cost_of_capital_table(self.forecast)
 
     def dcf_years(self, convention: str | None = None, **kw) -> DataFrame:
-        return V.dcf_years(self.forecast, self.cost_of_capital, convention or self.convention, **kw)
+        return V.dcf_years(self.forecast, convention or self.convention, **kw)
 
     @cached_property
     def valuation(self) -> DataFrame:
         return V.value(self.dcf_years())
 
-    @cached_property
-    def model_rows(self) -> DataFrame:
-        return C.model_rows(self.filled, self.forecast, self.scenarios.join(self.status.where("may_calculate"), ["company_id", "scenario_id"], "left_semi"))
-
     @cached_property
     def checks(self) -> DataFrame:
-        return C.all_checks(self.model_rows, FC.to_long(self.forecast), self.valuation)
+        return C.all_checks(self.filled, self.forecast, self.prepared)

@@ -531,8 +531,7 @@ register("v12_scenario_valuation_mid_year", sql(VAL_SQL.replace("{0}", "my"), "v
 @register("j28_missing_market_inputs", sql(
     "SELECT s.company_id, s.scenario_id, concat_ws(', ', " + ", ".join(f"CASE WHEN m.m_{c} IS NULL THEN '{c}' END" for c in sorted(c for c, _, r, _ in dims.MARKET_INPUTS if r)) + ") AS missing FROM scenario s LEFT JOIN market m USING (company_id, scenario_id)", "scenario", "market"))
 def j28(spark, sf):
-    m = model(spark, sf)
-    return V.missing_inputs(m.scenarios, m.resolved_any).select("company_id", "scenario_id", F.array_join("missing", ", ").alias("missing"))
+    return model(spark, sf).status.select("company_id", "scenario_id", F.array_join("missing_inputs", ", ").alias("missing"))
 
 
 @register("v09_equity_bridge", sql(" UNION ALL ".join(
@@ -556,10 +555,10 @@ _GRID = ("SELECT company_id, scenario_id, w AS wacc, g AS terminal_growth, CASE
 cte("grid", _GRID + "(SELECT *, row_number() OVER (PARTITION BY company_id, scenario_id ORDER BY year) AS n FROM dyye), (SELECT CAST(unnest([0.08, 0.09, 0.10]) AS DOUBLE) AS w), (SELECT CAST(unnest([0.02, 0.03, 0.09]) AS DOUBLE) AS g) GROUP BY 1, 2, 3, 4", "dyye")
 
 
-@register("v13_sensitivity", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + sd("terminal_growth", "terminal_growth", 6) + ", note, " + sd("ev", "enterprise_value", 3) + ", " + sd("ev + claims", "equity_value", 3) + " FROM grid", "grid"))
+@register("v13_sensitivity", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + sd("terminal_growth", "terminal_growth", 6) + ", note, " + sd("ev", "enterprise_value", 1) + ", " + sd("ev + claims", "equity_value", 1) + " FROM grid", "grid"))
 def v13(spark, sf):
     c = V.sensitivity(model(spark, sf).dcf_years(), WACC_AXIS, GROWTH_AXIS)
-    return c.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), dbl("terminal_growth", 6).alias("terminal_growth"), "note", dbl("enterprise_value", 3).alias("enterprise_value"), dbl("equity_value", 3).alias("equity_value"))
+    return c.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), dbl("terminal_growth", 6).alias("terminal_growth"), "note", dbl("enterprise_value", 1).alias("enterprise_value"), dbl("equity_value", 1).alias("equity_value"))
 
 
 @register("v14_centred_grid", sql(
@@ -571,11 +570,11 @@ def v14(spark, sf):
     return c.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), dbl("terminal_growth", 6).alias("terminal_growth"), dbl("enterprise_value", 3).alias("enterprise_value"))
 
 
-@register("e10_sensitivity_table", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + ", ".join(sd(f"max(CASE WHEN terminal_growth = {g} THEN ev END)", f"g_{g[2:]}", 3) for g in GROWTH_AXIS) + f" FROM grid GROUP BY {K}, wacc", "grid"))
+@register("e10_sensitivity_table", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + ", ".join(sd(f"max(CASE WHEN terminal_growth = {g} THEN ev END)", f"g_{g[2:]}", 1) for g in GROWTH_AXIS) + f" FROM grid GROUP BY {K}, wacc", "grid"))
 def e10(spark, sf):
     c = V.sensitivity(model(spark, sf).dcf_years(), WACC_AXIS, GROWTH_AXIS).withColumn("terminal_growth", F.col("terminal_growth").cast("decimal(4,2)").cast("string"))
     t = V.grid_table(c, GROWTH_AXIS)
-    return t.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), *[dbl(F.col(f"`{g}`"), 3).alias(f"g_{g[2:]}") for g in GROWTH_AXIS])
+    return t.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), *[dbl(F.col(f"`{g}`"), 1).alias(f"g_{g[2:]}") for g in GROWTH_AXIS])
 
 
 # ---- checks -----------------------------------------------------------------------------------
