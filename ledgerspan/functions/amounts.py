@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..layers import settle
 from ..money import MONEY
 
 # Characters and words of printed figures.
@@ -86,10 +87,11 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
     """Adds a struct with the value, or NULL and the reason code. Nothing is guessed: a figure two
     conventions read differently stays unread until the document's locale is confirmed."""
     keep = df.columns
-    d = df.withColumn("_t", F.coalesce(normalise_text(F.col(raw)), F.lit("")))
+    d = settle(df.withColumn("_t", F.coalesce(normalise_text(F.col(raw)), F.lit(""))), keep)
     d = d.withColumns({"_low": F.btrim(F.lower("_t"), F.lit(". ")), "_run": footnote_run(F.col("_t")), "_b": without_footnotes(F.col("_t")), "_sym": F.lit(None).cast("string")})
+    d = settle(d, keep)
     for _ in range(3):
-        d = _peel(d, "_b", "_sym")
+        d = settle(_peel(d, "_b", "_sym"), keep)
     pct = F.col("_b").endswith("%")
     d = d.withColumns(
         {
@@ -97,17 +99,22 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
             "_b": F.trim(F.when(pct, F.substr("_b", F.lit(1), F.length("_b") - 1)).otherwise(F.col("_b"))),
         }
     )
+    d = settle(d, keep)
     paren = F.col("_b").startswith("(") & F.col("_b").endswith(")")
     d = d.withColumns({"_paren": paren, "_inner": F.when(paren, F.trim(F.substr("_b", F.lit(2), F.length("_b") - 2))).otherwise(F.col("_b"))})
+    d = settle(d, keep)
     lead = (F.col("_inner") == "") | _first_in(F.col("_inner"), DASHES)
     plus = ~lead & F.col("_inner").startswith("+")
     d = d.withColumns({"_lead": lead, "_plus": plus, "_c": F.when(lead | plus, F.trim(F.substr("_inner", F.lit(2)))).otherwise(F.col("_inner"))})
+    d = settle(d, keep)
     trail = (F.col("_c") == "") | _last_in(F.col("_c"), DASHES)
     d = d.withColumns({"_trail": trail, "_c": F.when(trail, F.trim(F.substr("_c", F.lit(1), F.greatest(F.length("_c") - 1, F.lit(0))))).otherwise(F.col("_c"))})
+    d = settle(d, keep)
     signs = F.col("_paren").cast("int") + F.col("_lead").cast("int") + F.col("_plus").cast("int") + F.col("_trail").cast("int")
     d = d.withColumns({"_signs": signs, "_run2": footnote_run(F.col("_c")), "_c": without_footnotes(F.col("_c")), "_sym2": F.lit(None).cast("string")})
+    d = settle(d, keep)
     for _ in range(3):
-        d = _peel(d, "_c", "_sym2")
+        d = settle(_peel(d, "_c", "_sym2"), keep)
     d = d.withColumns(
         {
             "_dot": reading(F.col("_c"), DOT),
@@ -116,6 +123,7 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
             "_marks": F.concat(footnote_markers(F.col("_run")), footnote_markers(F.col("_run2"))),
         }
     )
+    d = settle(d, keep)
     loc = F.coalesce(F.col(locale), F.lit(UNKNOWN))
     both_differ = F.col("_dot").isNotNull() & F.col("_comma").isNotNull() & (F.col("_dot") != F.col("_comma"))
     chosen = (
@@ -132,7 +140,7 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
         .when(F.col("_dot").isNull() & F.col("_comma").isNull(), "NOT_NUMERIC")
         .when(chosen.isNull(), "SEPARATOR_AMBIGUOUS")
     )
-    d = d.withColumns({"_code": code, "_num": chosen})
+    d = settle(d.withColumns({"_code": code, "_num": chosen}), keep)
     negative = F.col("_paren") | F.col("_lead") | F.col("_trail")
     value = F.when(F.col("_code").isNull(), F.concat(F.when(negative, "-").otherwise(""), "_num").try_cast(MONEY)).when(F.col("_code") == "WRITTEN_ZERO", F.lit(0).cast(MONEY))
     source = (
@@ -160,4 +168,4 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
         F.when(shown, F.col("_marks")).otherwise(F.array().cast("array<string>")).alias("markers"),
         codes.alias("codes"),
     )
-    return d.select(*keep, parsed.alias(out))
+    return settle(d.select(*keep, parsed.alias(out)), keep)

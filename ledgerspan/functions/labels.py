@@ -182,7 +182,7 @@ def candidates(label: Column, statement: Column, limit: int = 3) -> Column:
     Patterns are literals, so each compiles once per task; a label is tested where it stands and
     nothing is joined or shuffled.
     """
-    clean = squeeze(label)
+    clean = label  # already squeezed by the caller
     by_code: dict[str, list[tuple[str, int]]] = {}
     for code, pattern, score in RULES:
         by_code.setdefault(code, []).append((pattern, score))
@@ -196,4 +196,4 @@ def candidates(label: Column, statement: Column, limit: int = 3) -> Column:
         entries.append(F.struct((-F.when(allowed, best)).alias("rank"), F.lit(code).alias("account")))
     hits = F.array_sort(F.filter(F.array(*entries), lambda e: e["rank"].isNotNull()))
     ranked = F.transform(F.slice(hits, 1, limit), lambda e: F.struct(e["account"].alias("account"), (-e["rank"]).alias("score")))
-    return F.when(blocked_reason(label).isNull() & (clean != ""), ranked).otherwise(F.slice(ranked, 1, 0))
+    return F.when(first_match(clean, [(r, p) for p, r in BLOCKED]).isNull() & (clean != ""), ranked).otherwise(F.array().cast("array<struct<account:string,score:int>>"))

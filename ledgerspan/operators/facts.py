@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import dims
 from ..functions import amounts as A
 from ..functions import labels as LB
+from ..layers import settle
 
 TABLE = ["document_id", "table_id"]
 
@@ -23,6 +24,7 @@ def header_rows(cells: DataFrame) -> DataFrame:
     """Adds the period each cell names, its row's label, and the table's header row."""
     row, table = Window.partitionBy(*TABLE, "row"), Window.partitionBy(*TABLE)
     c = clustered(cells).withColumns({"text": A.strip(F.coalesce("text", F.lit(""))), "period": LB.period_label(F.col("text"))})
+    c = settle(c, [x for x in cells.columns if x != "text"])
     is_period = (F.col("col") >= 1) & F.col("period.label").isNotNull()
     c = c.withColumns(
         {
@@ -104,6 +106,7 @@ def build_facts(cells: DataFrame, documents: DataFrame, threshold: str = dims.RE
             "failed_evidence": F.array_compact(F.array(*[F.when(~c, n) for n, c in ev.items()])),
         }
     )
+    d = settle(d, v.columns)
     codes = F.concat(
         "parsed.codes",
         F.array_compact(
@@ -118,12 +121,13 @@ def build_facts(cells: DataFrame, documents: DataFrame, threshold: str = dims.RE
         ),
     )
     d = d.withColumn("reason_codes", F.array_distinct(codes))
-    return d.withColumns(
+    d = d.withColumns(
         {
             "fact_id": F.concat_ws("-", "table_id", "row", "col"),
             "needs_review": (F.col("confidence") < F.lit(threshold).cast("decimal(5,4)")) | F.arrays_overlap("reason_codes", F.array(*map(F.lit, dims.BLOCKING))),
         }
     ).drop("locale", "scale_confirmed", "currency_confirmed", "has_repeats")
+    return settle(d, ["document_id", "table_id", "page", "row", "col"])
 
 
 def outstanding(codes: str = "reason_codes", resolved: str = "resolved_codes") -> Column:

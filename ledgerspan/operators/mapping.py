@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import dims
 from ..functions import labels as LB
+from ..layers import settle
 from ..money import MONEY, close
 from . import ledger as L
 
 
 def propose(facts: DataFrame, limit: int = 3) -> DataFrame:
     """Ranked accounts per fact; blocked labels and already rejected facts get none."""
-    return facts.withColumn("candidates", LB.candidates(F.col("raw_label"), F.col("statement"), limit))
+    clean = settle(facts.withColumn("_label", LB.squeeze(F.col("raw_label"))), facts.columns)
+    return settle(clean.withColumn("candidates", LB.candidates(F.col("_label"), F.col("statement"), limit)).drop("_label"), facts.columns)
 
 
 def propose_mappings(facts: DataFrame, already: DataFrame | None = None) -> DataFrame:
