@@ -10,6 +10,7 @@ from ..functions import labels as LB
 from ..operators import facts as FA
 from ..operators import mapping as MP
 from ..operators import review as RV
+from ..session import cut_lineage
 from ..sources import derived as D
 from ..sources import filings as FL
 from .duck import M, cte, q, sql, values
@@ -149,14 +150,14 @@ def m09(spark, sf):
 
 @register("w13_latest_decision", sql("SELECT document_id, fact_id, CASE status WHEN 'accepted' THEN 'accept' WHEN 'corrected' THEN 'correct' ELSE 'reject' END AS action FROM xrev", "xrev"))
 def w13(spark, sf):
-    return RV.latest_decision(FL.decisions(FL.facts(spark, sf))).select("document_id", "fact_id", "action")
+    return RV.latest_decision(FL.Filing(spark, sf).decisions).select("document_id", "fact_id", "action")
 
 
 @register("m09_decision_violations", sql(
     f"SELECT document_id, fact_id, CASE WHEN NOT ({FL.SCALE_OK} AND {FL.CURRENCY_OK}) THEN 'document not confirmed' END AS problem FROM ffacts WHERE NOT ({FL.SCALE_OK} AND {FL.CURRENCY_OK}) AND parsed IS NOT NULL AND (document_id + rw + cl) % 17 <> 0"
     f" UNION ALL SELECT document_id, fact_id, CASE WHEN parsed IS NULL THEN 'no value to accept' ELSE 'document not confirmed' END FROM ffacts WHERE (document_id + rw + cl) % 17 = 0 AND cl = 4 AND (parsed IS NULL OR NOT ({FL.SCALE_OK} AND {FL.CURRENCY_OK}))", "ffacts"))
 def m09v(spark, sf):
-    f = FL.facts(spark, sf)
+    f = cut_lineage(FL.facts(spark, sf))
     return RV.decision_violations(FL.decisions(f), f).select("document_id", "fact_id", "problem")
 
 

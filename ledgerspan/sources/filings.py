@@ -13,6 +13,7 @@ from ..money import MONEY
 from ..operators import facts as FA
 from ..operators import mapping as MP
 from ..operators import review as RV
+from ..session import cut_lineage
 from . import derived as D
 
 PAGES = {"income": 1, "balance": 2, "cashflow": 3}
@@ -50,7 +51,7 @@ def _case(column: str, pairs) -> str:
 
 def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, page, table_id, row, col, text, caption."""
-    led = D.ledger(spark, sf_dir).selectExpr(
+    led = cut_lineage(D.ledger(spark, sf_dir)).selectExpr(
         "company_id", "account", "year", "value", f"{_case('statement', PAGES.items())} AS page", f"{_case('account', ROWS.items())} AS row",
         f"concat(CASE WHEN company_id % 10 IN (3, 7) THEN '' ELSE 'Consolidated ' END, {_case('statement', CAPTIONS.items())}, CASE WHEN company_id % 10 = 7 THEN ' by segment' ELSE '' END) AS caption",
     )
@@ -118,12 +119,13 @@ def mapping_log(reviewed: DataFrame) -> DataFrame:
 
 
 class Filing:
-    """Facts, review and mapping of every derived filing, lazily chained."""
+    """Facts, review and mapping of every derived filing. Facts and reviewed facts are stage tables:
+    they are read many times downstream, so each is materialised once on shared storage."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.documents = documents(spark, sf_dir)
-        self.facts = facts(spark, sf_dir)
+        self.facts = cut_lineage(facts(spark, sf_dir))
         self.decisions = decisions(self.facts)
-        self.reviewed = RV.apply_decisions(self.facts, self.decisions)
+        self.reviewed = cut_lineage(RV.apply_decisions(self.facts, self.decisions))
         self.log = mapping_log(self.reviewed.where("status <> 'rejected'"))
         self.mappings = MP.latest_batch(self.log).withColumn("approved", F.expr("document_id % 12 <> 11"))
