@@ -11,14 +11,14 @@ from .. import dims
 
 def filter_events(events: DataFrame, actor=None, action=None, entity_type=None, entity_id=None, since=None, until=None, text=None) -> DataFrame:
     """Composable predicates; each that is given reaches the scan (P30). Order newest first with newest_first()."""
-    out = events
+    out, kind = events, events.schema["at"].dataType
     for col, v in (("actor", actor), ("action", action), ("entity_type", entity_type), ("entity_id", entity_id)):
         if v is not None:
             out = out.where(F.col(col) == v)
     if since is not None:
-        out = out.where(F.col("at") >= F.lit(since).cast("timestamp"))
+        out = out.where(F.col("at") >= F.lit(since).cast(kind))
     if until is not None:
-        out = out.where(F.col("at") <= F.lit(until).cast("timestamp"))
+        out = out.where(F.col("at") <= F.lit(until).cast(kind))
     if text is not None:
         out = out.where(F.contains(F.lower("entity_id"), F.lit(text.lower())))
     return out
@@ -63,7 +63,7 @@ def rate_burst(events: DataFrame, key: str, window_seconds: int, allowed: int) -
 
     Each event is also shown to the next bucket as context, so a bucket as long as the window sees
     its whole trailing window and a hot key spreads over its buckets."""
-    micros = F.unix_micros("at")
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
     width = window_seconds * 1_000_000
     e = events.withColumns({"_us": micros, "_own": F.floor(micros / width)})
     both = e.withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))

@@ -62,16 +62,16 @@ def p20(spark, sf):
     return TX.detect_metadata(pages).select("document_id", "displayed_scale", "reporting_currency", "audited_status", "accounting_standard", F.col("reporting_period_end").cast("string").alias("reporting_period_end"))
 
 
-_EV = "SELECT event_id, ts AS at, 'user-' || user_id AS actor, event_type AS action, 'entity-' || json_extract_string(props, '$.k') AS entity_id, CASE WHEN value > 50 THEN 'fact' ELSE 'document' END AS entity_type, value FROM events"
+_EV = "SELECT event_id, ts AS at_ts, 'user-' || user_id AS actor, event_type AS action, 'entity-' || json_extract_string(props, '$.k') AS entity_id, CASE WHEN value > 50 THEN 'fact' ELSE 'document' END AS entity_type, value FROM events"
 
 
-@register("p30_audit_filter", f"SELECT event_id, actor, action, entity_id FROM ({_EV}) WHERE action = 'error' AND entity_type = 'fact' AND at >= TIMESTAMP '2024-01-05' AND contains(entity_id, '7')")
+@register("p30_audit_filter", f"SELECT event_id, actor, action, entity_id FROM ({_EV}) WHERE action = 'error' AND entity_type = 'fact' AND at_ts >= TIMESTAMP '2024-01-05' AND contains(entity_id, '7')")
 def p30(spark, sf):
     e = AU.filter_events(D.audit_events(spark, sf), action="error", entity_type="fact", since="2024-01-05", text="7")
     return AU.newest_first(e).select("event_id", "actor", "action", "entity_id")
 
 
-@register("a10_audit_summary", f"SELECT actor, action, CAST(count(*) AS BIGINT) AS events, max(at) AS latest FROM ({_EV}) GROUP BY 1, 2")
+@register("a10_audit_summary", f"SELECT actor, action, CAST(count(*) AS BIGINT) AS events, max(at_ts) AS latest FROM ({_EV}) GROUP BY 1, 2")
 def a10(spark, sf):
     return AU.summary(D.audit_events(spark, sf))
 
@@ -81,12 +81,12 @@ def a11(spark, sf):
     return AU.choices(D.audit_events(spark, sf))
 
 
-@register("t04_newest_first", f"SELECT event_id, at, actor FROM ({_EV})")
+@register("t04_newest_first", f"SELECT event_id, at_ts, actor FROM ({_EV})")
 def t04(spark, sf):
-    return AU.newest_first(D.audit_events(spark, sf)).select("event_id", "at", "actor")
+    return AU.newest_first(D.audit_events(spark, sf)).select("event_id", F.col("at").alias("at_ts"), "actor")
 
 
-@register("t06_report_row_limit", f"SELECT actor, event_id, CAST(position AS INTEGER) AS position, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY at, event_id) AS position, count(*) OVER (PARTITION BY actor) AS total FROM ({_EV})) WHERE position <= 24")
+@register("t06_report_row_limit", f"SELECT actor, event_id, CAST(position AS INTEGER) AS position, CAST(total AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY at_ts, event_id) AS position, count(*) OVER (PARTITION BY actor) AS total FROM ({_EV})) WHERE position <= 24")
 def t06(spark, sf):
     return AU.report_rows(D.audit_events(spark, sf), ["actor"], [F.col("at"), F.col("event_id")]).select("actor", "event_id", "position", "total")
 
@@ -96,7 +96,7 @@ _ST = "CASE action " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.ite
 _EDGES = values(dims.ASSUMPTION_EDGES, "previous, state", "ed")
 
 
-@register("w15_transition_legality", f"SELECT entity_id, event_id, previous, state FROM (SELECT *, lag(state) OVER (PARTITION BY entity_id ORDER BY at, event_id) AS previous FROM (SELECT *, {_ST} AS state FROM ({_EV}))) s WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({_EDGES}) e WHERE e.previous = s.previous AND e.state = s.state)")
+@register("w15_transition_legality", f"SELECT entity_id, event_id, previous, state FROM (SELECT *, lag(state) OVER (PARTITION BY entity_id ORDER BY at_ts, event_id) AS previous FROM (SELECT *, {_ST} AS state FROM ({_EV}))) s WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({_EDGES}) e WHERE e.previous = s.previous AND e.state = s.state)")
 def w15(spark, sf):
     e = D.audit_events(spark, sf).selectExpr("entity_id", "event_id", "at", f"{_ST} AS state")
     return AU.illegal_transitions(e, dims.ASSUMPTION_EDGES, F.to_date("at")).select("entity_id", "event_id", "previous", "state")
