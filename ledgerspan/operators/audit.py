@@ -90,6 +90,9 @@ def changed_from_previous(old: DataFrame, new: DataFrame, keys: Sequence[str]) -
 
 
 def report_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = 24) -> DataFrame:
-    """The first rows of each report table with the total beside them."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumns({"position": F.row_number().over(w.orderBy(*order)), "total": F.count("*").over(w)}).where(F.col("position") <= limit)
+    """The first rows of each report table with the total beside them.
+
+    The rank alone is limited before the shuffle, and the total is a partial count, so a hot key
+    never gathers in one task."""
+    first = rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= limit)
+    return first.join(rows.groupBy(*keys).agg(F.count("*").alias("total")), list(keys))

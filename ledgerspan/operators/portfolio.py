@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import dims
-from .ledger import SLOTS, col_of
+from .ledger import SLOTS, col_of, stacked
 
 # Panel clause of each model check.
 CLAUSES = (
@@ -18,9 +18,9 @@ CLAUSES = (
 def registry_panel(checks: DataFrame, scenarios: DataFrame) -> DataFrame:
     """All 30 clauses per scenario; a clause nothing evaluated is SKIP, never PASS (C17)."""
     spark = checks.sparkSession
-    reg = F.broadcast(dims.registry_df(spark))
+    clauses = [tuple(f"'{v}'" for v in (code, cl, sv, st)) for code, cl, sv, _, _, st in dims.CHECK_REGISTRY]
     clause = F.broadcast(dims.local_table(spark, CLAUSES, "check_name string, clause string"))
-    every = scenarios.select("company_id", "scenario_id").join(reg, how="cross")
+    every = scenarios.selectExpr("company_id", "scenario_id", stacked(clauses, ("code", "clause", "severity", "stage")))
     got = checks.join(clause, "check_name").select("company_id", "scenario_id", "clause", "status", "detail")
     return every.join(got, ["company_id", "scenario_id", "clause"], "left").withColumns(
         {"status": F.coalesce("status", F.lit("SKIP")), "detail": F.coalesce("detail", F.lit("not evaluated"))}

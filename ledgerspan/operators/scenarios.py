@@ -163,8 +163,7 @@ def gate(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int]) -> Dat
 def required_driver_rows(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int]) -> DataFrame:
     """One row per required choice and scenario, satisfied or not, with the problem text."""
     problems = gate(resolved, scenarios, years)
-    dim = F.broadcast(dims.required_choice_df(resolved.sparkSession).select("choice").distinct())
-    every = scenarios.select("company_id", "scenario_id").join(dim, how="cross")
+    every = scenarios.selectExpr("company_id", "scenario_id", stacked([("'" + "|".join(g) + "'",) for g in dims.required_choices()], ("choice",)))
     p = problems.groupBy("company_id", "scenario_id", "choice").agg(F.min("problem").alias("problem"), F.count("*").alias("years"))
     return every.join(p, ["company_id", "scenario_id", "choice"], "left").withColumns(
         {"problem": F.coalesce("problem", F.lit("")), "years": F.coalesce("years", F.lit(0).cast("long"))}
