@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import amounts as A
 from ..functions import labels as LB
+from ..layers import spread
 from ..operators import facts as FA
 from ..operators import mapping as MP
 from ..operators import review as RV
@@ -61,7 +62,7 @@ def p02(spark, sf):
     )
     style = "CASE l_linenumber WHEN 1 THEN 'us' WHEN 2 THEN 'eu' WHEN 3 THEN 'swiss' WHEN 4 THEN 'dash' WHEN 5 THEN 'written_zero' WHEN 6 THEN 'symbol' ELSE 'footnote' END"
     cells = D.table(spark, sf, "lineitem").selectExpr(f"{style} AS style", f"{text.replace('(3)†', '(3)')} AS raw_value", "CASE l_linenumber WHEN 2 THEN 'comma_decimal' ELSE 'dot_decimal' END AS locale")
-    return A.parse_amounts(cells).groupBy("style").agg(F.count("*").alias("cells"), F.count("parsed.value").alias("parsed"), F.sum("parsed.value").cast("double").alias("total"))
+    return A.parse_amounts(spread(cells)).groupBy("style").agg(F.count("*").alias("cells"), F.count("parsed.value").alias("parsed"), F.sum("parsed.value").cast("double").alias("total"))
 
 
 @register("p06_interpret_locale", sql(
@@ -69,7 +70,7 @@ def p02(spark, sf):
 def p06(spark, sf):
     """Whole amounts with one group separator stay unread without a locale; two groups settle it."""
     c = D.table(spark, sf, "lineitem").selectExpr("l_linenumber", "format_number(CAST(floor(CAST(l_extendedprice AS DECIMAL(12,2)) * 20) AS BIGINT), 0) AS raw_value", "'unknown' AS locale")
-    p = A.parse_amounts(c)
+    p = A.parse_amounts(spread(c))
     return p.groupBy("l_linenumber").agg(
         F.count("*").alias("cells"), F.count_if((F.col("parsed.locale_used") == "dot_decimal")).alias("one_reading"), F.count_if(F.array_contains("parsed.codes", "SEPARATOR_AMBIGUOUS")).alias("two_readings"))
 
