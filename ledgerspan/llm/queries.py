@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing
+from . import bpe, chat, exact_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(name: str, oracle: str | None = None):
@@ -34,3 +36,16 @@ def op1_exact_dedup(spark, sf_dir):
 @query("op2_source_mixing", mixing.ORACLE)
 def op2_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_chat_format", chat.ORACLE)
+def op7_chat_format(spark, sf_dir):
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(turns))
+
+
+@query("op8_bpe_codec")
+def op8_bpe_codec(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
