@@ -48,3 +48,16 @@ def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     """The rows of docs whose key, null included, occurs in ids."""
     ids = ids.select(F.col(key).alias("_kept_id")).distinct()
     return docs.join(ids, docs[key].eqNullSafe(ids["_kept_id"]), "left_semi")
+
+
+#: A group with this share of the rows or more is joined by broadcast; so there are at most 1 / share of them.
+HOT_SHARE = 0.001
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, copies: str) -> DataFrame:
+    """Inner join of staged rows with one row per key. `copies` counts the rows of the key, so the keys that
+    hold HOT_SHARE of all rows are few whatever the data: they join by broadcast, the others by sort-merge."""
+    least = max(2, int(rows.count() * HOT_SHARE) + 1)
+    hot, cold = groups.filter(F.col(copies) >= least), groups.filter(F.col(copies) < least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -18,10 +18,7 @@ import hashlib
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import lowered, stage, stage_path
-
-#: A digest with this share of the rows or more is joined by broadcast; so there are at most 1 / share of them.
-HOT_SHARE = 0.001
+from .common import lowered, stage, stage_path, with_group
 
 
 class DigestIndex:
@@ -66,11 +63,7 @@ def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
     groups = stage(rows.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     index.append(groups)
     indexed = groups.drop("doc_id").join(index.entries().hint("merge"), "digest")
-    least = max(2, int(rows.count() * HOT_SHARE) + 1)
-    hot = F.broadcast(indexed.filter(F.col("group_size") >= least))  # at most 1 / HOT_SHARE rows
-    hot_keys = F.broadcast(groups.filter(F.col("group_size") >= least).select("digest"))
-    cold = rows.join(hot_keys, "digest", "left_anti").join(indexed.filter(F.col("group_size") < least), "digest")
-    out = rows.join(hot, "digest").unionByName(cold)
+    out = with_group(rows, indexed, "digest", "group_size")
     return out.select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, mixing
+from . import bpe, chat, exact_dedup, mixing, warc
+from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,10 @@ def op7_chat_format(spark, sf_dir):
 @query("op8_bpe_codec")
 def op8_bpe_codec(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op9_warc_archive", warc.ORACLE)
+def op9_warc_archive(spark, sf_dir):
+    uri = stage_path(spark, "warc")
+    manifest = warc.write(table(spark, sf_dir, "pages"), uri)
+    return warc.read(spark, uri, manifest, payloads=False).drop("url", "payload")
