@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, mixing, warc
+from . import bpe, chat, exact_dedup, mixing, toxicity, warc
 from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op9_warc_archive(spark, sf_dir):
     uri = stage_path(spark, "warc")
     manifest = warc.write(table(spark, sf_dir, "pages"), uri)
     return warc.read(spark, uri, manifest, payloads=False).drop("url", "payload")
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
