@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, mixing, toxicity, warc
+from . import bpe, chat, exact_dedup, mixing, span_dedup, toxicity, warc
 from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op9_warc_archive(spark, sf_dir):
 def op3_toxicity(spark, sf_dir):
     scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op10_sentence_spans")
+def op10_sentence_spans(spark, sf_dir):
+    return span_dedup.remove_repeated(table(spark, sf_dir, "documents"))
