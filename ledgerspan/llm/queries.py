@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, mixing, span_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, mixing, span_dedup, topk, toxicity, warc
 from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op3_toxicity(spark, sf_dir):
 @query("op10_sentence_spans")
 def op10_sentence_spans(spark, sf_dir):
     return span_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op5_dual_tree_topk", topk.ORACLE)
+def op5_dual_tree_topk(spark, sf_dir):
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
