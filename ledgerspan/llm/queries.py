@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, mixing, span_dedup, topk, toxicity, warc
+from . import bpe, chat, exact_dedup, minhash, mixing, span_dedup, topk, toxicity, warc
 from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op10_sentence_spans(spark, sf_dir):
 def op5_dual_tree_topk(spark, sf_dir):
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Options(words=4))
