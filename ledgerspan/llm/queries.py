@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, minhash, mixing, span_dedup, topk, toxicity, warc
+from . import bpe, chat, exact_dedup, minhash, mixing, span_dedup, suffix_dedup, topk, toxicity, warc
 from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op5_dual_tree_topk(spark, sf_dir):
 @query("op4_minhash_near_dedup")
 def op4_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Options(words=4))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), with_bytes=False)
