@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerspan.session import checkpoint_dir
@@ -36,20 +34,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def same_row(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key, null included, occurs in ids."""
     ids = ids.select(F.col(key).alias("_kept_id")).distinct()
     return docs.join(ids, docs[key].eqNullSafe(ids["_kept_id"]), "left_semi")
 
 
+def drop_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key, null included, does not occur in ids."""
+    ids = ids.select(F.col(key).alias("_dropped_id")).distinct()
+    return docs.join(ids, docs[key].eqNullSafe(ids["_dropped_id"]), "left_anti")
+
+
 #: A group with this share of the rows or more is joined by broadcast; so there are at most 1 / share of them.
 HOT_SHARE = 0.001
 

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import same_row, stage, word_count
+from .common import stage, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3

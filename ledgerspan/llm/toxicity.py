@@ -12,7 +12,8 @@
    location. Significant passages add -ln P to the document's evidence, and the score is the monotone (pooled) share of
    toxic training documents at that evidence.
 
-Labels come only from rows outside the held-out remainder. doc_id picks that remainder and nothing else; lang, source
+Labels come only from rows outside the held-out remainder, at most `max_labelled` of them (a documented bound; the scan
+covers every text). doc_id picks that remainder and nothing else; lang, source
 and labels are no inputs of a score.
 
 Defined results: null and empty texts have no passage and score as documents without evidence. A null label is
@@ -34,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import small_batches
-from .common import keep_rows, stage
+from .common import drop_rows, stage
 
 WORDS = regex.compile(r"\w+")
 PREFIXES = (6, 5, 4)
@@ -51,6 +52,7 @@ class Options:
     min_log_odds: float = 2.0
     density: float = 0.05  # of terms in a toxic passage
     significance: float = 0.05
+    max_labelled: int = 200_000  # labelled rows to learn from
 
 
 @dataclass
@@ -98,19 +100,24 @@ def _count_terms(known: frozenset[str] | None):
     return run
 
 
-def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, text of the labelled documents outside the held-out part, equal texts once per label."""
-    own = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    own = own.filter(~held_out(F.col("l_id")))
-    text = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = stage(text.join(own, text["doc_id"].eqNullSafe(own["l_id"])).select("doc_id", "toxic", "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.reverse("text")).alias("hash2")), "tox-train")
-    once = rows.groupBy("hash", "hash2", "toxic").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    extra = rows.select("doc_id", "hash", "hash2", "toxic").join(once, ["hash", "hash2", "toxic"]).filter("doc_id <> first").select("doc_id").distinct()
-    return rows.join(extra, "doc_id", "left_anti").select("toxic", "text")
-
-
-def fit_terms(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
-    rows = stage(_training(docs, labels), "tox-texts")
+def training_rows(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id, toxic of the labelled documents to learn from: outside the held-out part, equal texts once per label,
+    at most options.max_labelled of them (chosen by hash where there are more), so they may be broadcast."""
+    own = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    own = stage(own.filter(~held_out(F.col("l_id"))), "tox-labels")
+    share = min(1.0, 0.95 * options.max_labelled / max(1, own.count()))
+    place = F.pmod(F.xxhash64(F.coalesce("l_id", F.lit(-1))), F.lit(1_000_000))
+    own = F.broadcast(own.filter(place < share * 1_000_000).limit(options.max_labelled))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.xxhash64(F.reverse(text)).alias("hash2"))
+    rows = slim.join(own, slim["doc_id"].eqNullSafe(own["l_id"]))
+    return stage(rows.groupBy("hash", "hash2", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "tox-train")
+
+
+def fit_terms(docs: DataFrame, training: DataFrame, options: Options = Options()) -> Model:
+    own = F.broadcast(training.withColumnRenamed("doc_id", "l_id"))
+    rows = docs.join(own, docs["doc_id"].eqNullSafe(own["l_id"])).select("toxic", F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = stage(rows, "tox-texts")
     schema = "term string, toxic int, n long"
     model = Model(background=math.log1p(-options.density), options=options)
     toxic = rows.filter("toxic = 1")
@@ -251,11 +258,10 @@ def pooled(positive: list[float], all_: list[float]) -> list[float]:
     return [min(1.0, p / n) for p, n, k in blocks for _ in range(k)]
 
 
-def calibrate(scanned: DataFrame, labels: DataFrame, model: Model) -> Model:
+def calibrate(scanned: DataFrame, training: DataFrame, model: Model) -> Model:
     """Fit the extreme-value law and the shares from the scanned training rows; only sums reach the driver."""
-    own = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = scanned.filter(~held_out(F.col("doc_id")))
-    rows = stage(rows.join(own, rows["doc_id"].eqNullSafe(own["l_id"])).drop("l_id", "doc_id"), "tox-scanned")
+    own = F.broadcast(training.withColumnRenamed("doc_id", "l_id"))
+    rows = stage(scanned.join(own, scanned["doc_id"].eqNullSafe(own["l_id"])).drop("l_id", "doc_id"), "tox-scanned")
     clean = rows.filter("toxic = 0")
     tokens, docs = clean.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     bins = dict(clean.select(F.explode("hits").alias("bin")).groupBy("bin").count().collect())
@@ -277,9 +283,10 @@ def calibrate(scanned: DataFrame, labels: DataFrame, model: Model) -> Model:
 
 def score_documents(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, held_out, score, predicted, passages (first and last token, score, p_value) of every document."""
-    model = fit_terms(docs, labels, options)
+    training = training_rows(docs, labels, options)
+    model = fit_terms(docs, training, options)
     scanned = stage(scan(docs, model), "tox-scan")
-    model = calibrate(scanned, labels, model)
+    model = calibrate(scanned, training, model)
     share = F.element_at(F.array(*map(F.lit, model.shares)), evidence_bin(F.col("evidence")) + 1)
     # within a bin, more evidence ranks higher
     score = F.least(F.lit(1.0), share * 0.999 + 0.001 * (1 - F.exp(-F.col("evidence") / 100)))
@@ -293,4 +300,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, options: Options = Optio
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """The documents below the threshold, with all their columns."""
-    return keep_rows(docs, score_documents(docs, labels, options).filter("predicted = 0"))
+    return drop_rows(docs, score_documents(docs, labels, options).filter("predicted = 1"))
