@@ -1,24 +1,51 @@
-"""The corpus pipeline: each stage reads what the stage before it wrote."""
+"""The corpus pipeline: each stage reads what the stage before it wrote.
+
+documents -> without toxic ones -> without exact copies -> without near-duplicates -> mixed to source weights -> token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspan.llm import exact_dedup, mixing
+from ledgerspan.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from ledgerspan.llm.common import stage
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scorer rejects go; it learns from the labels of the documents that are here."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shared five-word shingles (similarity 0.8 or more) stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those behind the cut go."""
     return mixing.apply_mix(docs, mixing.mix(docs))
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("mixing", mix_sources)]
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids of every row that the mix holds."""
+    return bpe.encode(docs, VOCABULARY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
 
 #: The first stage learns scores, which SQL doesn't express; every stage has a brute-force test.
 ORACLE_SQL = None

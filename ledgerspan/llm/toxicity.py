@@ -116,7 +116,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, options: Options = Options
 
 def fit_terms(docs: DataFrame, training: DataFrame, options: Options = Options()) -> Model:
     own = F.broadcast(training.withColumnRenamed("doc_id", "l_id"))
-    rows = docs.join(own, docs["doc_id"].eqNullSafe(own["l_id"])).select("toxic", F.coalesce(docs["text"], F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(own, texts["doc_id"].eqNullSafe(own["l_id"])).select("toxic", "text")
     rows = stage(rows, "tox-texts")
     schema = "term string, toxic int, n long"
     model = Model(background=math.log1p(-options.density), options=options)
