@@ -176,6 +176,8 @@ REASONS = (
     ("NOT_APPLICABLE", True, "printed as not applicable"),
     ("NOT_NUMERIC", True, "not a number"),
     ("SEPARATOR_AMBIGUOUS", True, "separators read two ways"),
+    ("OUT_OF_RANGE", True, "more digits than an amount can hold"),
+    ("TOO_PRECISE", True, "more decimals than an amount can hold"),
     ("SCALE_UNCONFIRMED", True, "scale not confirmed"),
     ("CURRENCY_UNCONFIRMED", True, "currency not confirmed"),
     ("PERIOD_AMBIGUOUS", True, "period cannot be resolved"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..layers import settle
-from ..money import MONEY
+from ..money import DECIMAL_DIGITS, INTEGER_DIGITS, MONEY
 
 # Characters and words of printed figures.
 DASHES = "-\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00ad"
@@ -139,6 +139,8 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
         .when(F.col("_c") == "", "NOT_NUMERIC")
         .when(F.col("_dot").isNull() & F.col("_comma").isNull(), "NOT_NUMERIC")
         .when(chosen.isNull(), "SEPARATOR_AMBIGUOUS")
+        .when(F.length(F.regexp_replace(F.regexp_extract(chosen, r"^(\d*)", 1), "^0+", "")) > INTEGER_DIGITS, "OUT_OF_RANGE")
+        .when(F.length(F.regexp_replace(F.regexp_extract(chosen, r"\.(\d+)$", 1), "0+$", "")) > DECIMAL_DIGITS, "TOO_PRECISE")
     )
     d = settle(d.withColumns({"_code": code, "_num": chosen}), keep)
     negative = F.col("_paren") | F.col("_lead") | F.col("_trail")

@@ -16,10 +16,3 @@ def settle(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """
     new = [c for c in df.columns if c not in keep]
     return df.select(*keep, F.stack(F.lit(1), *[F.col(c) for c in new]).alias(*new))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Before heavy per-row text work, use every core: a small input arrives as too few partitions.
-    A large one already has more partitions than cores and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

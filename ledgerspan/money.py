@@ -11,11 +11,12 @@ from pyspark.sql import Column, functions as F
 MONEY = "decimal(25,8)"
 RATE = "decimal(12,8)"
 FACTOR = "decimal(22,18)"
+INTEGER_DIGITS, DECIMAL_DIGITS = 17, 8  # of MONEY
 
 # Default tolerances of the checks.
 REL_TOLERANCE = "0.000000001"
 SUBTOTAL_REL_TOLERANCE = "0.000001"
-ABS_FLOOR = "0.000001"
+ABS_FLOOR = "0"  # a floor is the caller's choice: in statements kept in millions it would hide differences
 
 
 def money(c: Column | str) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import dims
 from ..money import ABS_FLOOR, MONEY, SUBTOTAL_REL_TOLERANCE, close, relative_error_pct
-from ..session import broadcast_if_small
 
 PREFIX = {"income": "is_", "balance": "bs_", "cashflow": "cf_"}
 SLOTS = tuple(dims.slots())
@@ -177,7 +176,7 @@ def shared_years(ledger: DataFrame) -> DataFrame:
 
 def extend_axis(ledger: DataFrame, axis: DataFrame) -> DataFrame:
     """Keep the rows whose year is on the model's axis."""
-    return ledger.join(broadcast_if_small(axis.select("year").distinct()), "year", "left_semi")
+    return ledger.join(axis.select("year").distinct(), "year", "left_semi")
 
 
 def hardcodes(ledger: DataFrame, first_forecast_year: int) -> DataFrame:

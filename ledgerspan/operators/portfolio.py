@@ -69,8 +69,17 @@ def ordered(standing_: DataFrame) -> DataFrame:
     return standing_.orderBy(F.desc(rank), "company_id")
 
 
+NOT_REPORTED = "not reported and not derivable"
+
+
+def statement_rows(filled: DataFrame, statement: str) -> DataFrame:
+    """Every line of a statement for every reported year; an absent cell keeps its row and says why."""
+    rows = [(f"'{a}'", col_of(s, a), f"CASE WHEN {col_of(s, a)} IS NULL THEN '{NOT_REPORTED}' END") for s, a in SLOTS if s == statement]
+    return filled.selectExpr("company_id", "year", stacked(rows, ("account", "value", "reason")))
+
+
 def statement_table(filled: DataFrame, statement: str, years: tuple[int, ...]) -> DataFrame:
-    """Line by year, with absent cells as NULL."""
+    """Line by year over an axis that the caller states, with absent cells as NULL."""
     from .ledger import to_long
 
     return to_long(filled).where(F.col("statement") == statement).groupBy("company_id", "account").pivot("year", list(years)).agg(F.first("value"))

@@ -16,9 +16,13 @@ from .ledger import stacked
 
 
 def tree(scenarios: DataFrame) -> DataFrame:
-    """One row per company with its scenario -> parent map."""
-    return scenarios.groupBy("company_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("scenario_id", "parent_id"))).alias("parents")
+    """One row per company with its scenario -> parent map. Of rows that share a scenario id the first by
+    parent counts; tree_violations reports them."""
+    rows = scenarios.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("scenario_id", "parent_id"))).alias("rows"))
+    return rows.selectExpr(
+        "company_id",
+        "map_from_entries(filter(rows, (r, i) -> i = 0 OR rows[i - 1].scenario_id <> r.scenario_id)) AS parents",
+        "array_distinct(transform(filter(rows, (r, i) -> i > 0 AND rows[i - 1].scenario_id = r.scenario_id), r -> r.scenario_id)) AS repeated",
     )
 
 
@@ -41,9 +45,12 @@ def scenario_lineage(scenarios: DataFrame) -> DataFrame:
 
 
 def tree_violations(scenarios: DataFrame) -> DataFrame:
-    """Circular inheritance, unknown parents, and a missing or parented base."""
-    p = paths(tree(scenarios))
-    return (
+    """Repeated ids, circular inheritance, unknown parents, and a missing or parented base."""
+    trees = tree(scenarios)
+    p = paths(trees)
+    repeated = trees.selectExpr("company_id", "explode(repeated) AS scenario_id", "'repeated scenario id' AS problem")
+    baseless = trees.where("NOT array_contains(map_keys(parents), 'base')").selectExpr("company_id", "'base' AS scenario_id", "'no base scenario' AS problem")
+    return repeated.unionByName(baseless).unionByName(
         p.selectExpr(
             "company_id",
             "scenario_id",
@@ -68,7 +75,7 @@ def seen_by(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
         .selectExpr("*", "explode(map_keys(parents)) AS scenario_id")
         .selectExpr("*", f"array_position({_PATH}, owner_id) - 1 AS depth")
         .where("depth >= 0")
-        .drop("parents")
+        .drop("parents", "repeated")
     )
 
 

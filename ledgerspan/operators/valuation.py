@@ -37,15 +37,16 @@ def year_end_date(year: str, fiscal_year_end: tuple[int, int]) -> str:
     return f"make_date({year}, {m}, {d})"
 
 
-def factor(rate: str, t: str, whole: bool) -> str:
-    """1 / (1 + rate)^t: repeated multiplication for whole t, exp/ln otherwise."""
-    if not whole:
-        return f"CAST(exp(-CAST({t} AS DOUBLE) * ln(1 + CAST({rate} AS DOUBLE))) AS {FACTOR})"
+def factor(rate: str, t: str) -> str:
+    """1 / (1 + rate)^t: repeated multiplication for whole t, exp/ln otherwise; NULL for a negative t."""
     power = (
-        f"aggregate(sequence(1, CAST({t} AS INT)), CAST(1 AS {FACTOR}),"
+        f"aggregate(slice(sequence(0, CAST({t} AS INT)), 2, CAST({t} AS INT) + 1), CAST(1 AS {FACTOR}),"
         f" (a, i) -> CAST(a * CAST(1 + {rate} AS DECIMAL(16,14)) AS {FACTOR}))"
     )
-    return f"CAST(1 / {power} AS {FACTOR})"
+    return (
+        f"CASE WHEN {t} < 0 THEN NULL WHEN {t} = floor({t}) THEN CAST(1 / {power} AS {FACTOR})"
+        f" ELSE CAST(exp(-CAST({t} AS DOUBLE) * ln(1 + CAST({rate} AS DOUBLE))) AS {FACTOR}) END"
+    )
 
 
 MARKET = [c for c, *_ in dims.MARKET_INPUTS]
@@ -93,7 +94,7 @@ def dcf_years(fc: DataFrame, convention: str = "year_end", **kw) -> DataFrame:
         cost_of_capital(fc)
         .selectExpr(*K, *keep, *_COC, *[f"m_{c}" for c in MARKET], "row_number() OVER (PARTITION BY company_id, scenario_id ORDER BY year) AS n")
         .selectExpr("*", f"{t} AS t")
-        .selectExpr("*", f"{factor('wacc', 't', convention == 'year_end')} AS discount_factor")
+        .selectExpr("*", f"{factor('wacc', 't')} AS discount_factor")
         .selectExpr("*", f"CAST(fcff * discount_factor AS {MONEY}) AS present_value")
     )
 
@@ -104,6 +105,7 @@ def value(years: DataFrame) -> DataFrame:
         F.sum("present_value").cast(MONEY).alias("pv_explicit"),
         F.max_by("fcff", "year").alias("last_fcff"),
         F.max_by("discount_factor", "year").alias("last_factor"),
+        F.min("t").alias("first_t"),
         *[F.first(c).alias(c) for c in ("b_cash", "b_debt", "wacc", "cost_of_equity", "after_tax_debt", "weight_equity", "weight_debt", "unusable")],
         *[F.first(f"m_{c}").alias(f"m_{c}") for c, *_ in dims.MARKET_INPUTS],
     )
@@ -115,7 +117,7 @@ def value(years: DataFrame) -> DataFrame:
             "*",
             "CAST(m_terminal_growth AS decimal(12,8)) AS terminal_growth",
             f"{nil} AS assumed_nil",
-            "CASE WHEN size(unusable) > 0 THEN array_join(unusable, ', ')"
+            "CASE WHEN size(unusable) > 0 THEN array_join(unusable, ', ') WHEN first_t < 0 THEN 'cash flow before the valuation date'"
             " WHEN m_terminal_growth IS NULL THEN 'terminal_growth not supplied' WHEN wacc IS NULL THEN 'cost of capital not supplied'"
             " WHEN wacc <= m_terminal_growth THEN 'WACC at or below terminal growth' END AS blocked_by",
         )
@@ -154,15 +156,16 @@ def bridge_lines(v: DataFrame) -> DataFrame:
     return v.where("enterprise_value IS NOT NULL").selectExpr(*K, stacked(rows, ("ordinal", "line", "amount")))
 
 
-def _cells(base: DataFrame, whole: bool) -> DataFrame:
-    pv = f"aggregate(flows, {ZERO}, (a, f) -> CAST(a + CAST(f.fcff * {factor('w', 'f.t', whole)} AS {MONEY}) AS {MONEY}))"
+def _cells(base: DataFrame) -> DataFrame:
+    """Each cell discounts at the time fractions of its own flows, whatever the timing convention."""
+    pv = f"aggregate(flows, {ZERO}, (a, f) -> CAST(a + CAST(f.fcff * {factor('w', 'f.t')} AS {MONEY}) AS {MONEY}))"
     last = "element_at(flows, -1)"
     tv = f"CAST(CAST({last}.fcff * (1 + CAST(g AS {R})) AS {MONEY}) / (w - g) AS {MONEY})"
-    pvt = f"CAST({tv} * {factor('w', f'{last}.t', whole)} AS {MONEY})"
+    pvt = f"CAST({tv} * {factor('w', f'{last}.t')} AS {MONEY})"
     return (
         base.selectExpr(
             *K, "w AS wacc", "g AS terminal_growth", "claims", "shares",
-            "CASE WHEN beta = 0 THEN 'beta is zero' WHEN we <= 0 THEN 'no equity weight' WHEN w <= g THEN 'n/a: WACC <= g' END AS note",
+            f"CASE WHEN flows[0].t < 0 THEN 'cash flow before the valuation date' WHEN beta = 0 THEN 'beta is zero' WHEN we <= 0 THEN 'no equity weight' WHEN w <= g THEN 'n/a: WACC <= g' END AS note",
             f"CASE WHEN w > g AND beta <> 0 AND we > 0 THEN CAST({pv} + {pvt} AS {MONEY}) END AS enterprise_value",
         )
         .selectExpr("*", f"CAST(enterprise_value + claims AS {MONEY}) AS equity_value")
@@ -186,15 +189,15 @@ def _flow_base(years: DataFrame) -> DataFrame:
     )
 
 
-def sensitivity(years: DataFrame, wacc_axis: Sequence[str], growth_axis: Sequence[str], whole: bool = True) -> DataFrame:
+def sensitivity(years: DataFrame, wacc_axis: Sequence[str], growth_axis: Sequence[str]) -> DataFrame:
     """Fixed axes; the cells of a scenario come from its own row, so no join and no shuffle."""
     ws = "array(" + ", ".join(f"CAST({w} AS {W})" for w in wacc_axis) + ")"
     gs = "array(" + ", ".join(f"CAST({g} AS {W})" for g in growth_axis) + ")"
     b = _flow_base(years).selectExpr("*", f"explode({ws}) AS w").selectExpr("*", f"explode({gs}) AS g")
-    return _cells(b, whole)
+    return _cells(b)
 
 
-def centred_grid(years: DataFrame, step: str = "0.0025", each_way: int = 2, whole: bool = True) -> DataFrame:
+def centred_grid(years: DataFrame, step: str = "0.0025", each_way: int = 2) -> DataFrame:
     """Axes centred on each scenario's own WACC and growth."""
     offs = f"sequence(-{each_way}, {each_way})"
     b = (
@@ -202,7 +205,7 @@ def centred_grid(years: DataFrame, step: str = "0.0025", each_way: int = 2, whol
         .selectExpr("*", f"explode(transform({offs}, i -> CAST(base_wacc + i * CAST({step} AS {R}) AS {W}))) AS w")
         .selectExpr("*", f"explode(transform({offs}, i -> CAST(base_growth + i * CAST({step} AS {R}) AS {W}))) AS g")
     )
-    return _cells(b, whole)
+    return _cells(b)
 
 
 def grid_table(cells: DataFrame, growth_axis: Sequence[str]) -> DataFrame:

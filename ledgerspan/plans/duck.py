@@ -130,7 +130,7 @@ cte(
         for s, a, e in D.LEDGER_LINES
         if s != "cashflow" and a in ("revenue", "cogs", "operating_expenses", "accounts_receivable", "debt")
     )
-    + f" FROM cy WHERE year = {D.LAST_YEAR}",
+    + " FROM cy QUALIFY year = max(year) OVER (PARTITION BY company_id)",
     "cy",
 )
 cte(

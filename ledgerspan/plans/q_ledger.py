@@ -119,11 +119,11 @@ def _drv_rows(src: str) -> str:
 
 
 cte("drv", _drv_rows("wide"), "wide")
-CLOSE = "abs({a} - {b}) <= greatest(greatest(abs({a}), abs({b})) * CAST({rel} AS DECIMAL(10,9)), CAST('0.000001' AS DECIMAL(10,9)))"
+CLOSE = "abs({a} - {b}) <= greatest(greatest(abs({a}), abs({b})) * CAST({rel} AS DECIMAL(10,9)), CAST({floor} AS DECIMAL(10,9)))"
 
 
-def close_sql(a: str, b: str, rel: str = "'0.000000001'") -> str:
-    return CLOSE.format(a=a, b=b, rel=rel)
+def close_sql(a: str, b: str, rel: str = "'0.000000001'", floor: str = "'0'") -> str:
+    return CLOSE.format(a=a, b=b, rel=rel, floor=floor)
 
 
 @register(

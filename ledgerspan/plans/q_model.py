@@ -139,14 +139,22 @@ def h13(spark, sf):
     return D.ledger(spark, sf).select("company_id").distinct().selectExpr("company_id", L.stacked(rows, ("schedule", "reason")))
 
 
+cte("schedrows",
+    " UNION ALL ".join(f"SELECT company_id, year, schedule, '{c}' AS line, CAST({e} AS {M}) AS value FROM roll" for c, e in (("opening", "opening"), ("movements", "movements"), ("computed_ending", "computed_ending"), ("reported_ending", "reported_ending"), ("unexplained", "computed_ending - reported_ending")))
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT company_id, year, 'working_capital', '{c}', {e} FROM wc2" for c, e in (("operating_assets", "oa"), ("operating_liabilities", "ol"), ("nwc", "nwc"), ("change_in_nwc", "dnwc")))
+    + f" UNION ALL SELECT company_id, year, 'days', driver, CAST(days AS {M}) FROM ({_DAYS_SQL})"
+    + f" UNION ALL SELECT company_id, year, 'tax', 'effective_rate', CAST(rate AS {M}) FROM tax"
+    + f" UNION ALL SELECT company_id, year, 'interest', basis, CAST(rate AS {M}) FROM ("
+    + " UNION ALL ".join(f"SELECT company_id, year, '{b}' AS basis, CAST(CASE WHEN {d} <> 0 THEN is_interest_expense / {d} END AS DECIMAL(20,8)) AS rate FROM prevd WHERE n > 1" for b, d in (("beginning", "prev_bs_debt"), ("average", "((prev_bs_debt + bs_debt) / 2)"))) + ")",
+    "roll", "wc2", "tax", "prevd", "derived")
+
+
 @register("h14_schedule_set", sql(
     "SELECT schedule, line, CAST(count(value) AS BIGINT) AS periods, " + sd("sum(value)", "total", 2) + " FROM ("
-    + " UNION ALL ".join(f"SELECT schedule, '{c}' AS line, {c} AS value FROM roll" for c in ("opening", "movements", "computed_ending", "reported_ending"))
-    + " UNION ALL SELECT schedule, 'unexplained', computed_ending - reported_ending FROM roll"
-    + " UNION ALL " + " UNION ALL ".join(f"SELECT 'working_capital', '{c}', {e} FROM wc2" for c, e in (("operating_assets", "oa"), ("operating_liabilities", "ol"), ("nwc", "nwc"), ("change_in_nwc", "dnwc")))
-    + ") GROUP BY schedule, line", "roll", "wc2"))
+    "SELECT schedule, line, value FROM schedrows"
+    + ") GROUP BY schedule, line", "schedrows"))
 def h14(spark, sf):
-    s = H.schedule_set(full(spark, sf)).where("schedule NOT IN ('days', 'tax', 'interest')")
+    s = H.schedule_set(full(spark, sf))
     return as_double(s.groupBy("schedule", "line").agg(F.count("value").alias("periods"), F.sum("value").alias("total")), "total", places=2)
 
 
@@ -155,17 +163,14 @@ def a16(spark, sf):
     return as_double(H.total_unexplained(H.rollforward(full(spark, sf))), "total_unexplained")
 
 
-@register("h15_schedule_rows", sql(
-    "SELECT company_id, " + ", ".join(even(f"max(CASE WHEN year = {y} AND bs_accounts_receivable IS NOT NULL AND is_revenue <> 0 THEN bs_accounts_receivable / is_revenue * 365 END)", f"dso_{y}") for y in (1999, 2000, 2001))
-    + " FROM derived GROUP BY company_id", "derived"))
+@register("h15_schedule_rows", sql("SELECT company_id, year, schedule, line, " + sd("value", "value") + " FROM schedrows", "schedrows"))
 def h15(spark, sf):
-    d = H.days_drivers(full(spark, sf)).where("driver = 'dso'")
-    p = d.groupBy("company_id").pivot("year", [1999, 2000, 2001]).agg(F.first("days"))
-    return p.select("company_id", *[F.col(str(y)).cast("double").alias(f"dso_{y}") for y in (1999, 2000, 2001)])
+    """Every schedule line of every company and year; an absent figure stays a row without a value."""
+    return as_double(H.schedule_set(full(spark, sf)), "value")
 
 
 @register("w07_chain_check", sql(
-    "SELECT company_id, year, schedule, " + close_sql("opening", "prev").replace("0.000001", "1") + " AS agrees FROM (SELECT *, lag(reported_ending) OVER (PARTITION BY company_id, schedule ORDER BY year) AS prev FROM roll) WHERE prev IS NOT NULL AND opening IS NOT NULL", "roll"))
+    "SELECT company_id, year, schedule, " + close_sql("opening", "prev", floor="'1'") + " AS agrees FROM (SELECT *, lag(reported_ending) OVER (PARTITION BY company_id, schedule ORDER BY year) AS prev FROM roll) WHERE prev IS NOT NULL AND opening IS NOT NULL", "roll"))
 def w07(spark, sf):
     return H.chain_check(H.rollforward(full(spark, sf))).select("company_id", "year", "schedule", "agrees")
 
@@ -182,7 +187,7 @@ def c12(spark, sf):
 
 
 @register("m14_propose_drivers", sql(
-    "SELECT company_id, driver AS code, CAST(days AS DOUBLE) AS value, year AS measured_year FROM (" + _DAYS_SQL + ") WHERE year = 2001 AND days IS NOT NULL"
+    "SELECT company_id, driver AS code, CAST(days AS DOUBLE) AS value, year AS measured_year FROM (SELECT * FROM (" + _DAYS_SQL + ") QUALIFY year = max(year) OVER (PARTITION BY company_id)) WHERE days IS NOT NULL"
     " UNION ALL SELECT company_id, 'interest_rate_on_debt', " + sd("arg_min(CAST(is_interest_expense / prev_bs_debt AS DECIMAL(20,8)), year)", "value", 6) + ", min(year) FROM prevd WHERE n > 1 AND is_interest_expense IS NOT NULL AND prev_bs_debt <> 0 GROUP BY company_id"
     " UNION ALL SELECT company_id, 'tax_rate', " + sd("arg_max(rate, year)", "value", 6) + ", max(year) FROM tax WHERE rate >= 0 AND rate < 1 GROUP BY company_id"
     " UNION ALL SELECT company_id, 'depreciation_pct_beginning_ppe', " + sd("arg_min(CAST(CASE WHEN splits THEN cf_depreciation ELSE cf_depreciation_amortization END / prev_bs_ppe_net AS DECIMAL(20,8)), year)", "value", 6)
@@ -191,7 +196,7 @@ def m14(spark, sf):
     return as_double(H.propose_drivers(full(spark, sf)).select("company_id", "code", "value", "measured_year"), "value", places=6)
 
 
-@register("m15_unproposable", sql("SELECT company_id, code, reason FROM (SELECT company_id, bs_other_current_assets AS a, bs_other_current_liabilities AS l FROM derived WHERE year = 2001), ("
+@register("m15_unproposable", sql("SELECT company_id, code, reason FROM (SELECT company_id, bs_other_current_assets AS a, bs_other_current_liabilities AS l FROM derived QUALIFY year = max(year) OVER (PARTITION BY company_id)), ("
     + values(H.NOT_MEASURABLE, "code, reason", "n") + ") n WHERE (code <> 'other_current_assets_pct_revenue' OR a IS NULL) AND (code <> 'other_current_liabilities_pct_revenue' OR l IS NULL)", "derived"))
 def m15(spark, sf):
     return H.unproposable(full(spark, sf))
@@ -217,6 +222,21 @@ cte("diffs",
     " LEFT JOIN anyres p ON p.company_id = a.company_id AND p.scenario_id = s.parent_id AND p.code = a.code WHERE s.parent_id IS NOT NULL AND (p.value IS NULL OR p.value <> a.value)", "anyres", "scenario")
 
 
+_EXTRA_SCENARIOS = ((0, "upside", "downside"), (1, "orphan", "nowhere"), (2, "loop_a", "loop_b"), (2, "loop_b", "loop_a"), (3, "free", None))
+
+
+@register("j16_tree_violations",
+    "SELECT s_suppkey AS company_id, v.scenario_id, v.problem FROM supplier JOIN (VALUES (0, 'upside', 'repeated scenario id'), (1, 'orphan', 'unknown parent'), (2, 'loop_a', 'circular inheritance'),"
+    " (2, 'loop_b', 'circular inheritance'), (3, 'free', 'no parent')) AS v(m, scenario_id, problem) ON s_suppkey % 5 = v.m")
+def j16_violations(spark, sf):
+    """Trees with a repeated id, an unknown parent, a circle and a parentless scenario, one kind per company."""
+    good = D.scenarios(spark, sf)
+    cells = ", ".join(f"{m}, '{s}', CAST({q(p)} AS STRING)" for m, s, p in _EXTRA_SCENARIOS)
+    extra = good.select("company_id").distinct().selectExpr("company_id", f"stack({len(_EXTRA_SCENARIOS)}, {cells}) AS (m, scenario_id, parent_id)")
+    extra = extra.where("company_id % 5 = m").selectExpr("company_id", "scenario_id", "parent_id", "scenario_id AS name")
+    return S.tree_violations(good.unionByName(extra))
+
+
 @register("j18_scenario_differences", sql(f"SELECT {K}, parent_id, code, period, " + sd("before", "before", 6) + ", " + sd("after", "after", 6) + " FROM diffs", "diffs"))
 def j18(spark, sf):
     return as_double(S.differences(D.scenarios(spark, sf), D.assumptions(spark, sf)), "before", "after", places=6)
@@ -445,14 +465,15 @@ def s22(spark, sf):
     return as_double(a.unionByName(f).orderBy("company_id", "year"), "revenue", places=2)
 
 
-_SEG = "SELECT l_suppkey AS company_id, l_returnflag AS segment, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(25,8)) AS base_revenue FROM lineitem WHERE year(l_shipdate) = 2001 GROUP BY 1, 2"
+_SEG = "SELECT l_suppkey AS company_id, l_returnflag AS segment, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(25,8)) AS base_revenue FROM lineitem JOIN (SELECT l_suppkey AS k, max(year(l_shipdate)) AS last FROM lineitem GROUP BY 1) m ON m.k = l_suppkey AND m.last = year(l_shipdate) GROUP BY 1, 2"
 cte("segfold", "SELECT company_id, segment, 2001 AS year, base_revenue AS revenue FROM (" + _SEG + ") UNION ALL SELECT company_id, segment, year + 1, CAST(revenue * CAST(1 + CASE segment WHEN 'A' THEN 0.03 WHEN 'N' THEN 0.06 ELSE -0.01 END AS DECIMAL(12,8)) AS DECIMAL(25,8)) FROM segfold WHERE year < 2006")
 
 
 @register("a05_segment_rollup", sql("SELECT company_id, year, " + sd("sum(revenue)", "revenue") + ", CAST(count(*) AS BIGINT) AS segments FROM segfold WHERE year > 2001 GROUP BY 1, 2", "segfold"))
 def a05(spark, sf):
-    li = D.table(spark, sf, "lineitem").where(F.year("l_shipdate") == 2001)
-    seg = li.groupBy(F.col("l_suppkey").alias("company_id"), F.col("l_returnflag").alias("segment")).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(25,8)").alias("base_revenue"))
+    li = D.table(spark, sf, "lineitem").selectExpr("l_suppkey AS company_id", "year(l_shipdate) AS year", "l_returnflag AS segment", "CAST(l_extendedprice AS DECIMAL(12,2)) AS px")
+    by_year = li.groupBy("company_id", "segment", "year").agg(F.sum("px").cast("decimal(25,8)").alias("base_revenue"))
+    seg = by_year.selectExpr("*", "max(year) OVER (PARTITION BY company_id) AS last").where("year = last").drop("year", "last")
     g = seg.selectExpr("company_id", "'base' AS scenario_id", "segment", f"explode({S.years_array(D.FORECAST_YEARS)}) AS year",
                        "CAST(CASE segment WHEN 'A' THEN 0.03 WHEN 'N' THEN 0.06 ELSE -0.01 END AS DECIMAL(12,8)) AS rate")
     return as_double(FC.segment_revenue(seg, g).drop("scenario_id"), "revenue")
@@ -555,6 +576,10 @@ _GRID = ("SELECT company_id, scenario_id, w AS wacc, g AS terminal_growth, CASE
 cte("grid", _GRID + "(SELECT *, row_number() OVER (PARTITION BY company_id, scenario_id ORDER BY year) AS n FROM dyye), (SELECT CAST(unnest([0.08, 0.09, 0.10]) AS DOUBLE) AS w), (SELECT CAST(unnest([0.02, 0.03, 0.09]) AS DOUBLE) AS g) GROUP BY 1, 2, 3, 4", "dyye")
 
 
+cte("gridmy", "SELECT company_id, scenario_id, w AS wacc, g AS terminal_growth, CASE WHEN w <= g THEN 'n/a: WACC <= g' END AS note, CASE WHEN w > g THEN sum(CAST(fcff AS DOUBLE) * pow(1 + w, -t)) + arg_max(CAST(fcff AS DOUBLE), t) * (1 + g) / (w - g) * pow(1 + w, -max(t)) END AS ev"
+    " FROM dymy, (SELECT CAST(unnest([0.08, 0.09, 0.10]) AS DOUBLE) AS w), (SELECT CAST(unnest([0.02, 0.03, 0.09]) AS DOUBLE) AS g) GROUP BY 1, 2, 3, 4", "dymy")
+
+
 @register("v13_sensitivity", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + sd("terminal_growth", "terminal_growth", 6) + ", note, " + sd("ev", "enterprise_value", 1) + ", " + sd("ev + claims", "equity_value", 1) + " FROM grid", "grid"))
 def v13(spark, sf):
     c = V.sensitivity(model(spark, sf).dcf_years(), WACC_AXIS, GROWTH_AXIS)
@@ -570,6 +595,28 @@ def v14(spark, sf):
     return c.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), dbl("terminal_growth", 6).alias("terminal_growth"), dbl("enterprise_value", 3).alias("enterprise_value"))
 
 
+@register("v13_sensitivity_mid_year", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + sd("terminal_growth", "terminal_growth", 6) + ", note, " + sd("ev", "enterprise_value", 1) + " FROM gridmy", "gridmy"))
+def v13_mid_year(spark, sf):
+    c = V.sensitivity(model(spark, sf).dcf_years("mid_year"), WACC_AXIS, GROWTH_AXIS)
+    return c.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), dbl("terminal_growth", 6).alias("terminal_growth"), "note", dbl("enterprise_value", 1).alias("enterprise_value"))
+
+
+@register("v14_centred_grid_exact_date", sql(
+    "SELECT company_id, scenario_id, " + sd("w", "wacc", 6) + ", " + sd("g", "terminal_growth", 6) + ", " + sd("CASE WHEN w > g THEN sum(CAST(fcff AS DOUBLE) * pow(1 + w, -t)) + arg_max(CAST(fcff AS DOUBLE), t) * (1 + g) / (w - g) * pow(1 + w, -max(t)) END", "enterprise_value", 1)
+    + " FROM (SELECT *, wacc + i * 0.0025 AS w, CAST(m_terminal_growth AS DOUBLE) + j * 0.0025 AS g FROM dyex, (SELECT CAST(unnest(range(-2, 3)) AS DOUBLE) AS i), (SELECT CAST(unnest(range(-2, 3)) AS DOUBLE) AS j) WHERE m_terminal_growth IS NOT NULL)"
+    " GROUP BY company_id, scenario_id, w, g", "dyex"))
+def v14_exact_date(spark, sf):
+    c = V.centred_grid(model(spark, sf).dcf_years("exact_date", valuation_date="2001-06-30"))
+    return c.select("company_id", "scenario_id", dbl("wacc", 6).alias("wacc"), dbl("terminal_growth", 6).alias("terminal_growth"), dbl("enterprise_value", 1).alias("enterprise_value"))
+
+
+@register("v05_refused_dates", sql(f"SELECT {K}, CASE WHEN min(year) < 2003 THEN 'cash flow before the valuation date' END AS blocked_by FROM fc GROUP BY {K}", "fc"))
+def v05_refused(spark, sf):
+    """A valuation date behind the first flow compounds it instead of discounting: the scenario is refused."""
+    v = V.value(model(spark, sf).dcf_years("exact_date", valuation_date="2003-06-30"))
+    return v.select("company_id", "scenario_id", F.when(F.col("blocked_by").contains("before the valuation date"), "cash flow before the valuation date").alias("blocked_by"))
+
+
 @register("e10_sensitivity_table", sql(f"SELECT {K}, " + sd("wacc", "wacc", 6) + ", " + ", ".join(sd(f"max(CASE WHEN terminal_growth = {g} THEN ev END)", f"g_{g[2:]}", 1) for g in GROWTH_AXIS) + f" FROM grid GROUP BY {K}, wacc", "grid"))
 def e10(spark, sf):
     c = V.sensitivity(model(spark, sf).dcf_years(), WACC_AXIS, GROWTH_AXIS).withColumn("terminal_growth", F.col("terminal_growth").cast("decimal(4,2)").cast("string"))
@@ -590,12 +637,6 @@ _HIST = " UNION ALL ".join([
 ])
 
 
-@register("l16_historical_check_set", sql(_HIST, "prevd"))
-def l16(spark, sf):
-    r = C.historical_checks(L.fill_with_reported(L.to_wide(D.ledger(spark, sf))))
-    return r.where("check_name <> 'reported subtotals reconcile'").select("company_id", "check_name", "status")
-
-
 def _from_filled(t: str) -> str:
     """A subtotal from the filled columns, beside the reported one."""
     return f"SELECT w.company_id, w.{_PREFIX[dims.DERIVATIONS[t][0]]}{t} AS reported, d.derived FROM wide w JOIN (SELECT company_id, year, {_drv(t)} AS derived FROM derived) d USING (company_id, year)"
@@ -604,6 +645,12 @@ def _from_filled(t: str) -> str:
 cte("drvf", " UNION ALL ".join(_from_filled(t) for t in dims.DERIVATIONS), "wide", "derived")
 
 
+@register("l16_historical_check_set", sql(_HIST + " UNION ALL SELECT company_id, 'reported subtotals reconcile', CASE WHEN count(reported - derived) = 0 THEN 'SKIP' WHEN count(*) FILTER (WHERE NOT " + close_sql("reported", "derived", "'0.000001'") + ") > 0 THEN 'FAIL' ELSE 'PASS' END FROM drvf GROUP BY company_id", "prevd", "drvf"))
+def l16(spark, sf):
+    r = C.historical_checks(L.fill_with_reported(L.to_wide(D.ledger(spark, sf))))
+    return r.select("company_id", "check_name", "status")
+
+
 @register("c03_reported_subtotals", sql(
     "SELECT company_id, CASE WHEN count(reported - derived) = 0 THEN 'SKIP' WHEN count(*) FILTER (WHERE NOT " + close_sql("reported", "derived", "'0.000001'") + ") > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM drvf GROUP BY company_id", "drvf"))
 def c03(spark, sf):
@@ -634,17 +681,19 @@ _PANEL_SQL = (
         f"SELECT o.company_id, o.scenario_id, 'net income linkage', CASE WHEN max(CASE WHEN NOT ({close_sql('is_net_income', 'cf_net_income')}) THEN 1 ELSE 0 END) > 0 THEN 'FAIL' ELSE 'PASS' END FROM okscen o JOIN prevd p USING (company_id) GROUP BY 1, 2",
     ])
 )
-_PANEL_NEEDS = ("fcp", "valye", "prevd", "okscen")
+_SUBTOTALS = ("SELECT company_id, 'reported subtotals reconcile' AS check_name, CASE WHEN count(reported - derived) = 0 THEN 'SKIP' WHEN count(*) FILTER (WHERE NOT "
+              + close_sql("reported", "derived", "'0.000001'") + ") > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM drvf GROUP BY company_id")
+_PANEL_SQL += f" UNION ALL SELECT o.company_id, o.scenario_id, h.check_name, h.status FROM okscen o JOIN ({_SUBTOTALS}) h USING (company_id)"
+_PANEL_NEEDS = ("fcp", "valye", "prevd", "okscen", "drvf")
 
 
 @register("u03_all_checks", sql(_PANEL_SQL, *_PANEL_NEEDS))
 def u03(spark, sf):
-    return model(spark, sf).checks.where("check_name <> 'reported subtotals reconcile'").select("company_id", "scenario_id", "check_name", "status")
+    return model(spark, sf).checks.select("company_id", "scenario_id", "check_name", "status")
 
 
 @register("a12_check_summary", sql(
     "SELECT scenario_id, check_name, " + ", ".join(f"CAST(count(*) FILTER (WHERE status = '{x}') AS BIGINT) AS {x.lower()}" for x in ("PASS", "FAIL", "SKIP"))
     + f" FROM ({_PANEL_SQL}) GROUP BY ROLLUP (scenario_id, check_name)", *_PANEL_NEEDS))
 def a12(spark, sf):
-    checks = model(spark, sf).checks.where("check_name <> 'reported subtotals reconcile'")
-    return C.counts(checks, "scenario_id", "check_name")
+    return C.counts(model(spark, sf).checks, "scenario_id", "check_name")

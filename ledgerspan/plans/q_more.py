@@ -13,7 +13,6 @@ from ..operators import portfolio as PF
 from ..sources import derived as D
 from ..sources import readers as R
 from ..sources import writers as WR
-from ..streaming import streams as ST  # noqa: F401
 from .duck import M, cte, q, sql, values
 from .q_ledger import _drv, full
 from .q_model import _PANEL_NEEDS, _PANEL_SQL, model
@@ -39,7 +38,7 @@ def p28(spark, sf):
     return d.select("company_id", "statement", "account", "year", F.translate("text", ",", "").cast("double").alias("shown"), money.is_rounded(F.col("value"), 0).alias("is_rounded"))
 
 
-@register("p26_close", sql("SELECT company_id, year, abs(v - p) <= greatest(greatest(abs(v), abs(p)) * 0.1, 0.000001) AS within FROM (SELECT company_id, year, value AS v, lag(value) OVER (PARTITION BY company_id ORDER BY year) AS p FROM ledger WHERE account = 'revenue') WHERE p IS NOT NULL", "ledger"))
+@register("p26_close", sql("SELECT company_id, year, abs(v - p) <= greatest(abs(v), abs(p)) * 0.1 AS within FROM (SELECT company_id, year, value AS v, lag(value) OVER (PARTITION BY company_id ORDER BY year) AS p FROM ledger WHERE account = 'revenue') WHERE p IS NOT NULL", "ledger"))
 def p26(spark, sf):
     r = D.ledger(spark, sf).where("account = 'revenue'").withColumn("p", F.lag("value").over(L.by_year())).where("p IS NOT NULL")
     return r.select("company_id", "year", money.close(F.col("value"), F.col("p"), rel="0.1").alias("within"))
@@ -92,9 +91,6 @@ def s23(spark, sf):
     return li.agg(F.count("*").alias("cells"), F.count_if(~money.survives_double(F.col("value"))).alias("lost"))
 
 
-_FP = "string_agg({p}, '' ORDER BY {p})"
-
-
 @register("a23_input_fingerprint", sql("SELECT company_id, sha256(string_agg(octet_length(encode(p)) || ':' || p, '' ORDER BY octet_length(encode(p)) || ':' || p)) AS fingerprint FROM (SELECT company_id, statement || '.' || account || '.' || year || '=' || value AS p FROM ledger) GROUP BY company_id", "ledger"))
 def a23(spark, sf):
     return AU.fingerprint(D.ledger(spark, sf), ["company_id"], F.concat("statement", F.lit("."), "account", F.lit("."), "year", F.lit("="), "value"))
@@ -105,11 +101,11 @@ def a24(spark, sf):
     return AU.fingerprint(model(spark, sf).resolved, ["company_id", "scenario_id"], F.concat("code", F.lit("@"), "year", F.lit("="), "value", F.lit(":"), "status"))
 
 
-@register("j35_changed_from_previous", sql("SELECT company_id, year, account, " + sd("before", "before") + ", " + sd("after", "after") + " FROM (SELECT company_id, year, account, value AS before, CASE WHEN account = 'cash' AND year = 2001 THEN value + 1 ELSE value END AS after FROM ledger WHERE statement = 'balance') WHERE before <> after", "ledger"))
+@register("j35_changed_from_previous", sql("SELECT company_id, statement, year, account, " + sd("before", "before") + ", " + sd("after", "after") + " FROM (SELECT company_id, statement, year, account, value AS before, CASE WHEN account IN ('cash', 'revenue', 'capex') AND (company_id + year) % 2 = 0 THEN value + 1 ELSE value END AS after FROM ledger) WHERE before <> after", "ledger"))
 def j35(spark, sf):
-    old = D.ledger(spark, sf).where("statement = 'balance'")
-    new = old.withColumn("value", F.expr(f"CAST(CASE WHEN account = 'cash' AND year = 2001 THEN value + 1 ELSE value END AS {money.MONEY})"))
-    return as_double(AU.changed_from_previous(old, new, ["company_id", "year", "account"]), "before", "after")
+    old = D.ledger(spark, sf)
+    new = old.withColumn("value", F.expr(f"CAST(CASE WHEN account IN ('cash', 'revenue', 'capex') AND (company_id + year) % 2 = 0 THEN value + 1 ELSE value END AS {money.MONEY})"))
+    return as_double(AU.changed_from_previous(old, new, ["company_id", "statement", "year", "account"]), "before", "after")
 
 
 @register("j34_impact_preview", sql("SELECT company_id, scenario_id, year, code, " + sd("value", "before", 6) + ", " + sd("CASE WHEN code = 'beta' THEN value + 1 END", "after", 6) + " FROM resolved WHERE code = 'beta'", "resolved"))
@@ -145,26 +141,42 @@ def x05(spark, sf):
     return as_double(X.recompute_affected(full(spark, sf), METRICS, ["bs_debt"]).drop("unit", "reason"), "value")
 
 
-@register("x04_metric_environment", sql("SELECT company_id, year, " + sd("is_ebit + cf_depreciation_amortization", "ebitda") + " FROM derived WHERE is_ebit IS NOT NULL AND cf_depreciation_amortization IS NOT NULL", "derived"))
+def _environment_sql() -> str:
+    """Each subtotal by its own rule over the derived columns, and the optional terms that were absent."""
+    home = {a: {"income": "is_", "balance": "bs_", "cashflow": "cf_"}[s[-1]] + a for a, s, *_ in reversed(dims.CHART)}
+    parts = []
+    for t, (_, plus, minus) in dims.DERIVATIONS.items():
+        terms = [(home[x], "+", x) for x in plus] + [(home[x], "-", x) for x in minus]
+        needed = [f"{c} IS NOT NULL" for c, _, x in terms if x not in dims.OPTIONAL_TERMS] or [f"COALESCE({', '.join(c for c, _, _ in terms)}) IS NOT NULL"]
+        total = " ".join(f"{sign} COALESCE({c}, 0)" for c, sign, _ in terms)
+        nil = [f"CASE WHEN {c} IS NULL THEN '{x}' END" for c, _, x in terms if x in dims.OPTIONAL_TERMS] + ["NULL"]
+        parts.append(f"SELECT company_id, year, '{t}' AS metric, CAST(0 {total} AS {M}) AS value, concat_ws(',', {', '.join(nil)}) AS assumed_nil FROM derived WHERE {' AND '.join(needed)}")
+    return " UNION ALL ".join(parts)
+
+
+@register("x04_metric_environment", sql("SELECT company_id, year, metric, " + sd("value", "value") + f", assumed_nil FROM ({_environment_sql()})", "derived"))
 def x04(spark, sf):
-    e = X.metric_environment(full(spark, sf)).where("metric = 'ebitda'")
-    return e.select("company_id", "year", dbl("value").alias("ebitda"))
+    return as_double(X.metric_environment(full(spark, sf)), "value")
+
+
+def _statement_sql(statement: str) -> str:
+    px = {"income": "is_", "balance": "bs_", "cashflow": "cf_"}[statement]
+    return " UNION ALL ".join(
+        f"SELECT company_id, year, '{a}' AS account, {sd(px + a, 'value')}, CASE WHEN {px + a} IS NULL THEN '{PF.NOT_REPORTED}' END AS reason FROM derived" for s, a in dims.slots() if s == statement)
 
 
-_YEARS = (1999, 2000, 2001)
 for _s, _key in (("income", "e05_historical_income"), ("balance", "e05_historical_balance"), ("cashflow", "e05_historical_cashflow")):
     def _table(spark, sf, s=_s):
-        t = PF.statement_table(full(spark, sf), s, _YEARS)
-        return t.select("company_id", "account", *[dbl(str(y)).alias(f"y{y}") for y in _YEARS])
+        return as_double(PF.statement_rows(full(spark, sf), s), "value")
 
-    register(_key, sql("SELECT company_id, account, " + ", ".join(sd(f"max(CASE WHEN year = {y} THEN value END)", f"y{y}") for y in _YEARS) + f" FROM filled WHERE statement = '{_s}' GROUP BY 1, 2", "filled"))(_table)
+    register(_key, sql(_statement_sql(_s), "derived"))(_table)
 
 
 _CL = values(PF.CLAUSES, "check_name, clause", "cl")
 _REG = values([(c, cl, sv, st) for c, cl, sv, _, _, st in dims.CHECK_REGISTRY], "code, clause, severity, stage", "rg")
 cte("panel30", f"SELECT s.company_id, s.scenario_id, rg.clause, rg.severity, rg.stage, COALESCE(k.status, 'SKIP') AS status FROM scenario s CROSS JOIN ({_REG}) rg LEFT JOIN (SELECT p.company_id, p.scenario_id, cl.clause, p.status FROM panelrows p JOIN ({_CL}) cl USING (check_name)) k"
     " ON k.company_id = s.company_id AND k.scenario_id = s.scenario_id AND k.clause = rg.clause", "scenario", "panelrows")
-cte("panelrows", _PANEL_SQL + " UNION ALL SELECT o.company_id, o.scenario_id, 'reported subtotals reconcile', h.status FROM okscen o JOIN (SELECT company_id, CASE WHEN count(reported - derived) = 0 THEN 'SKIP' WHEN count(*) FILTER (WHERE NOT abs(reported - derived) <= greatest(greatest(abs(reported), abs(derived)) * 0.000001, 0.000001)) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM drvf GROUP BY 1) h USING (company_id)", *_PANEL_NEEDS, "drvf")
+cte("panelrows", _PANEL_SQL, *_PANEL_NEEDS)
 
 
 @register("c17_registry_panel", sql("SELECT company_id, scenario_id, clause, severity, status FROM panel30", "panel30"))

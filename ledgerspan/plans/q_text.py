@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as TX
-from ..layers import spread
 from ..operators import audit as AU
 from ..sources import derived as D
 from .duck import q, sql, values
@@ -28,7 +27,7 @@ def _redact_sql(c: str) -> str:
 
 @register("p31_redact_text", f"SELECT doc_id, md5(redacted) AS digest, redacted <> text AS changed, CAST(len(regexp_extract_all(redacted, '\\[redacted')) AS INTEGER) AS marks FROM (SELECT doc_id, text, {_redact_sql('text')} AS redacted FROM documents)")
 def p31(spark, sf):
-    d = spread(D.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", TX.redact(F.col("text")).alias("redacted"))
+    d = D.table(spark, sf, "documents").select("doc_id", "text").select("doc_id", "text", TX.redact(F.col("text")).alias("redacted"))
     return d.select("doc_id", F.md5("redacted").alias("digest"), (F.col("redacted") != F.col("text")).alias("changed"), F.size(F.regexp_extract_all("redacted", F.lit(r"(\[redacted)"), 1)).alias("marks"))
 
 

@@ -164,12 +164,15 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drivers and market inputs per company and scenario, measured on the last actual year."""
+    """Drivers and market inputs per company and scenario, measured on the company's own last year."""
     names = {a: e for s, a, e in LEDGER_LINES if s != "cashflow"}
+    measured = ("revenue", "cogs", "operating_expenses", "accounts_receivable", "debt")
     last = (
         company_year(spark, sf_dir)
-        .where(F.col("year") == LAST_YEAR)
-        .select("company_id", *[F.expr(names[a]).cast(MONEY).alias(a) for a in ("revenue", "cogs", "operating_expenses", "accounts_receivable", "debt")])
+        .select("company_id", "year", *[F.expr(names[a]).cast(MONEY).alias(a) for a in measured])
+        .groupBy("company_id")
+        .agg(F.max_by(F.struct(*measured), "year").alias("last"))
+        .select("company_id", "last.*")
     )
     cells = []
     for i, (s, c, p, u, v, st, src, k) in enumerate(ASSUMPTIONS):

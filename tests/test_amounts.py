@@ -71,3 +71,14 @@ def test_proposals(spark):
         c = got[(label, st)]
         assert (c[0].account if c else None) == want, (label, c)
     assert len(LB.RULES) == 88
+
+
+def test_figures_beyond_the_type_are_coded_and_reviewed(spark):
+    from ledgerspan import dims
+
+    rows = [("123456789012345678", "OUT_OF_RANGE"), ("0.123456789", "TOO_PRECISE"), ("-0.000000001", "TOO_PRECISE"), ("12345678901234567.5", None), ("0.12345678", None), ("1.5000000000", None), ("000000000000000000012", None)]
+    df = spark.createDataFrame([(r, "dot_decimal") for r, _ in rows], "raw_value string, locale string")
+    got = {r.raw_value: r.parsed for r in A.parse_amounts(df).collect()}
+    for raw, code in rows:
+        assert (code in got[raw].codes if code else got[raw].codes == []) and (got[raw].value is None) == bool(code), raw
+        assert code is None or code in dims.BLOCKING

@@ -161,3 +161,49 @@ def test_absent_is_never_zero(spark):
     rows = [(1, "income", "revenue", 2025, "10"), (1, "cashflow", "other_operating", 2025, "5")]
     w = L.fill_derivable(L.to_wide(typed(spark, rows, LEDGER))).first()
     assert w.is_gross_profit is None and w.cf_cash_flow_from_operations is None and w.is_operating_expenses is None and w.is_ebitda is None
+
+
+def test_grid_centre_is_the_valuation_for_every_convention(spark):
+    from ledgerspan.operators import valuation as V
+    from ledgerspan.plans.q_model import model
+
+    m = model(spark, "/root/testdata/sf0.001")
+    for convention, kw in (("year_end", {}), ("mid_year", {}), ("exact_date", {"valuation_date": "2001-06-30"})):
+        years = m.dcf_years(convention, **kw)
+        value = {(r.company_id, r.scenario_id): r for r in V.value(years).where("enterprise_value IS NOT NULL").collect()}
+        cells = V.centred_grid(years).collect()
+        centre = [c for c in cells if (c.company_id, c.scenario_id) in value and c.wacc == value[c.company_id, c.scenario_id].wacc and c.terminal_growth == value[c.company_id, c.scenario_id].terminal_growth]
+        assert len(centre) == len(value) > 0
+        for c in centre:
+            v = value[c.company_id, c.scenario_id]
+            assert abs(c.enterprise_value - v.enterprise_value) <= abs(v.enterprise_value) * Decimal("1e-9")
+
+
+def test_flow_before_the_valuation_date_is_refused(spark):
+    from ledgerspan.operators import valuation as V
+    from ledgerspan.plans.q_model import model
+
+    years = model(spark, "/root/testdata/sf0.001").dcf_years("exact_date", valuation_date="2003-06-30")
+    rows = V.value(years).collect()
+    assert rows and all(r.enterprise_value is None and r.blocked_by for r in rows)
+    assert any("before the valuation date" in r.blocked_by for r in rows)
+
+
+def test_repeated_scenario_is_reported_and_does_not_stop_the_rest(spark):
+    from ledgerspan.operators import scenarios as S
+
+    rows = [(1, "base", None), (1, "upside", "base"), (1, "upside", "other"), (2, "base", None), (2, "down", "base")]
+    df = spark.createDataFrame(rows, "company_id long, scenario_id string, parent_id string")
+    assert {(r.company_id, r.scenario_id, r.problem) for r in S.tree_violations(df).collect()} == {(1, "upside", "repeated scenario id")}
+    assert {(r.company_id, r.scenario_id) for r in S.scenario_lineage(df).collect()} == {(1, "base"), (1, "upside"), (2, "base"), (2, "down")}
+
+
+def test_drivers_follow_each_company_s_own_last_year(spark, tmp_path):
+    from datetime import date
+
+    from ledgerspan.sources import derived as D
+
+    line = lambda s, y: (s, 1, date(y, 5, 1), 100.0 * s, 0.05, 0.02, 3.0, "N", "O")
+    spark.createDataFrame([line(1, 1999), line(1, 2000), line(2, 2001)], "l_suppkey long, l_partkey long, l_shipdate date, l_extendedprice double, l_discount double, l_tax double, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 9.0)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.company_id for r in D.assumptions(spark, str(tmp_path)).select("company_id").distinct().collect()} == {1, 2}
