@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -76,3 +76,14 @@ class Model:
     @cached_property
     def checks(self) -> DataFrame:
         return C.all_checks(self.filled, self.forecast, self.prepared)
+
+    def staged(self, root: str) -> "Model":
+        """The same model with ledger, filled rows, assumptions, prepared rows and forecast written under `root` (a
+        folder that all executors see) and read from there, so many tables cost one pass over the transactions."""
+        spark = self.ledger.sparkSession
+        out = replace(self)
+        for name in ("ledger", "assumptions", "filled", "prepared", "forecast"):
+            getattr(out, name).write.mode("overwrite").parquet(f"{root}/{name}")
+            value = spark.read.schema(getattr(out, name).schema).parquet(f"{root}/{name}")
+            object.__setattr__(out, name, value) if name in ("ledger", "assumptions") else out.__dict__.__setitem__(name, value)
+        return out

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import dims, money
 from ..operators import audit as AU
 from ..operators import checks as C
+from ..operators import exports as EX
+from ..operators import forecast as FC
 from ..operators import ledger as L
 from ..operators import metrics as X
 from ..operators import portfolio as PF
@@ -201,3 +203,67 @@ def m18(spark, sf):
 @register("a15_portfolio_cards", sql("SELECT CAST(count(*) AS BIGINT) AS models, CAST(count(*) FILTER (WHERE f.state = 'ok' AND m.m_terminal_growth IS NOT NULL) AS BIGINT) AS valuation_ready, CAST(count(*) FILTER (WHERE f.state = 'opening balances') AS BIGINT) AS needs_review, CAST(count(*) FILTER (WHERE f.state <> 'ok' OR m.m_terminal_growth IS NULL) AS BIGINT) AS unresolved FROM fstatus f JOIN market m USING (company_id, scenario_id) WHERE f.scenario_id = 'base'", "fstatus", "market"))
 def a15(spark, sf):
     return PF.cards(PF.standing(model(spark, sf).status))
+
+
+# ---- export tables ----------------------------------------------------------------------------
+_COVER = "SELECT s.company_id, s.scenario_id, s.name, l.first, l.last, f.state FROM scenario s JOIN (SELECT company_id, min(year) AS first, max(year) AS last FROM ledger GROUP BY 1) l USING (company_id) LEFT JOIN fstatus f USING (company_id, scenario_id)"
+
+
+@register("e01_cover", sql(" UNION ALL ".join(f"SELECT company_id, scenario_id, '{n}' AS field, {e} AS value FROM ({_COVER})" for n, e in (
+    ("scenario", "name"), ("first_actual", "CAST(first AS VARCHAR)"), ("last_actual", "CAST(last AS VARCHAR)"), ("forecast", f"'{min(D.FORECAST_YEARS)}-{max(D.FORECAST_YEARS)}'"), ("state", "state"))), "scenario", "ledger", "fstatus"))
+def e01(spark, sf):
+    return EX.cover(model(spark, sf))
+
+
+@register("e06_schedules", sql("SELECT company_id, year, schedule, line, " + sd("value", "value") + f", CASE WHEN value IS NULL THEN '{EX.NOT_COMPUTABLE}' END AS reason FROM schedrows", "schedrows"))
+def e06(spark, sf):
+    return as_double(EX.schedules(model(spark, sf)), "value")
+
+
+@register("e07_assumptions", sql("SELECT company_id, scenario_id, year, code, " + sd("value", "value", 6) + ", unit, status, source_type, supplied_by, supplied_by <> scenario_id AS inherited FROM resolved", "resolved"))
+def e07(spark, sf):
+    return as_double(EX.assumptions(model(spark, sf)), "value", places=6)
+
+
+def _forecast_sql(statement: str) -> str:
+    rows = [f"SELECT company_id, 'reported' AS scenario_id, account, year, year || 'A' AS label, {sd('value', 'value', 2)} FROM filled WHERE statement = '{statement}'"]
+    for s, a, e, _ in FC.LINES:
+        if s == statement:
+            e = {"gross_profit": "revenue - cogs", "stock_based_compensation": "sbc", "goodwill": "b_goodwill", "intangibles": "b_intangibles", "lease_liabilities": "b_lease_liabilities", "minority_interest": "b_minority_interest"}.get(a, e)
+            rows.append(f"SELECT company_id, scenario_id, '{a}', year, year || 'E', {sd(e, 'value', 2)} FROM fc WHERE ({e}) IS NOT NULL")
+    return " UNION ALL ".join(rows)
+
+
+for _s, _n in (("income", "e08_forecast_income"), ("balance", "e08_forecast_balance"), ("cashflow", "e08_forecast_cashflow")):
+    def _forecast(spark, sf, s=_s):
+        return as_double(EX.forecast_statement(model(spark, sf), s), "value", places=2)
+
+    register(_n, sql(_forecast_sql(_s), "filled", "fc"))(_forecast)
+
+
+@register("e09_dcf", sql("SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT company_id, scenario_id, CAST(year AS INTEGER) AS year, '{n}' AS line, {sd(e, 'value', 1)} FROM dyye" for n, e in (("fcff", "CAST(fcff AS DOUBLE)"), ("present_value", "pv"))]
+    + [f"SELECT company_id, scenario_id, NULL, '{n}', {sd(e, 'value', 1)} FROM valye" for n, e in (("cost_of_equity", "ke"), ("after_tax_debt", "kd"), ("wacc", "wacc"), ("pv_explicit", "pv_explicit"), ("terminal_value", "tv"),
+       ("pv_terminal", "pv_terminal"), ("enterprise_value", "ev"), ("equity_value", "equity"), ("per_share", "equity / CAST(m_diluted_shares AS DOUBLE)"))]) + ") WHERE value IS NOT NULL", "dyye", "valye"))
+def e09(spark, sf):
+    return as_double(EX.dcf(model(spark, sf)), "value", places=1)
+
+
+_TITLES = values([(c, t) for c, _, _, _, t, _ in dims.CHECK_REGISTRY], "code, compares", "ti")
+cte("panelcodes", f"SELECT s.company_id, s.scenario_id, rg.code, rg.clause, ti.compares, rg.severity, rg.stage, COALESCE(k.status, 'SKIP') AS status FROM scenario s CROSS JOIN ({_REG}) rg JOIN ({_TITLES}) ti ON ti.code = rg.code"
+    f" LEFT JOIN (SELECT p.company_id, p.scenario_id, cl.clause, p.status FROM panelrows p JOIN ({_CL}) cl USING (check_name)) k ON k.company_id = s.company_id AND k.scenario_id = s.scenario_id AND k.clause = rg.clause", "scenario", "panelrows")
+
+
+@register("e11_checks", sql("SELECT company_id, scenario_id, code, clause, compares, status, severity, stage FROM panelcodes", "panelcodes"))
+def e11(spark, sf):
+    return EX.checks(model(spark, sf)).drop("detail")
+
+
+_MISSING = "concat_ws(', ', " + ", ".join(f"CASE WHEN m.m_{c} IS NULL THEN '{c}' END" for c in sorted(c for c, _, r, _ in dims.MARKET_INPUTS if r)) + ")"
+
+
+@register("e13_limitations", sql(
+    "SELECT company_id, scenario_id, 'forecast' AS stage, state AS reason FROM fstatus WHERE state <> 'ok' UNION ALL SELECT company_id, scenario_id, 'valuation', 'missing: ' || missing FROM ("
+    f"SELECT s.company_id, s.scenario_id, {_MISSING} AS missing FROM scenario s LEFT JOIN market m USING (company_id, scenario_id)) WHERE missing <> ''", "fstatus", "market", "scenario"))
+def e13(spark, sf):
+    return EX.limitations(model(spark, sf))

@@ -97,3 +97,19 @@ def test_rate_burst_matches_brute_force(spark):
     e = spark.createDataFrame(rows, "actor string, event_id bigint, s int").withColumn("at", F.timestamp_seconds("s"))
     got = {r.event_id: r.in_window for r in AU.rate_burst(e, "actor", 10, 2).collect()}
     assert got == {i: sum(1 for _, _, u in rows if t - 10 < u <= t) for _, i, t in rows}
+
+
+def test_export_set_from_a_staged_model(spark, tmp_path):
+    from ledgerspan.operators import exports as EX
+    from ledgerspan.plans.q_model import model
+    from ledgerspan.sources import writers as W
+
+    lazy = model(spark, "/root/testdata/sf0.001")
+    staged = lazy.staged(f"{tmp_path}/stage")
+    tables = EX.export_set(staged)
+    assert set(tables) == {"cover", "schedules", "assumptions", "dcf", "checks", "limitations"} | {f"{a}_{b}" for a in ("historical", "forecast") for b in ("is", "bs", "cf")}
+    assert "lineitem" not in tables["checks"]._jdf.queryExecution().optimizedPlan().toString()
+    W.export_tables({k: tables[k] for k in ("cover", "historical_bs")}, f"{tmp_path}/out", {"version": "1"}, unavailable={"sensitivity": "not asked for"})
+    back = spark.read.parquet(f"{tmp_path}/out/historical_bs")
+    assert back.count() == EX.export_set(lazy)["historical_bs"].count()
+    assert {(r.table_name, r.state) for r in spark.read.parquet(f"{tmp_path}/out/_tables").collect()} == {("cover", "available"), ("historical_bs", "available"), ("sensitivity", "unavailable")}
