@@ -77,9 +77,9 @@ def rate_burst(events: DataFrame, key: str, window_seconds: int, allowed: int) -
 def fingerprint(rows: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
     """Order-free SHA-256 per key over length-prefixed parts.
 
-    Parts are digested where they are; a key's sorted digests are what is collected, and callers key
-    it by company and scenario so that list stays short."""
-    p = rows.select(*keys, part.alias("p")).withColumn("p", F.concat(F.octet_length("p"), F.lit(":"), "p"))
+    Each part is digested where it is, so a key gathers 64 characters per part whatever the parts hold; callers
+    key it by company and scenario so that the list stays short."""
+    p = rows.select(*keys, part.alias("p")).withColumn("p", F.sha2(F.concat(F.octet_length("p"), F.lit(":"), "p"), 256))
     return p.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p")), ""), 256).alias("fingerprint"))
 
 

@@ -93,12 +93,12 @@ def s23(spark, sf):
     return li.agg(F.count("*").alias("cells"), F.count_if(~money.survives_double(F.col("value"))).alias("lost"))
 
 
-@register("a23_input_fingerprint", sql("SELECT company_id, sha256(string_agg(octet_length(encode(p)) || ':' || p, '' ORDER BY octet_length(encode(p)) || ':' || p)) AS fingerprint FROM (SELECT company_id, statement || '.' || account || '.' || year || '=' || value AS p FROM ledger) GROUP BY company_id", "ledger"))
+@register("a23_input_fingerprint", sql("SELECT company_id, sha256(string_agg(sha256(octet_length(encode(p)) || ':' || p), '' ORDER BY sha256(octet_length(encode(p)) || ':' || p))) AS fingerprint FROM (SELECT company_id, statement || '.' || account || '.' || year || '=' || value AS p FROM ledger) GROUP BY company_id", "ledger"))
 def a23(spark, sf):
     return AU.fingerprint(D.ledger(spark, sf), ["company_id"], F.concat("statement", F.lit("."), "account", F.lit("."), "year", F.lit("="), "value"))
 
 
-@register("a24_model_version", sql("SELECT company_id, scenario_id, sha256(string_agg(octet_length(encode(p)) || ':' || p, '' ORDER BY octet_length(encode(p)) || ':' || p)) AS fingerprint FROM (SELECT company_id, scenario_id, code || '@' || year || '=' || value || ':' || status AS p FROM resolved) GROUP BY company_id, scenario_id", "resolved"))
+@register("a24_model_version", sql("SELECT company_id, scenario_id, sha256(string_agg(sha256(octet_length(encode(p)) || ':' || p), '' ORDER BY sha256(octet_length(encode(p)) || ':' || p))) AS fingerprint FROM (SELECT company_id, scenario_id, code || '@' || year || '=' || value || ':' || status AS p FROM resolved) GROUP BY company_id, scenario_id", "resolved"))
 def a24(spark, sf):
     return AU.fingerprint(model(spark, sf).resolved, ["company_id", "scenario_id"], F.concat("code", F.lit("@"), "year", F.lit("="), "value", F.lit(":"), "status"))
 

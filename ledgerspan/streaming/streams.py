@@ -73,9 +73,11 @@ def rate_limit(events: DataFrame, allowed: int, window_seconds: int) -> DataFram
 
 
 def facts(cells: DataFrame, documents: DataFrame, sink: str, checkpoint: str):
-    """Cells arriving as whole tables become facts, batch by batch (ST05). The caller starts it."""
+    """Cells arriving as whole tables become facts, batch by batch (ST05). The caller starts it.
 
-    def write(batch: DataFrame, _: int) -> None:
-        FA.build_facts(batch, documents).write.mode("append").parquet(sink)
+    A batch owns the folder of its id and replaces it, so a retried batch adds nothing twice."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        FA.build_facts(batch, documents).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
