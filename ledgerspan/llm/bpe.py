@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow import small_batches
+from .common import importable
 
 #: The published pattern of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -157,6 +158,7 @@ def codec(vocabulary: str) -> Codec:
 
 def _ship(docs: DataFrame, path: str):
     """The vocabulary file (a fixed size) goes to the workers from the driver."""
+    importable(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -23,7 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import runs, strings, text_bytes
+from .arrow import strings, text_bytes
+from .common import importable
 
 OPEN, MIDDLE, CLOSE, ESCAPE = b"<s>[", b"] ", b"</s>", 0x5C
 LOSS_ROLE = "assistant"
@@ -113,6 +114,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text -> conv_id, n_turns, formatted, and the spans of the loss mask in code points."""
+    importable(turns.sparkSession)
     own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
