@@ -1,7 +1,7 @@
 """Substring deduplication over sliding sentence spans.
 
-Sentences end at . ! ? before white space, or at a line end. Every run of `run` consecutive sentences (with at least
-`min_words` words) is hashed; where sentences are long, so is the shorter run that reaches `long_words` words.
+Sentences end at . ! ? before white space, or at a line end. From every sentence the shortest run of at least
+`run` sentences and `min_words` words is hashed; where sentences are long, so is the shorter run that reaches `long_words` words.
 Runs are compared without case and white space. The first occurrence of a run (smallest doc_id, then position) stays;
 a sentence covered by any later occurrence is removed.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,25 @@ from .arrow import small_batches
 from .common import stage, with_group
 
 BOUNDARY = re.compile(r"[.!?]+\s+|\n\s*")
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+@lru_cache(maxsize=4)
+def _table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(_MIX[0]), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_MIX[0], inverse))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64: the hash of a run is a difference of prefix sums."""
+    return _table(1 << max(10, n.bit_length()))
 
 
 @dataclass(frozen=True)
 class Options:
-    run: int = 3  # sentences of a span, at most 8
-    min_words: int = 10
-    long_words: int = 40
+    run: int = 3  # sentences of a span at least
+    min_words: int = 10  # of a span; it grows by further sentences until it holds them
+    long_words: int = 40  # so many make a span of fewer sentences
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -54,24 +66,19 @@ def spans(text: str, cuts: list[tuple[int, int]], options: Options) -> tuple[np.
         own = text[a:b].lower().split()
         hashes[i], words[i] = xxhash.xxh3_64_intdigest(" ".join(own)), len(own)
     before = np.concatenate([[0], np.cumsum(words)])
-    found = []
-    for size in range(options.run, 0, -1):
-        if n < size:
-            continue
-        starts = np.arange(n - size + 1)
-        total = before[starts + size] - before[starts]
-        if size == options.run:
-            keep = total >= options.min_words
-        else:  # the shortest run that reaches long_words
-            keep = (total >= options.long_words) & (before[starts + size - 1] - before[starts] < options.long_words)
-        mixed = np.zeros(len(starts), np.uint64)
-        for j in range(size):
-            mixed = (mixed ^ hashes[j : j + len(starts)]) * _MIX[j]
-            mixed ^= mixed >> np.uint64(29)
-        found.append((mixed[keep], starts[keep], np.full(int(keep.sum()), size)))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, at, size = (np.concatenate(x) for x in zip(*found))
+    starts = np.arange(n)
+    reach = lambda least: np.searchsorted(before, before[:-1] + least)  # noqa: E731  where a run from each start holds so many words
+    ends = np.maximum(starts + options.run, reach(options.min_words))
+    long = reach(options.long_words)
+    at = np.concatenate([starts, starts])
+    size = np.concatenate([ends, np.where(long < starts + options.run, long, n + 1)]) - at
+    keep = at + size <= n
+    at, size = at[keep], size[keep]
+    up, down = _powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n])])
+    h = (sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64) * _MIX[1]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[2]
     order = np.lexsort((size, at))
     return h[order], at[order], size[order]
 

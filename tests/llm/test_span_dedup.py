@@ -10,13 +10,11 @@ def plain(rows, options):
         cuts = S.sentences(text)
         keys = [" ".join(text[a:b].lower().split()) for a, b in cuts]
         out = []
+        words = [len(k.split()) for k in keys]
         for i in range(len(keys)):
-            for size in range(1, options.run + 1):
-                part = keys[i : i + size]
-                words = sum(len(k.split()) for k in part)
-                shorter = sum(len(k.split()) for k in part[:-1])
-                if len(part) == size and (words >= options.min_words if size == options.run else words >= options.long_words > shorter):
-                    out.append((tuple(part), i, size))
+            size = next((z for z in range(options.run, len(keys) - i + 1) if sum(words[i : i + z]) >= options.min_words), None)
+            short = next((z for z in range(1, options.run) if sum(words[i : i + z]) >= options.long_words and i + z <= len(keys)), None)
+            out += [(tuple(keys[i : i + z]), i, z) for z in sorted({short, size} - {None})]
         return cuts, out
 
     first, result = {}, {}
