@@ -27,7 +27,7 @@ from .common import importable
 
 #: The published pattern of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHORT, REMEMBERED, SLICE = 64, 300_000, 1 << 20
+SHORT, REMEMBERED, SLICE = 64, 200_000, 1 << 20
 _SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 NEVER = 1 << 30
 

@@ -13,12 +13,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of bytes other than space and the five control white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (on a cluster, ship it with --py-files)."""
+    """Let Python workers import this package from where the driver has it (on a cluster, ship it with --py-files),
+    and keep what passes between them and the JVM small."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default, made for short rows; texts are long
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

@@ -40,7 +40,7 @@ from .common import drop_rows, stage
 WORDS = regex.compile(r"\w+")
 PREFIXES = (6, 5, 4)
 HELD_OUT, THRESHOLD = 2, 0.3
-SCORE_BINS, EVIDENCE_BINS, FLUSH, REMEMBERED = 32, 64, 400_000, 400_000
+SCORE_BINS, EVIDENCE_BINS, FLUSH, REMEMBERED = 32, 64, 200_000, 150_000
 
 
 @dataclass(frozen=True)
