@@ -13,7 +13,7 @@ A byte goes if it lies in a string of LENGTH bytes that also starts anywhere els
    bytes are neighbours, so a window at offset o is repeated exactly if another element has the same left class at depth o and
    the same right class at depth LENGTH - o.
 4. An anchor with GROUP_LIMIT occurrences or more would make one receiver's group too large: its windows are counted one by one
-   through 64-bit hashes instead, with partial aggregation.
+   through 64-bit hashes instead: a task settles those that it holds more than once, and passes on each hash once.
 
 Defined results: null text counts as empty; texts shorter than LENGTH stay whole. Rows that repeat doc_id and text are repeats
 of each other and get equal rows. A null doc_id is carried through. An empty table gives an empty result. Other
@@ -308,12 +308,30 @@ def _receive(length: int):
 def _send(length: int, receivers: int):
     """Rows with their repeated anchors -> front-coded runs, a row per receiver and flush; frequent anchors -> window hashes."""
 
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def batch(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(SENT_NAMES, types)], SENT_NAMES)
+
     def rows(waiting, windows):
         for receiver, elements in waiting.items():
-            yield pa.RecordBatch.from_arrays([pa.array([receiver], pa.int32()), pa.array([encode_run(elements)], pa.binary()), *(pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64()))], SENT_NAMES)
-        for hashes, keys, starts in windows:
-            n = len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(hashes), pa.array(keys), pa.array(starts)], SENT_NAMES)
+            yield batch(1, receiver=[receiver], run=[encode_run(elements)])
+        if not windows:
+            return
+        # windows that this task holds more than once are settled here, and count once for the others
+        hashes, keys, starts = (np.concatenate(x) for x in zip(*windows))
+        names, name, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = times[name] > 1
+        yield batch(int((~again).sum()), hash=hashes[~again], row_key=keys[~again], start=starts[~again], weight=np.ones(int((~again).sum()), np.int32))
+        several = names[times > 1]
+        yield batch(len(several), hash=several, weight=np.full(len(several), 2, np.int32))
+        keys, starts = keys[again], starts[again]
+        order = np.lexsort((starts, keys))
+        keys, starts = keys[order], starts[order]
+        if len(keys):
+            first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (starts[1:] > starts[:-1] + 1)])
+            last = np.append(np.flatnonzero(first)[1:], len(keys)) - 1
+            yield batch(len(last), row_key=keys[first], start=starts[first], stop=starts[last] + length)
 
     def run(batches):
         waiting: dict[int, dict] = {}
@@ -351,8 +369,8 @@ def _send(length: int, receivers: int):
     return run
 
 
-SENT = "receiver int, run binary, hash long, row_key long, start long"
-SENT_NAMES = ["receiver", "run", "hash", "row_key", "start"]
+SENT = "receiver int, run binary, hash long, row_key long, start long, stop long, weight int"
+SENT_NAMES = ["receiver", "run", "hash", "row_key", "start", "stop", "weight"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -376,10 +394,12 @@ def repeated_places(docs: DataFrame, summary: DataFrame, options: Options = Opti
     marked = _keyed(docs).join(marks, "row_key").select("row_key", "text", "few", "many")
     sent = stage(marked.mapInArrow(_send(length, receivers), SENT), "suffix-runs")
     merged = sent.filter("receiver is not null").select("receiver", "run").groupBy("receiver").applyInArrow(_receive(length), PLACES)
-    windows = sent.filter("hash is not null").select("hash", "row_key", "start")
-    again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    frequent = with_group(windows, stage(again, "suffix-windows"), "hash", "copies").select("row_key", "start", (F.col("start") + length).alias("stop"))
-    return stage(merged.unionByName(frequent), "suffix-places")
+    windows = sent.filter("hash is not null").select("hash", "row_key", "start", "weight")
+    again = windows.groupBy("hash").agg(F.sum("weight").alias("copies")).filter("copies > 1")
+    single = windows.filter("row_key is not null").drop("weight")
+    frequent = with_group(single, stage(again, "suffix-windows"), "hash", "copies").select("row_key", "start", (F.col("start") + length).alias("stop"))
+    settled = sent.filter("stop is not null").select("row_key", "start", "stop")
+    return stage(merged.unionByName(frequent).unionByName(settled), "suffix-places")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
