@@ -206,7 +206,7 @@ def read(spark: SparkSession, uri: str, manifest: DataFrame, payloads: bool = Tr
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = manifest.repartition(F.col("file"))
+    files = manifest.repartition(max(1, manifest.count()))  # a file a task: the rows are tiny, the files are not
     return files.select("file", "records").mapInArrow(run, _READ)
 
 
