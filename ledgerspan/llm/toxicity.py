@@ -2,7 +2,7 @@
 
 1. Terms: words, and word beginnings of 4 to 6 letters (for inflected forms). Their document frequencies in toxic
    and clean training texts give log-odds with an informative Dirichlet prior (the corpus share of the term).
-   A term counts if its z-score and its log-odds are high enough; the toxic side is counted first, and only terms
+   A term counts if the root of its likelihood ratio (a z-score that needs no clean occurrence) and its log-odds are high enough; the toxic side is counted first, and only terms
    in at least `min_share` of its documents are counted on the clean side, so the model holds at most
    (mean terms per document) / min_share terms whatever the corpus size.
 2. Scan: a term scores its log-odds, every other token the log of one minus the density of terms expected in a toxic
@@ -40,6 +40,8 @@ from .common import drop_rows, stage
 WORDS = regex.compile(r"\w+")
 PREFIXES = (6, 5, 4)
 HELD_OUT, THRESHOLD = 2, 0.3
+#: Pseudo-documents of a term on each side at least, so that a term never seen on one has bounded log-odds.
+LEAST_PRIOR = 0.5
 SCORE_BINS, EVIDENCE_BINS, FLUSH, REMEMBERED = 32, 64, 200_000, 150_000
 
 
@@ -114,6 +116,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, options: Options = Options
     return stage(rows.groupBy("hash", "hash2", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "tox-train")
 
 
+def signed_root(a: int, n_a: int, b: int, n_b: int) -> float:
+    """z-score of a term in a of n_a toxic and b of n_b clean documents: the root of the likelihood ratio of one
+    frequency against two, negative where the toxic one is lower. It stays finite and grows with a at b = 0."""
+    part = lambda x, n, p: x * math.log(x / (n * p)) if x else 0.0
+    p = (a + b) / (n_a + n_b)
+    ratio = part(a, n_a, p) + part(b, n_b, p) + part(n_a - a, n_a, 1 - p) + part(n_b - b, n_b, 1 - p)
+    return math.copysign(math.sqrt(max(2 * ratio, 0.0)), a / n_a - b / n_b)
+
+
 def fit_terms(docs: DataFrame, training: DataFrame, options: Options = Options()) -> Model:
     own = F.broadcast(training.withColumnRenamed("doc_id", "l_id"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -136,11 +147,10 @@ def fit_terms(docs: DataFrame, training: DataFrame, options: Options = Options()
     prior = options.prior_share * (n_toxic + n_clean)
     for term, a in in_toxic.items():
         b = in_clean.get(term, 0)
-        own = prior * (a + b) / (n_toxic + n_clean)
-        odds = lambda x, n: (x + own) / max(n + prior - x - own, 0.5)
+        own = max(prior * (a + b) / (n_toxic + n_clean), LEAST_PRIOR)
+        odds = lambda x, n: (x + own) / (max(n - x, 0) + max(prior - own, LEAST_PRIOR))
         delta = math.log(odds(a, n_toxic)) - math.log(odds(b, n_clean))
-        z = delta / math.sqrt(1 / (a + own) + 1 / (b + own))
-        if delta >= options.min_log_odds and z >= options.min_z:
+        if delta >= options.min_log_odds and signed_root(a, n_toxic, b, n_clean) >= options.min_z:
             model.terms[term] = delta
     # a beginning must stand for more than one word: its documents exceed those of its most frequent word
     best: dict[str, int] = {}
@@ -266,7 +276,9 @@ def calibrate(scanned: DataFrame, training: DataFrame, model: Model) -> Model:
     clean = rows.filter("toxic = 0")
     tokens, docs = clean.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     bins = dict(clean.select(F.explode("hits").alias("bin")).groupBy("bin").count().collect())
-    counts = [bins.get(i, 0) + 0.5 / SCORE_BINS for i in range(SCORE_BINS)]
+    # half a token of smoothing, over the bins that a term can fall in: scores that never occur say nothing about the slope
+    held = {min(int(s * 2), SCORE_BINS - 1) for s in model.terms.values()} or set(range(SCORE_BINS))
+    counts = [bins.get(i, 0) + 0.5 / len(held) * (i in held) for i in range(SCORE_BINS)]
     rest = max(tokens - sum(bins.values()), 0) + 1.0
     whole = rest + sum(counts)
     scores = [i / 2 + 0.25 for i in range(SCORE_BINS)]

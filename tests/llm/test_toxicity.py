@@ -2,9 +2,12 @@
 
 import itertools
 import math
+import os
 import random
 import zlib
 
+import pytest
+
 from ledgerspan.llm import toxicity as T
 
 
@@ -85,3 +88,21 @@ def test_no_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in T.score_documents(df, none).collect()] == [0]
     assert T.score_documents(df.limit(0), none).collect() == []
+
+
+def test_terms_without_clean_occurrence_count():
+    """Sure evidence (15 toxic, 0 clean) is above weaker evidence (8, 8); few documents are not enough."""
+    assert T.signed_root(15, 36, 0, 260) > T.signed_root(8, 36, 8, 260) > T.signed_root(1, 36, 0, 260) > 0 > T.signed_root(1, 36, 60, 260)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 1), ("sf0.01", 9)])
+def test_held_out_recall_on_small_tables(spark, sf, least):
+    """The held-out toxic documents with an insult in them (1 and 9; the other 1 and 5 hold none) are found, no clean one is."""
+    root = f"/root/testdata/{sf}"
+    if not os.path.isdir(root):
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [r for r in T.score_documents(spark.read.parquet(f"{root}/documents.parquet"), labels).collect() if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted for r in got if truth[r.doc_id] == 1) >= least
+    assert not any(r.predicted for r in got if truth[r.doc_id] == 0)
