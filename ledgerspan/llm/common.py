@@ -49,6 +49,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.reverse(text))
+
+
 def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key, null included, occurs in ids."""
     ids = ids.select(F.col(key).alias("_kept_id")).distinct()

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import small_batches
-from .common import drop_rows, stage
+from .common import stage, text_hashes
 
 WORDS = regex.compile(r"\w+")
 PREFIXES = (6, 5, 4)
@@ -110,8 +110,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, options: Options = Options
     share = min(1.0, 0.95 * options.max_labelled / max(1, own.count()))
     place = F.pmod(F.xxhash64(F.coalesce("l_id", F.lit(-1))), F.lit(1_000_000))
     own = F.broadcast(own.filter(place < share * 1_000_000).limit(options.max_labelled))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.xxhash64(F.reverse(text)).alias("hash2"))
+    hash_, hash2 = text_hashes(F.col("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hash_.alias("hash"), hash2.alias("hash2"))
     rows = slim.join(own, slim["doc_id"].eqNullSafe(own["l_id"]))
     return stage(rows.groupBy("hash", "hash2", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "tox-train")
 
@@ -200,7 +200,7 @@ class _Scores(dict):
         return value
 
 
-SCAN = "doc_id long, n_tokens long, segments array<struct<first:long,last:long,score:double>>, hits array<int>"
+SCAN = "doc_id long, hash long, hash2 long, n_tokens long, segments array<struct<first:long,last:long,score:double>>, hits array<int>"
 _SEGMENT = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
 
 
@@ -220,11 +220,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 found.append([{"first": x, "last": y, "score": s} for x, y, s in segments(at.tolist(), values[at].tolist(), background)])
                 hits.append(np.minimum(values[at] * 2, SCORE_BINS - 1).astype(np.int32).tolist())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, pa.list_(_SEGMENT)), pa.array(hits, pa.list_(pa.int32()))],
-                ["doc_id", "n_tokens", "segments", "hits"],
+                [b.column("doc_id"), b.column("hash"), b.column("hash2"), pa.array(n, pa.int64()), pa.array(found, pa.list_(_SEGMENT)), pa.array(hits, pa.list_(pa.int32()))],
+                ["doc_id", "hash", "hash2", "n_tokens", "segments", "hits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+    hash_, hash2 = text_hashes(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hash_.alias("hash"), hash2.alias("hash2"), "text").mapInArrow(run, SCAN)
 
 
 def _best(model_segments: Column) -> Column:
@@ -272,7 +273,7 @@ def pooled(positive: list[float], all_: list[float]) -> list[float]:
 def calibrate(scanned: DataFrame, training: DataFrame, model: Model) -> Model:
     """Fit the extreme-value law and the shares from the scanned training rows; only sums reach the driver."""
     own = F.broadcast(training.withColumnRenamed("doc_id", "l_id"))
-    rows = stage(scanned.join(own, scanned["doc_id"].eqNullSafe(own["l_id"])).drop("l_id", "doc_id"), "tox-scanned")
+    rows = stage(scanned.join(own, scanned["doc_id"].eqNullSafe(own["l_id"])).drop("l_id", "doc_id", "hash", "hash2"), "tox-scanned")
     clean = rows.filter("toxic = 0")
     tokens, docs = clean.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     bins = dict(clean.select(F.explode("hits").alias("bin")).groupBy("bin").count().collect())
@@ -294,8 +295,8 @@ def calibrate(scanned: DataFrame, training: DataFrame, model: Model) -> Model:
     return model
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """doc_id, held_out, score, predicted, passages (first and last token, score, p_value) of every document."""
+def _scored(docs: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
+    """score_documents with the hashes of each text."""
     training = training_rows(docs, labels, options)
     model = fit_terms(docs, training, options)
     scanned = stage(scan(docs, model), "tox-scan")
@@ -308,9 +309,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, options: Options = Optio
         lambda s: s["p_value"] < options.significance,
     )
     out = scanned.withColumn("evidence", evidence(model)).withColumn("score", score)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), passages.alias("passages"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), passages.alias("passages"), "hash", "hash2")
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id, held_out, score, predicted, passages (first and last token, score, p_value) of every document."""
+    return _scored(docs, labels, options).drop("hash", "hash2")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
-    return drop_rows(docs, score_documents(docs, labels, options).filter("predicted = 1"))
+    """The documents below the threshold, with all their columns. A score depends on the text alone, so each row is
+    decided by its own text; doc_id only deals the rows, and rows without one or that share one keep apart."""
+    toxic = _scored(docs, labels, options).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), F.col("hash2").alias("_h2"))
+    toxic = stage(toxic.distinct(), "tox-dropped")
+    hash_, hash2 = text_hashes(docs["text"])
+    same = docs["doc_id"].cast("long").eqNullSafe(toxic["_id"]) & (hash_ == toxic["_h"]) & (hash2 == toxic["_h2"])
+    return docs.join(toxic, same, "left_anti")

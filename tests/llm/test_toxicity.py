@@ -106,3 +106,12 @@ def test_held_out_recall_on_small_tables(spark, sf, least):
     got = [r for r in T.score_documents(spark.read.parquet(f"{root}/documents.parquet"), labels).collect() if r.held_out and r.doc_id in truth]
     assert sum(r.predicted for r in got if truth[r.doc_id] == 1) >= least
     assert not any(r.predicted for r in got if truth[r.doc_id] == 0)
+
+
+def test_rows_without_or_with_equal_doc_id_are_decided_apart(spark):
+    docs, labels, _ = corpus(600)
+    bad = "Grrk zonk grrk blarg"
+    extra = [(None, bad), (None, "clean one"), (None, "clean two"), (None, None), (9001, bad), (9001, "clean three"), (9001, bad)]
+    df = spark.createDataFrame([(i, t) for i, t, *_ in docs] + extra, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in T.drop_toxic(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect() if r.doc_id is None or r.doc_id > 9000]
+    assert sorted(kept, key=str) == sorted([(None, "clean one"), (None, "clean two"), (None, None), (9001, "clean three")], key=str)
