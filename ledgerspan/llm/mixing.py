@@ -10,8 +10,9 @@ summed first (they are ranges of a uniform hash, so a source with a third of all
 rows are summed inside their range. No task sees a whole source.
 
 Defined results: a null text has no words and is never taken as such; a null source is a source of its own,
-last in order; a null doc_id hashes as an empty string. Ties of key (repeated rows) are ordered by doc_id
-and size. If there are no words at all, every target is 0. An empty table gives an empty result.
+last in order; a null doc_id hashes as an empty string. Ties of key (repeated rows) are ordered by doc_id,
+size and a hash of the text. doc_id need not be unique: rows without one, or that share one, are taken and copied
+each by its own share; of rows equal in doc_id, source and text, which one gets the odd copy is open. If there are no words at all, every target is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stage, word_count
+from .common import stage, text_hashes, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -65,9 +66,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (whole repeats), part (words of the last, partial epoch), taken."""
+    """doc_id, source, size, source_size, target, epochs (whole repeats), part (words of the last, partial epoch), taken,
+    hash and hash2 (of the text, which with doc_id and source finds the row again)."""
     spark = docs.sparkSession
-    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")), "mix-rows")
+    hash_, hash2 = text_hashes(F.col("text"))
+    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"), hash_.alias("hash"), hash2.alias("hash2")), "mix-rows")
     ranges = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("range", F.shiftright(F.shiftright("key", 30) * F.lit(ranges).cast("long"), 30))
     sums = stage(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     ranged = sums.withColumn("range_before", before).withColumnsRenamed({"source": "s", "range": "r"})
     goal = goal.withColumnRenamed("source", "g")
     ranged = ranged.join(goal, ranged["s"].eqNullSafe(goal["g"])).drop("g", "range_size")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "hash", "hash2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     joined = own.join(ranged, own["source"].eqNullSafe(ranged["s"]) & (own["range"] == ranged["r"]))
     budget = F.floor("target").cast("long")
@@ -85,17 +88,32 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     out = joined.withColumn("epochs", epochs).withColumn("start", F.col("range_before") + F.col("inside"))
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), budget - F.col("epochs") * F.col("source_size") - F.col("start")))
     return out.withColumn("part", part).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken"), "hash", "hash2"
     )
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed documents as rows: one per whole epoch, and one more where the last epoch takes at least half
-    of the document's words. All columns of docs are kept; doc_id must be unique in docs."""
+    of the document's words. All columns of docs are kept. Rows meet their shares by doc_id, source and text;
+    the shares of equal rows are summed first, so each row of docs meets one row at most."""
     n = F.col("epochs") + (F.col("part") * 2 >= F.col("size")).cast("long") * (F.col("part") > 0).cast("long")
-    copies = mixed.select(F.col("doc_id").alias("_mix_id"), n.cast("int").alias("_copies")).filter("_copies > 0")
-    repeated = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mix_id"])).select(*[docs[c] for c in docs.columns], repeated).drop("_copy")
+    names = {"doc_id": "_m_id", "source": "_m_source", "hash": "_m_hash", "hash2": "_m_hash2"}
+    shares = mixed.withColumn("_n", n).groupBy(*names).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows")).filter("_n > 0").withColumnsRenamed(names)
+    # the same copies for each of the equal rows, and an odd rest; in the order of mix equal rows are neighbours,
+    # so only the group at the cut of each source has a rest
+    shares = stage(shares.withColumns({"_each": F.expr("_n div _rows"), "_rest": F.expr("_n % _rows")}).drop("_n", "_rows"), "mix-shares")
+    hash_, hash2 = text_hashes(docs["text"])
+
+    def met(part: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(part["_m_id"]) & docs["source"].eqNullSafe(part["_m_source"]) & (hash_ == part["_m_hash"]) & (hash2 == part["_m_hash2"])
+        return docs.join(part, same)
+
+    place = F.row_number().over(Window.partitionBy("_m_id", "_m_source", "_m_hash", "_m_hash2").orderBy("_m_hash"))
+    odd = met(shares.filter("_rest > 0")).withColumn("_copies", F.col("_each") + (place <= F.col("_rest")).cast("long"))
+    even = met(shares.filter("_rest = 0")).withColumn("_copies", F.col("_each"))
+    copies = F.explode(F.expr("sequence(1, cast(_copies AS int))")).alias("_copy")
+    out = [x.filter("_copies > 0").select(*docs.columns, copies).drop("_copy") for x in (even, odd)]
+    return out[0].unionByName(out[1])
 
 
 ORACLE = r"""

@@ -98,3 +98,28 @@ def test_empty(spark):
     assert X.deduplicate(df, X.new_index(spark)).collect() == [] and M.mix(df).collect() == []
     blank = spark.createDataFrame([(1, None, "a", "d", 1, 2), (2, " ", None, "d", 1, 2)], DOCS)
     assert {(r.taken, r.target) for r in M.mix(blank).collect()} == {(0, 0.0)}
+
+
+def test_rows_without_or_with_equal_doc_id_are_copied_apart(spark):
+    """Each row comes as often as its own share says: no all-pairs join of rows with the same or no doc_id."""
+    rows = [(None, f"n{i} " * (1 + i % 7), "ab"[i % 2]) for i in range(60)]
+    rows += [(7, f"s{i} " * (1 + i % 5), "ab"[i % 2]) for i in range(20)] + [(9, "same text", "a")] * 12 + [(None, "same null", None)] * 9
+    df = spark.createDataFrame([(*r, "d", i, 2) for i, r in enumerate(rows)], DOCS)
+    mixed = M.mix(df)
+    text = {(r.hash, r.hash2): r.text for r in df.selectExpr("text", "xxhash64(text) AS hash", "xxhash64(reverse(text)) AS hash2").collect()}
+    want = {}
+    for r in mixed.collect():
+        key = (r.doc_id, r.source, text[r.hash, r.hash2])
+        want[key] = want.get(key, 0) + r.epochs + (r.part > 0 and 2 * r.part >= r.size)
+    got, per_row = {}, {}
+    for r in M.apply_mix(df, mixed).collect():
+        got[r.doc_id, r.source, r.text] = got.get((r.doc_id, r.source, r.text), 0) + 1
+        per_row[r.size] = per_row.get(r.size, 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and max(per_row.values()) <= 3
+    words = {}
+    for (_, s, t), n in got.items():
+        words[s] = words.get(s, 0) + n * len(t.split())
+    for s, goal in {r.source: r.target for r in mixed.collect()}.items():
+        assert abs(words.get(s, 0) - goal) <= 7
+    one = spark.createDataFrame([(1, "w " * 8, "a", "d", 1, 2)] * 2, DOCS)
+    assert M.apply_mix(one, M.mix(one)).count() == 2
