@@ -1,7 +1,11 @@
 """Substring deduplication over sliding sentence spans.
 
-Sentences end at . ! ? before white space, or at a line end. From every sentence the shortest run of at least
-`run` sentences and `min_words` words is hashed; where sentences are long, so is the shorter run that reaches `long_words` words.
+Sentences end at . ! ? before white space, or at a line end, and behind every word whose hash is a multiple of CUT_EVERY,
+however long the sentence is: so a passage that stands in running text, with foreign words glued to its first and last
+sentence, is cut at the same places as elsewhere. From every sentence the shortest run of at least `run` sentences and
+`min_words` words is hashed; where sentences are long, so is the shorter run that reaches `long_words` words. So every
+repeat with `long_words` words between its first and last cut has a span; what lies outside these cuts stays, and at
+most a few short sentences before the last cut, from which no whole span starts.
 Runs are compared without case and white space. The first occurrence of a run (smallest doc_id, then position) stays;
 a sentence covered by any later occurrence is removed.
 
@@ -29,6 +33,23 @@ from .arrow import small_batches
 from .common import stage, with_group
 
 BOUNDARY = re.compile(r"[.!?]+\s+|\n\s*")
+TOKEN = re.compile(r"(\S+)\s*")
+CUT_EVERY, REMEMBERED = 8, 100_000
+
+
+class _Cuts(dict):
+    """word -> whether a sentence is cut behind it; depends on the word alone, without case; bounded."""
+
+    def __missing__(self, word: str) -> bool:
+        value = xxhash.xxh3_64_intdigest(word.lower()) % CUT_EVERY == 0
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= 40:
+            self[word] = value
+        return value
+
+
+_CUTS = _Cuts()
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -47,12 +68,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Options:
     run: int = 3  # sentences of a span at least
     min_words: int = 10  # of a span; it grows by further sentences until it holds them
-    long_words: int = 40  # so many make a span of fewer sentences
+    long_words: int = 20  # so many make a span of fewer sentences
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence with what separates it from the next; they cover the text."""
-    ends = [m.end() for m in BOUNDARY.finditer(text)]
+    cut = _CUTS.__getitem__
+    ends = sorted({m.end() for m in BOUNDARY.finditer(text)} | {m.end() for m in TOKEN.finditer(text) if cut(m[1])})
     if text and (not ends or ends[-1] != len(text)):
         ends.append(len(text))
     return list(zip([0, *ends], ends))

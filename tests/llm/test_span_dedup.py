@@ -68,3 +68,20 @@ def test_passage_removed_once_and_clean_text_kept(spark):
 
 def test_empty(spark):
     assert S.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_passage_inside_running_text(spark):
+    """A passage of 60 words without a boundary before or behind it: all but what is glued to its edges goes."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    rows = []
+    for n in range(20):
+        passage = [word() + ("." if i % 25 == 24 else "") for i in range(60)]
+        for k in range(2):
+            rows.append((2 * n + k, " ".join([word() for _ in range(15)] + passage + [word() for _ in range(15)]), set(passage)))
+    got = {r.doc_id: r.text for r in S.remove_repeated(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    left = [sum(w in passage for w in got[d].split()) for d, _, passage in rows if d % 2]
+    assert all(got[d] == t for d, t, _ in rows if d % 2 == 0)
+    assert max(left) < 50 and sum(left) < 20 * 25
+    foreign = [[w for w in t.split() if w not in p] for d, t, p in rows if d % 2]
+    assert foreign == [[w for w in got[d].split() if w not in p] for d, _, p in rows if d % 2]
