@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, minhash, mixing, span_dedup, suffix_dedup, topk, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, fim, minhash, mixing, periodic, span_dedup, suffix_dedup, topk, toxicity, warc
 from .common import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,18 @@ def op4_minhash_near_dedup(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+@query("op11_benchmark_decontamination", decontaminate.ORACLE)
+def op11_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.repeated_tails(table(spark, sf_dir, "documents")))
+
+
+@query("op13_fill_in_middle", fim.ORACLE)
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
