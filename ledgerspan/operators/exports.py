@@ -12,6 +12,7 @@ from .. import dims
 from ..money import MONEY
 from . import forecast as FC
 from . import ledger as L
+from . import panel as PN
 from . import portfolio as PF
 from . import schedules as H
 from .ledger import stacked
@@ -22,10 +23,10 @@ NOT_COMPUTABLE = "not computable from the reported lines"
 
 def cover(m) -> DataFrame:
     """field, value of every company and scenario."""
-    span = m.ledger.groupBy("company_id").agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    span = m.axis.selectExpr("company_id", "element_at(actual_years, 1) AS first", "last_actual AS last", "forecast_years")
     state = m.status.selectExpr(*K, "CASE WHEN may_calculate THEN 'ok' ELSE split(blocked_by, ':')[0] END AS state")
     rows = [("'scenario'", "name"), ("'first_actual'", "CAST(first AS STRING)"), ("'last_actual'", "CAST(last AS STRING)"),
-            ("'forecast'", f"'{min(m.years)}-{max(m.years)}'"), ("'state'", "state")]
+            ("'forecast'", "concat(element_at(forecast_years, 1), '-', element_at(forecast_years, -1))"), ("'state'", "state")]
     wide = m.scenarios.select(*K, "name").join(span, "company_id").join(state, list(K), "left")
     return wide.selectExpr(*K, stacked(rows, ("field", "value")))
 
@@ -56,10 +57,9 @@ def dcf(m) -> DataFrame:
     return yearly.unionByName(single).where("value IS NOT NULL")
 
 
-def checks(m) -> DataFrame:
-    """All registered checks with what they compare, status, severity and detail."""
-    titles = F.broadcast(dims.local_table(m.ledger.sparkSession, [(c, t) for c, _, _, _, t, _ in dims.CHECK_REGISTRY], "code string, compares string"))
-    return PF.registry_panel(m.checks, m.scenarios).join(titles, "code").select(*K, "code", "clause", "compares", "status", "severity", "stage", "detail")
+def checks(panel: DataFrame) -> DataFrame:
+    """All registered checks with what they compare, status, severity, what stopped them and detail (E11), from a panel."""
+    return panel.select(*K, "code", "clause", "compares", "status", "severity", "stage", "blocked_by", "detail")
 
 
 def limitations(m) -> DataFrame:
@@ -70,10 +70,12 @@ def limitations(m) -> DataFrame:
     return blocked.unionByName(market)
 
 
-def export_set(m) -> dict[str, DataFrame]:
-    """All tables by name."""
+def export_set(m, evidence: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables by name; the checks need the filing's evidence (see `panel.filing_evidence`)."""
     short = {"income": "is", "balance": "bs", "cashflow": "cf"}
-    out = {"cover": cover(m), "schedules": schedules(m), "assumptions": assumptions(m), "dcf": dcf(m), "checks": checks(m), "limitations": limitations(m)}
+    out = {"cover": cover(m), "schedules": schedules(m), "assumptions": assumptions(m), "dcf": dcf(m), "limitations": limitations(m)}
+    if evidence is not None:
+        out["checks"] = checks(PN.evaluate(m, evidence))
     for statement, n in short.items():
         out[f"historical_{n}"] = PF.statement_rows(m.filled, statement)
         out[f"forecast_{n}"] = forecast_statement(m, statement)

@@ -8,12 +8,11 @@ equity exactly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from .. import dims
 from ..money import MONEY
+from . import periods as PD
 from . import scenarios as S
 from .ledger import stacked
 
@@ -35,11 +34,12 @@ def mul(amount: str, factor: str) -> str:
 
 
 def opening_balances(wide: DataFrame) -> DataFrame:
-    """The last actual period of each company as b_<account>, with the required lines it lacks."""
+    """The last actual period of each company as b_<account>, with the required lines it lacks and all its actual years."""
     cols = [f"{c} AS b_{n}" for c, n in REQUIRED_BASE] + [f"bs_{a} AS b_{a}" for a in CARRIED]
     missing = "array_compact(array(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{n}' END" for c, n in REQUIRED_BASE) + "))"
     last = "row_number() OVER (PARTITION BY company_id ORDER BY year DESC) AS recency"
-    return wide.selectExpr("company_id", "year AS last_actual", *cols, f"{missing} AS missing_base", last).where("recency = 1").drop("recency")
+    actual = "array_sort(collect_list(year) OVER (PARTITION BY company_id)) AS actual_years"
+    return wide.selectExpr("company_id", "year AS last_actual", *cols, f"{missing} AS missing_base", last, actual).where("recency = 1").drop("recency")
 
 
 def forecast_periods(wide: DataFrame, count: int = 5) -> DataFrame:
@@ -53,9 +53,10 @@ _DRIVER_COLS = [d[0] for d in dims.DRIVERS]
 MARKET_CODES = [m[0] for m in dims.MARKET_INPUTS]
 
 
-def prepare(resolved_all: DataFrame, scenarios: DataFrame, opening: DataFrame, years: Sequence[int]) -> DataFrame:
+def prepare(resolved_all: DataFrame, scenarios: DataFrame, opening: DataFrame, years: PD.Axis) -> DataFrame:
     """One row per company and scenario with its opening balances, the array of its forecast years,
-    its market inputs, and what blocks it. Everything a scenario needs meets in one company-keyed join."""
+    its market inputs, and what blocks it. Everything a scenario needs meets in one company-keyed join.
+    The forecast years are those stated, or that many after each company's last actual one; an axis with a gap blocks."""
     state = S.driver_state(resolved_all).selectExpr("*", f"{S.gate_problems()} AS problems")
     cell = ", ".join(["year"] + _DRIVER_COLS + ["tax_source"])
     market = ", ".join(f"m_{c}" for c in MARKET_CODES)
@@ -73,10 +74,12 @@ def prepare(resolved_all: DataFrame, scenarios: DataFrame, opening: DataFrame, y
         f"aggregate(ys, named_struct('debt', b_debt, 'low', b_debt), (s, y) -> named_struct('debt', {step}, 'low', least(s.low, {step})), s -> s.low)"
     )
     known = scenarios.select(*K).join(per, list(K), "left").join(opening, "company_id", "left")
+    known = known.selectExpr("*", f"{PD.forecast_years(years)} AS forecast_years")
     return known.selectExpr(
         "*",
         "CASE WHEN missing_base IS NULL THEN 'no actual period'"
-        f" WHEN coalesce(size(ys), 0) < {len(years)} THEN 'drivers: no driver for some year'"
+        f" WHEN {PD.problem()} IS NOT NULL THEN concat('periods: ', {PD.problem()})"
+        " WHEN coalesce(size(ys), 0) < size(forecast_years) THEN 'drivers: no driver for some year'"
         " WHEN size(problems) > 0 THEN concat('drivers: ', array_join(problems, '; '))"
         " WHEN size(missing_base) > 0 THEN concat('opening balances: ', array_join(missing_base, ', '))"
         f" WHEN {lowest_debt} < 0 THEN 'debt: more is repaid than is outstanding' END AS blocked_by",

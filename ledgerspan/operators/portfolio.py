@@ -1,4 +1,4 @@
-"""Portfolio views: registry panel, release readiness, model standing, output tables."""
+"""Portfolio views: release readiness, model standing, output tables."""
 
 from __future__ import annotations
 
@@ -7,26 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from .. import dims
 from .ledger import SLOTS, col_of, stacked
 
-# Panel clause of each model check.
-CLAUSES = (
-    ("historical balance sheet balances", "17.8"), ("historical cash flow reconciles", "17.9"), ("reported subtotals reconcile", "17.10"), ("PP&E schedule linkage", "17.11"),
-    ("debt schedule linkage", "17.13"), ("retained earnings linkage", "17.15"), ("forecast balance sheet balances", "17.16"), ("ending cash linkage", "17.17"),
-    ("no forecast hardcodes", "17.20"), ("FCFF matches the statements", "17.22"), ("WACC above terminal growth", "17.24"),
-)
-
-
-def registry_panel(checks: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """All 30 clauses per scenario; a clause nothing evaluated is SKIP, never PASS (C17)."""
-    spark = checks.sparkSession
-    clauses = [tuple(f"'{v}'" for v in (code, cl, sv, st)) for code, cl, sv, _, _, st in dims.CHECK_REGISTRY]
-    clause = F.broadcast(dims.local_table(spark, CLAUSES, "check_name string, clause string"))
-    every = scenarios.selectExpr("company_id", "scenario_id", stacked(clauses, ("code", "clause", "severity", "stage")))
-    got = checks.join(clause, "check_name").select("company_id", "scenario_id", "clause", "status", "detail")
-    return every.join(got, ["company_id", "scenario_id", "clause"], "left").withColumns(
-        {"status": F.coalesce("status", F.lit("SKIP")), "detail": F.coalesce("detail", F.lit("not evaluated"))}
-    )
-
-
 def readiness(panel: DataFrame) -> DataFrame:
     """A scenario is releasable when every actionable clause passes, whatever its severity."""
     open_ = (F.col("status") != "PASS") & ~F.col("clause").isin(*dims.NOT_ACTIONABLE)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import dims
 from ..money import MONEY
 from .ledger import stacked
+from .periods import years_array  # noqa: F401
 
 
 def tree(scenarios: DataFrame) -> DataFrame:
@@ -63,10 +64,6 @@ def tree_violations(scenarios: DataFrame) -> DataFrame:
     )
 
 
-def years_array(years: Sequence[int]) -> str:
-    return f"CAST(array({', '.join(map(str, years))}) AS ARRAY<INT>)"
-
-
 def seen_by(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
     """Assumption rows repeated for every scenario that inherits them, with their distance."""
     a = assumptions.withColumnRenamed("scenario_id", "owner_id")
@@ -79,23 +76,28 @@ def seen_by(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
     )
 
 
+EVIDENCE = ("url", "date")  # carried through resolution where the assumptions have them
 NO_PERIOD = 0  # the year under which a resolution with no period given is kept
 
 
-def resolve_all(scenarios: DataFrame, assumptions: DataFrame, years: Sequence[int]) -> DataFrame:
-    """The value every scenario uses for every code, per year and for no period given.
+def resolve_all(scenarios: DataFrame, assumptions: DataFrame, years: Sequence[int] | DataFrame) -> DataFrame:
+    """The value every scenario uses for every code, per year and for no period given. The years are those stated, or each
+    company's own (a table of company_id and forecast_years; a company without a row is resolved for no period only).
 
     A value scoped to the year wins over an all-years one anywhere on the chain; among equals the
     nearer scenario wins, then the earlier row. With no period, the nearer scenario's first row wins.
     """
-    ys = years_array(years)
+    seen, ys = seen_by(scenarios, assumptions), "coalesce(forecast_years, CAST(array() AS ARRAY<INT>))"
+    if isinstance(years, DataFrame):
+        seen = seen.join(years.select("company_id", "forecast_years"), "company_id", "left")
+    else:
+        ys = years_array(years)
     cands = (
-        seen_by(scenarios, assumptions)
-        .selectExpr("*", f"explode(array_union(array({NO_PERIOD}), CASE WHEN period IS NULL THEN {ys} ELSE array_intersect(array(period), {ys}) END)) AS year")
+        seen.selectExpr("*", f"explode(array_union(array({NO_PERIOD}), CASE WHEN period IS NULL THEN {ys} ELSE array_intersect(array(period), {ys}) END)) AS year")
         .selectExpr(
             "company_id", "scenario_id", "code", "year",
             f"struct(year <> {NO_PERIOD} AND period IS NULL AS general, depth, seq) AS pref",
-            "struct(value, unit, status, source_type, owner_id AS supplied_by, depth, period) AS pick",
+            f"struct(value, unit, status, source_type, owner_id AS supplied_by, depth, period{''.join(', ' + c for c in EVIDENCE if c in assumptions.columns)}) AS pick",
         )
     )
     return (
@@ -158,16 +160,18 @@ def driver_state(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("company_id", "scenario_id", "year").agg(*map(F.expr, aggs))
 
 
-def gate(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int]) -> DataFrame:
+def gate(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int] | DataFrame) -> DataFrame:
     """Per scenario and year, required choices with none, several, or an unusable answer."""
-    axis = scenarios.selectExpr("company_id", "scenario_id", f"explode({years_array(years)}) AS year")
+    own = isinstance(years, DataFrame)
+    every = scenarios.join(years.select("company_id", "forecast_years"), "company_id") if own else scenarios
+    axis = every.selectExpr("company_id", "scenario_id", f"explode({'forecast_years' if own else years_array(years)}) AS year")
     return (
         axis.join(driver_state(resolved), ["company_id", "scenario_id", "year"], "left")
         .selectExpr("company_id", "scenario_id", "year", f"inline({gate_problems()})")
     )
 
 
-def required_driver_rows(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int]) -> DataFrame:
+def required_driver_rows(resolved: DataFrame, scenarios: DataFrame, years: Sequence[int] | DataFrame) -> DataFrame:
     """One row per required choice and scenario, satisfied or not, with the problem text."""
     problems = gate(resolved, scenarios, years)
     every = scenarios.selectExpr("company_id", "scenario_id", stacked([("'" + "|".join(g) + "'",) for g in dims.required_choices()], ("choice",)))

@@ -25,9 +25,11 @@ def cte(name: str, sql: str, *deps: str, head: str = "") -> None:
     CTES[name] = (deps, sql)
 
 
-def sql(select: str, *needs: str) -> str:
-    """Assemble the named common table expressions the statement needs, in dependency order."""
+def sql(select: str, *needs: str, swap: dict[str, str] | None = None) -> str:
+    """Assemble the named common table expressions the statement needs, in dependency order. `swap` gives
+    some of them another text, whose {0} stands for the usual one."""
     order: list[str] = []
+    text = {n: CTES[n][1] if n not in (swap or {}) else swap[n].replace("{0}", CTES[n][1]) for n in CTES}
 
     def visit(n: str) -> None:
         if n in order:
@@ -38,7 +40,7 @@ def sql(select: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    parts = ", ".join(f"{n}{_COLS.get(n, '')} AS ({CTES[n][1]})" for n in order)
+    parts = ", ".join(f"{n}{_COLS.get(n, '')} AS ({text[n]})" for n in order)
     return (f"WITH RECURSIVE {parts} " if parts else "") + select
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from ..operators import checks as C
 from ..operators import forecast as FC
 from ..operators import ledger as L
+from ..operators import periods as PD
 from ..operators import scenarios as S
 from ..operators import valuation as V
 
@@ -20,13 +21,14 @@ class Model:
 
     ledger: company_id, statement, account, year, value. scenarios: company_id, scenario_id,
     parent_id, name. assumptions: company_id, scenario_id, code, period, unit, value, status,
-    source_type, seq. years: the forecast years, one axis for the portfolio.
+    source_type, seq. years: the forecast years, one axis for the portfolio (a company whose actual years do not end right
+    before it is refused), or a number of years after each company's own last actual one.
     """
 
     ledger: DataFrame
     scenarios: DataFrame
     assumptions: DataFrame
-    years: tuple[int, ...]
+    years: tuple[int, ...] | int
     convention: str = "year_end"
 
     @cached_property
@@ -37,9 +39,14 @@ class Model:
     def filled(self) -> DataFrame:
         return L.fill_with_reported(self.wide)
 
+    @cached_property
+    def axis(self) -> DataFrame:
+        """Actual and forecast years of each company, and what is wrong with them."""
+        return PD.company_axis(self.wide.select("company_id", "year"), self.years)
+
     @cached_property
     def resolved_all(self) -> DataFrame:
-        return S.resolve_all(self.scenarios, self.assumptions, self.years)
+        return S.resolve_all(self.scenarios, self.assumptions, self.axis if isinstance(self.years, int) else self.years)
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -78,11 +85,11 @@ class Model:
         return C.all_checks(self.filled, self.forecast, self.prepared)
 
     def staged(self, root: str) -> "Model":
-        """The same model with ledger, filled rows, assumptions, prepared rows and forecast written under `root` (a
-        folder that all executors see) and read from there, so many tables cost one pass over the transactions."""
+        """The same model with ledger, filled rows, assumptions and their resolution, prepared rows, forecast and valuation written
+        under `root` (a folder that all executors see) and read from there, so many tables cost one pass over the transactions."""
         spark = self.ledger.sparkSession
         out = replace(self)
-        for name in ("ledger", "assumptions", "filled", "prepared", "forecast"):
+        for name in ("ledger", "assumptions", "filled", "resolved_all", "prepared", "forecast", "valuation"):
             getattr(out, name).write.mode("overwrite").parquet(f"{root}/{name}")
             value = spark.read.schema(getattr(out, name).schema).parquet(f"{root}/{name}")
             object.__setattr__(out, name, value) if name in ("ledger", "assumptions") else out.__dict__.__setitem__(name, value)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import dims, money
 from ..operators import audit as AU
-from ..operators import checks as C
 from ..operators import exports as EX
 from ..operators import forecast as FC
 from ..operators import ledger as L
@@ -17,7 +16,7 @@ from ..sources import readers as R
 from ..sources import writers as WR
 from .duck import M, cte, q, sql, values
 from .q_ledger import _drv, full
-from .q_model import _PANEL_NEEDS, _PANEL_SQL, model
+from .q_model import model
 from .registry import as_double, dbl, register, sd
 
 
@@ -174,25 +173,6 @@ for _s, _key in (("income", "e05_historical_income"), ("balance", "e05_historica
     register(_key, sql(_statement_sql(_s), "derived"))(_table)
 
 
-_CL = values(PF.CLAUSES, "check_name, clause", "cl")
-_REG = values([(c, cl, sv, st) for c, cl, sv, _, _, st in dims.CHECK_REGISTRY], "code, clause, severity, stage", "rg")
-cte("panel30", f"SELECT s.company_id, s.scenario_id, rg.clause, rg.severity, rg.stage, COALESCE(k.status, 'SKIP') AS status FROM scenario s CROSS JOIN ({_REG}) rg LEFT JOIN (SELECT p.company_id, p.scenario_id, cl.clause, p.status FROM panelrows p JOIN ({_CL}) cl USING (check_name)) k"
-    " ON k.company_id = s.company_id AND k.scenario_id = s.scenario_id AND k.clause = rg.clause", "scenario", "panelrows")
-cte("panelrows", _PANEL_SQL, *_PANEL_NEEDS)
-
-
-@register("c17_registry_panel", sql("SELECT company_id, scenario_id, clause, severity, status FROM panel30", "panel30"))
-def c17(spark, sf):
-    m = model(spark, sf)
-    return PF.registry_panel(m.checks, m.scenarios).select("company_id", "scenario_id", "clause", "severity", "status")
-
-
-@register("c22_release_readiness", sql("SELECT company_id, scenario_id, CAST(count(*) FILTER (WHERE status <> 'PASS' AND clause NOT IN ('17.21', '17.28')) AS BIGINT) AS blocking, CAST(count(*) FILTER (WHERE status <> 'PASS' AND severity = 'CRITICAL') AS BIGINT) AS critical FROM panel30 GROUP BY 1, 2", "panel30"))
-def c22(spark, sf):
-    m = model(spark, sf)
-    return PF.readiness(PF.registry_panel(m.checks, m.scenarios)).drop("releasable")
-
-
 @register("m18_model_standing", sql(
     "SELECT f.company_id, CASE f.state WHEN 'opening balances' THEN 'Needs Review' WHEN 'drivers' THEN 'Validated' ELSE CASE WHEN m.m_terminal_growth IS NULL THEN 'Forecast Ready' ELSE 'Valuation Ready' END END AS status,"
     " CASE f.state WHEN 'opening balances' THEN 'opening balances' WHEN 'drivers' THEN 'required assumptions' ELSE CASE WHEN m.m_terminal_growth IS NULL THEN 'cost-of-capital inputs' ELSE '' END END AS next_step FROM fstatus f JOIN market m USING (company_id, scenario_id) WHERE f.scenario_id = 'base'", "fstatus", "market"))
@@ -249,16 +229,6 @@ def e09(spark, sf):
     return as_double(EX.dcf(model(spark, sf)), "value", places=1)
 
 
-_TITLES = values([(c, t) for c, _, _, _, t, _ in dims.CHECK_REGISTRY], "code, compares", "ti")
-cte("panelcodes", f"SELECT s.company_id, s.scenario_id, rg.code, rg.clause, ti.compares, rg.severity, rg.stage, COALESCE(k.status, 'SKIP') AS status FROM scenario s CROSS JOIN ({_REG}) rg JOIN ({_TITLES}) ti ON ti.code = rg.code"
-    f" LEFT JOIN (SELECT p.company_id, p.scenario_id, cl.clause, p.status FROM panelrows p JOIN ({_CL}) cl USING (check_name)) k ON k.company_id = s.company_id AND k.scenario_id = s.scenario_id AND k.clause = rg.clause", "scenario", "panelrows")
-
-
-@register("e11_checks", sql("SELECT company_id, scenario_id, code, clause, compares, status, severity, stage FROM panelcodes", "panelcodes"))
-def e11(spark, sf):
-    return EX.checks(model(spark, sf)).drop("detail")
-
-
 _MISSING = "concat_ws(', ', " + ", ".join(f"CASE WHEN m.m_{c} IS NULL THEN '{c}' END" for c in sorted(c for c, _, r, _ in dims.MARKET_INPUTS if r)) + ")"
 
 

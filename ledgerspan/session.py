@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stage_root(spark: SparkSession) -> str:
+    """A new folder for stage tables on shared storage; the caller of a job clears `<checkpoint folder>/stages` afterwards."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so a lost executor does not replay the whole plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table once on shared storage and read it back: a lost executor replays no plan, and readers prune columns and rows."""
+    spark, path = df.sparkSession, stage_root(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -67,6 +67,35 @@ LEDGER_LINES = (
     ("cashflow", "dividends", "-0.005 * rev"),
 )
 
+# A ledger whose statements tie over all years: balances are opening balances plus the flows since. Layers of (name, amount),
+# each over the names of those before it. One company in eleven per fault carries it, the others carry none.
+_SINCE = "OVER (PARTITION BY company_id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_IN_ORDER = "OVER (PARTITION BY company_id ORDER BY year)"
+_FAULT = lambda number, year, amount: f"CASE WHEN company_id % 11 = {number} AND year = {year} THEN {amount} ELSE 0 END"
+_RUN = lambda flow: f"SUM(CASE WHEN n > 1 THEN {flow} ELSE 0 END) {_SINCE}"
+TIED_LAYERS = (
+    (("revenue", "rev"), ("cogs", "qf"), ("operating_expenses", "disc_amt"), ("interest", "0.02 * px_r"), ("taxes", "tax_amt"), ("depreciation", "0.03 * rev"),
+     ("amortization", "0.01 * rev"), ("sbc", "0.01 * rev"), ("capex", "0.06 * rev"), ("issued", "0.02 * px_a"), ("repaid", "0.01 * rev"), ("repurchased", "0.002 * rev"),
+     ("dividends", "0.005 * rev"), ("receivable", "px_r"), ("inventory", "qo"), ("other_ca", "0.02 * rev"), ("payable", "0.4 * qf"), ("other_cl", "0.04 * rev")),
+    (("ni", "revenue - cogs - operating_expenses - interest - taxes"), ("nwc", "receivable + inventory + other_ca - payable - other_cl"), ("rev0", f"FIRST_VALUE(revenue) {_IN_ORDER}"), ("n", f"ROW_NUMBER() {_IN_ORDER}")),
+    (("dnwc", f"nwc - LAG(nwc) {_IN_ORDER}"), ("nwc0", f"FIRST_VALUE(nwc) {_IN_ORDER}")),
+    (("cfo", "ni + depreciation + amortization + sbc - dnwc"), ("cff", "issued - repaid - repurchased - dividends")),
+    (("cash", f"0.1 * rev0 + {_RUN('cfo - capex + cff')} + {_FAULT(3, 2001, 500)}"), ("ppe", f"0.6 * rev0 + {_RUN('capex - depreciation')} + {_FAULT(4, 1998, 7)}"),
+     ("intangible", f"0.2 * rev0 - {_RUN('amortization')} + {_FAULT(6, 1999, 3)}"), ("debt", f"0.3 * rev0 + {_RUN('issued - repaid')} + {_FAULT(5, 1999, 9)}"),
+     ("stock", f"0.2 * rev0 + {_RUN('sbc - repurchased')}"), ("earned", f"nwc0 + 0.4 * rev0 + {_RUN('ni - dividends')} + {_FAULT(2, 2000, 1000)}"),
+     ("other_na", f"0.1 * rev0 - {_FAULT(4, 1998, 7)} - {_FAULT(6, 1999, 3)}"), ("other_nl", f"0.1 * rev0 + {_FAULT(3, 2001, 500)} - {_FAULT(5, 1999, 9)}")),
+)
+TIED_LINES = (
+    ("income", "revenue", "revenue"), ("income", "cogs", "cogs"), ("income", "gross_profit", "revenue - cogs + CASE WHEN company_id % 11 = 7 THEN 5 ELSE 0 END"), ("income", "operating_expenses", "operating_expenses"),
+    ("income", "interest_expense", "interest"), ("income", "taxes", "taxes"),
+    ("balance", "cash", "cash"), ("balance", "accounts_receivable", "receivable"), ("balance", "inventory", "inventory"), ("balance", "other_current_assets", "other_ca"), ("balance", "ppe_net", "ppe"),
+    ("balance", "intangibles", "intangible"), ("balance", "other_noncurrent_assets", "other_na"), ("balance", "accounts_payable", "payable"), ("balance", "other_current_liabilities", "other_cl"),
+    ("balance", "debt", "debt"), ("balance", "other_noncurrent_liabilities", "other_nl"), ("balance", "common_equity", "stock"), ("balance", "retained_earnings", "earned"),
+    ("cashflow", "net_income", "ni"), ("cashflow", "depreciation", "depreciation"), ("cashflow", "amortization", "amortization"), ("cashflow", "stock_based_compensation", "sbc"),
+    ("cashflow", "change_in_nwc", "-dnwc"), ("cashflow", "cash_flow_from_operations", "cfo"), ("cashflow", "capex", "-capex"), ("cashflow", "cash_flow_from_investing", "-capex"),
+    ("cashflow", "debt_issuance", "issued"), ("cashflow", "debt_repayment", "-repaid"), ("cashflow", "share_repurchases", "-repurchased"), ("cashflow", "dividends", "-dividends"),
+)
+
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 FORECAST_YEARS = (2002, 2003, 2004, 2005, 2006)
 
@@ -118,13 +147,21 @@ ASSUMPTIONS = (
     ("stretch", "terminal_growth", None, "ratio", "0.03", "Approved", "Scenario Override", "TRUE"),
 )
 
+# What the tied companies' scenarios add: every equity-bridge line stated (one in seven leaves them open), and one override that was rejected.
+TIED_ASSUMPTIONS = ASSUMPTIONS + tuple(
+    ("base", c, None, "currency", "CAST(0 AS DECIMAL(12,8)) * revenue", "Approved", "Company Filing", "company_id % 7 <> 3" + (" AND company_id % 5 <> 0" if c == "minority_interest" else ""))
+    for c in ("non_operating_investments", "minority_interest", "preferred_stock", "pension_obligations", "other_claims")
+) + (("upside", "sbc_pct_revenue", None, "ratio", "0.02", "Rejected", "Scenario Override", "company_id % 10 = 8"),)
+#: When an input was observed; one in thirteen companies does not say it for beta.
+OBSERVED = "CASE WHEN NOT (code = 'beta' AND company_id % 13 = 6) THEN '2001-12-31' END"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def company_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per company and ship year. The part join is left to the optimizer: broadcast
+def company_year(spark: SparkSession, sf_dir: str, keep: str = "TRUE") -> DataFrame:
+    """One row per company and ship year for which `keep` holds. The part join is left to the optimizer: broadcast
     while `part` is under the threshold, otherwise a sort-merge join whose hot keys AQE splits."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("company_id"),
@@ -142,20 +179,31 @@ def company_year(spark: SparkSession, sf_dir: str) -> DataFrame:
         li.join(part, "p_partkey")
         .groupBy("company_id", "year")
         .agg(*[F.expr(e).cast("decimal(25,4)").alias(n) for n, e in COMPANY_YEAR_SUMS])
+        .where(keep)
     )
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger(spark: SparkSession, sf_dir: str, keep: str = "TRUE") -> DataFrame:
     """Reported lines: company_id, statement, account, year, value. Absence is no row."""
     cells = ", ".join(f"'{st}', '{a}', CAST({e} AS {MONEY})" for st, a, e in LEDGER_LINES)
     return (
-        company_year(spark, sf_dir)
+        company_year(spark, sf_dir, keep)
         .selectExpr("company_id", "year", f"stack({len(LEDGER_LINES)}, {cells}) AS (statement, account, value)")
         .where("value IS NOT NULL")
         .selectExpr("company_id", "statement", "account", "year", "value", "'reported' AS origin")
     )
 
 
+def tied_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns as `ledger`, of statements that tie over all years but for the faults of TIED_LAYERS."""
+    rows = company_year(spark, sf_dir)
+    for layer in TIED_LAYERS:
+        rows = rows.selectExpr("*", *[f"{e} AS {n}" if n == "n" else f"CAST({e} AS {MONEY}) AS {n}" for n, e in layer])
+    cells = ", ".join(f"'{st}', '{a}', CAST({e} AS {MONEY})" for st, a, e in TIED_LINES)
+    long = rows.selectExpr("company_id", "year", f"stack({len(TIED_LINES)}, {cells}) AS (statement, account, value)")
+    return long.where("value IS NOT NULL").selectExpr("company_id", "statement", "account", "year", "value", "'reported' AS origin")
+
+
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = ", ".join(f"'{s}', CAST({'NULL' if p is None else repr(p)} AS STRING), '{n}'" for s, p, n in SCENARIOS)
     return table(spark, sf_dir, "supplier").selectExpr(
@@ -163,23 +211,23 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assumptions(spark: SparkSession, sf_dir: str, keep: str = "TRUE", rows: tuple = ASSUMPTIONS) -> DataFrame:
     """Drivers and market inputs per company and scenario, measured on the company's own last year."""
     names = {a: e for s, a, e in LEDGER_LINES if s != "cashflow"}
     measured = ("revenue", "cogs", "operating_expenses", "accounts_receivable", "debt")
     last = (
-        company_year(spark, sf_dir)
+        company_year(spark, sf_dir, keep)
         .select("company_id", "year", *[F.expr(names[a]).cast(MONEY).alias(a) for a in measured])
         .groupBy("company_id")
         .agg(F.max_by(F.struct(*measured), "year").alias("last"))
         .select("company_id", "last.*")
     )
     cells = []
-    for i, (s, c, p, u, v, st, src, k) in enumerate(ASSUMPTIONS):
+    for i, (s, c, p, u, v, st, src, k) in enumerate(rows):
         amount = f"CAST(CAST({v} AS {RATE}) AS {MONEY})" if u in ("ratio", "days") else f"CAST({v} AS {MONEY})"
         cells.append(f"'{s}', '{c}', CAST({'NULL' if p is None else p} AS INT), '{u}', {amount}, '{st}', '{src}', {i}, {k}")
     names = "scenario_id, code, period, unit, value, status, source_type, seq, keep"
-    return last.selectExpr("company_id", f"stack({len(ASSUMPTIONS)}, {', '.join(cells)}) AS ({names})").where("keep").drop("keep")
+    return last.selectExpr("company_id", f"stack({len(rows)}, {', '.join(cells)}) AS ({names})").where("keep").drop("keep")
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,9 @@ def _case(column: str, pairs) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {lit(v)}" for k, v in pairs) + " END"
 
 
-def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, page, table_id, row, col, text, caption."""
-    led = cut_lineage(D.ledger(spark, sf_dir)).selectExpr(
+def raw_cells(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
+    """document_id, page, table_id, row, col, text, caption of the derived ledger, or of another one."""
+    led = cut_lineage(D.ledger(spark, sf_dir) if ledger is None else ledger).selectExpr(
         "company_id", "account", "year", "value", f"{_case('statement', PAGES.items())} AS page", f"{_case('account', ROWS.items())} AS row",
         f"concat(CASE WHEN company_id % 10 IN (3, 7) THEN '' ELSE 'Consolidated ' END, {_case('statement', CAPTIONS.items())}, CASE WHEN company_id % 10 = 7 THEN ' by segment' ELSE '' END) AS caption",
     )
@@ -86,12 +86,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FA.build_facts(raw_cells(spark, sf_dir), documents(spark, sf_dir))
+def facts(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
+    return FA.build_facts(raw_cells(spark, sf_dir, ledger), documents(spark, sf_dir))
 
 
-def decisions(facts: DataFrame) -> DataFrame:
-    """Two rounds of review over the facts; the later one wins."""
+def decisions(facts: DataFrame, settled: str = "FALSE") -> DataFrame:
+    """Two rounds of review over the facts, and a third that accepts what is still rejected where `settled` holds; the last one wins."""
     first = facts.selectExpr(
         "document_id", "fact_id", "1L AS event_id", "TIMESTAMP'2024-01-01 09:00:00' AS at", "'reviewer-a' AS actor", "'checked against the page' AS reason",
         "CASE WHEN parsed.value IS NULL THEN 'correct' WHEN (document_id + row + col) % 17 = 0 THEN 'reject' ELSE 'accept' END AS action",
@@ -100,7 +100,11 @@ def decisions(facts: DataFrame) -> DataFrame:
     second = facts.where("(document_id + row + col) % 17 = 0 AND col = 4").selectExpr(
         "document_id", "fact_id", "2L AS event_id", "TIMESTAMP'2024-01-02 09:00:00' AS at", "'reviewer-b' AS actor", "'second look' AS reason", "'accept' AS action", f"CAST(NULL AS {MONEY}) AS corrected_value"
     )
-    return first.unionByName(second)
+    third = facts.where(f"(document_id + row + col) % 17 = 0 AND parsed.value IS NOT NULL AND ({settled})").selectExpr(
+        "document_id", "fact_id", "3L AS event_id", "TIMESTAMP'2024-01-03 09:00:00' AS at", "'reviewer-c' AS actor", "'settled with the preparer' AS reason", "'accept' AS action", f"CAST(NULL AS {MONEY}) AS corrected_value"
+    )
+    both = first.unionByName(second)
+    return both if settled == "FALSE" else both.unionByName(third)
 
 
 def mapping_log(reviewed: DataFrame) -> DataFrame:
@@ -122,10 +126,10 @@ class Filing:
     """Facts, review and mapping of every derived filing. Facts and reviewed facts are stage tables:
     they are read many times downstream, so each is materialised once on shared storage."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None, settled: str = "FALSE"):
         self.documents = documents(spark, sf_dir)
-        self.facts = cut_lineage(facts(spark, sf_dir))
-        self.decisions = decisions(self.facts)
+        self.facts = cut_lineage(facts(spark, sf_dir, ledger))
+        self.decisions = decisions(self.facts, settled)
         self.reviewed = cut_lineage(RV.apply_decisions(self.facts, self.decisions))
         self.log = mapping_log(self.reviewed.where("status <> 'rejected'"))
         self.mappings = MP.latest_batch(self.log).withColumn("approved", F.expr("document_id % 12 <> 11"))
