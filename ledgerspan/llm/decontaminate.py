@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..layers import settle
 from .common import lowered, stage
 
 #: A word is a run of letters, digits and whatever is not ASCII.
@@ -39,13 +40,23 @@ class Options:
 
 @dataclass(frozen=True)
 class Index:
-    """corpus: doc_id, h1, h2, terms of every document. postings: h1, h2, term, pos. counts: term, postings of it."""
+    """corpus: doc_id, h1, h2, n_words, words (joined by a space) of every document. postings: h1, h2, term, pos.
+    counts: term, postings of it."""
 
     corpus: DataFrame
     postings: DataFrame
     counts: DataFrame
 
 
+#: A staged side of up to this many rows is broadcast (a term and a few numbers each, some 10 MB); a longer one is joined by shuffle.
+FEW = 100_000
+
+
+def with_few(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join whose right side, a staged table, is broadcast if it was counted to be short."""
+    return many.join(F.broadcast(few) if few.count() <= FEW else few, on, how)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(lowered(text), F.lit(TERM), F.lit(0))
 
@@ -54,10 +65,11 @@ def build_index(docs: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     """The index of all words, or of those in the column `term` of a vocabulary; three tables on shared storage."""
     name, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id"), F.xxhash64(name, text).alias("h1"), F.xxhash64(F.reverse(text), name).alias("h2"), terms(F.col("text")).alias("terms"))
+    rows = settle(rows, ["doc_id", *KEY]).select("doc_id", *KEY, F.size("terms").cast("long").alias("n_words"), F.array_join("terms", " ").alias("words"))
     corpus = stage(rows, "corpus")
-    places = corpus.select(*KEY, F.posexplode("terms").alias("pos", "term"))
+    places = corpus.filter("n_words > 0").select(*KEY, F.posexplode(F.split("words", " ")).alias("pos", "term"))
     if vocabulary is not None:
-        places = places.join(vocabulary.select("term").distinct(), "term", "left_semi")
+        places = with_few(places, stage(vocabulary.select("term").distinct(), "vocabulary"), "term", "left_semi")
     postings = stage(places.select(*KEY, "term", "pos"), "postings")
     return Index(corpus, postings, stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts"))
 
@@ -90,13 +102,13 @@ def intersect(index: Index, ranked: DataFrame, lists: int | None, slop: int = 0)
     """h1, h2, phrase_id, start, size: the starts that the offset-adjusted lists of the `lists` rarest terms (None: of all) share,
     give or take `slop` words for each term but the rarest."""
     first = ranked.filter("rank = 1")
-    found = index.postings.join(first, "term").select(*KEY, "phrase_id", "size", (F.col("pos") - F.col("offset")).alias("start"))
+    found = with_few(index.postings, first, "term").select(*KEY, "phrase_id", "size", (F.col("pos") - F.col("offset")).alias("start"))
     if not slop:
         found = found.filter("start >= 0")
     longest = ranked.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
     for rank in range(2, min(lists or longest, longest) + 1):
         own = ranked.filter(F.col("rank") == rank).select("phrase_id", "term", "offset")
-        places = index.postings.join(own.select("term").distinct(), "term", "left_semi")
+        places = with_few(index.postings, own.select("term"), "term", "left_semi")
         found = stage(found, "starts")
         probes = found.join(own, "phrase_id").withColumn("pos", F.col("start") + F.col("offset"))
         if slop:
@@ -112,8 +124,10 @@ def exact_matches(index: Index, distinct: DataFrame, options: Options = Options(
     ranked = rarest_first(distinct, index.counts)
     starts = intersect(index, ranked, options.lists)
     per_document = starts.groupBy(*KEY).agg(F.collect_list(F.struct("phrase_id", "start", "size")).alias("starts"))  # no more than its words can start
+    # the words travel as text, a third of the bytes of an array, and are split once behind the join
+    joined = index.corpus.select(*KEY, "words").join(per_document, KEY).select(*KEY, "starts", F.split("words", " ").alias("terms"))
     here = F.transform("starts", lambda s: s.withField("phrase", F.array_join(F.slice("terms", s["start"] + 1, s["size"]), " ")))
-    seen = index.corpus.select(*KEY, "terms").join(per_document, KEY).select(*KEY, F.explode(here).alias("s")).select(*KEY, "s.*")
+    seen = settle(joined, [*KEY, "starts"]).select(*KEY, F.explode(here).alias("s")).select(*KEY, "s.*")
     return stage(seen.join(distinct.select("phrase_id", "phrase"), ["phrase_id", "phrase"], "left_semi").drop("phrase").distinct(), "matches")
 
 
@@ -141,7 +155,7 @@ def contamination(docs: DataFrame, items: DataFrame, options: Options = Options(
     named = matches.select(*KEY, "phrase_id").distinct().join(members, "phrase_id").select(*KEY, "item").distinct()
     named = named.groupBy(*KEY).agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = stage(hit_words(matches).join(named, KEY), "hits")
-    every = index.corpus.select("doc_id", *KEY, F.size("terms").cast("long").alias("n_words")).join(found, KEY, "left")
+    every = index.corpus.select("doc_id", *KEY, "n_words").join(found, KEY, "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce(F.array_join("items", ","), F.lit(""))
     return every.select(
