@@ -97,3 +97,15 @@ def unit_multiplier(units: Column) -> Column:
 def survives_double(c: Column) -> Column:
     """True when the decimal comes back unchanged from a 16-significant-digit double."""
     return F.format_string("%.16g", c.cast("double")).cast("double").cast(MONEY) == c.cast(MONEY)
+
+
+def exact_decimal(text: Column) -> tuple[Column, Column]:
+    """(value, problem): text read as an amount without rounding it. A figure that MONEY cannot hold as printed is a problem, not a nearby figure."""
+    t = F.trim(text)
+    wide = t.try_cast("decimal(38,12)")
+    value = t.try_cast(MONEY)
+    problem = (
+        F.when(t.isNull() | (t == ""), "absent").when(~t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "not a decimal")
+        .when(t.rlike(r"\.\d{12}\d*[1-9]") | (wide.isNotNull() & value.isNotNull() & (wide != value)), "more decimals than are kept").when(value.isNull(), "out of range")
+    )
+    return F.when(problem.isNull(), value), problem

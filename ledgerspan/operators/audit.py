@@ -74,13 +74,45 @@ def rate_burst(events: DataFrame, key: str, window_seconds: int, allowed: int) -
     )
 
 
+def digested(*parts: Column) -> Column:
+    """SHA-256 over length-prefixed parts, so that no two lists of parts read alike."""
+    return F.sha2(F.concat(*[F.concat(F.octet_length(p), F.lit(":"), p) for p in parts]), 256)
+
+
+def digest_tree(rows: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
+    """fingerprint per key of a multiset of texts, the same for any order and partitioning.
+
+    Leaves are SHA-256 digests of the texts. A node holds the digests that begin with the same byte, as their number and the sums of
+    their eight 32-bit words: it is added up where the rows are and keeps its size whatever it holds. The root digests the
+    nodes of a key, 256 at most, in order. No list of rows is gathered, so a key may hold any share of them."""
+    leaf = rows.select(*keys, digested(part).alias("_leaf")).withColumn("_node", F.substring("_leaf", 1, 2))
+    words = {f"_w{i}": F.sum(F.conv(F.substring("_leaf", i, 8), 16, 10).cast("long")) for i in range(1, 65, 8)}
+    nodes = leaf.groupBy(*keys, "_node").agg(F.count(F.lit(1)).alias("_n"), *[s.alias(n) for n, s in words.items()])
+    text = F.concat_ws(",", "_node", "_n", *words)
+    return nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(text)).alias("_nodes")).select(*keys, F.sha2(F.array_join("_nodes", ";"), 256).alias("fingerprint"))
+
+
 def fingerprint(rows: DataFrame, keys: Sequence[str], part: Column) -> DataFrame:
-    """Order-free SHA-256 per key over length-prefixed parts.
+    """Order-free digest per key."""
+    return digest_tree(rows, keys, part)
+
+
+VERSION_SCHEME = "2"
+
+
+def model_version(documents: DataFrame, mappings: DataFrame, resolved: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """company_id, scenario_id, version: changes when the document, a mapping that moves a figure, a resolved assumption or the scenario does.
 
-    Each part is digested where it is, so a key gathers 64 characters per part whatever the parts hold; callers
-    key it by company and scenario so that the list stays short."""
-    p = rows.select(*keys, part.alias("p")).withColumn("p", F.sha2(F.concat(F.octet_length("p"), F.lit(":"), "p"), 256))
-    return p.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p")), ""), 256).alias("fingerprint"))
+    documents: document_id, hash. mappings: the current ones, with approved. resolved: every scenario's rows for no period and per year."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    of_map = digest_tree(
+        mappings, ["document_id"], F.concat_ws("|", "fact_id", "account", "mapping_type", text("allocation"), "sign", F.when(F.col("approved"), "approved").otherwise("unapproved"))
+    ).select(F.col("document_id").alias("company_id"), F.col("fingerprint").alias("mapping"))
+    of_assumptions = digest_tree(resolved, ["company_id", "scenario_id"], F.concat("code", F.lit("@"), "year", F.lit("="), text("value"), F.lit(":"), "status")).withColumnRenamed("fingerprint", "assumptions")
+    rows = scenarios.select("company_id", "scenario_id").join(documents.select(F.col("document_id").alias("company_id"), "hash"), "company_id", "left")
+    rows = rows.join(of_map, "company_id", "left").join(of_assumptions, ["company_id", "scenario_id"], "left")
+    named = {"scheme": F.lit(VERSION_SCHEME), "document": F.coalesce("hash", F.lit("none")), "mapping": F.coalesce("mapping", F.lit("none")), "scenario": F.col("scenario_id"), "assumptions": F.coalesce("assumptions", F.lit("none"))}
+    return rows.select("company_id", "scenario_id", digested(*[F.concat(F.lit(f"{n}="), c) for n, c in named.items()]).alias("version"))
 
 
 def changed_from_previous(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -131,3 +131,11 @@ def recompute_affected(wide: DataFrame, metrics: Sequence[Metric], changed: Sequ
     """Only the metrics downstream of a change; the rest are pruned from the plan."""
     hit = set(dependents(metrics, changed))
     return evaluate(wide, metrics, keys).where(F.col("metric").isin(sorted(hit)))
+
+
+def overwrite_affected(wide: DataFrame, metrics: Sequence[Metric], changed: Sequence[str] | None, path: str, keys: Sequence[str] = ("company_id", "year")) -> DataFrame:
+    """Metric values kept under `path`, a partition per metric: only the partitions downstream of `changed` are computed and
+    replaced (all of them for None), the others are not touched (X05). Returns the whole table."""
+    rows = evaluate(wide, metrics, keys) if changed is None else recompute_affected(wide, metrics, changed, keys)
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("metric").parquet(path)
+    return wide.sparkSession.read.schema(rows.schema).parquet(path)

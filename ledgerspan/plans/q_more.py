@@ -8,13 +8,16 @@ from .. import dims, money
 from ..operators import audit as AU
 from ..operators import exports as EX
 from ..operators import forecast as FC
+from ..operators import impact as IM
 from ..operators import ledger as L
 from ..operators import metrics as X
 from ..operators import portfolio as PF
 from ..sources import derived as D
+from ..sources import filings as FL
 from ..sources import readers as R
 from ..sources import writers as WR
-from .duck import M, cte, q, sql, values
+from . import q_filing  # noqa: F401  (its common table expressions)
+from .duck import M, q, sql, values
 from .q_ledger import _drv, full
 from .q_model import model
 from .registry import as_double, dbl, register, sd
@@ -92,14 +95,33 @@ def s23(spark, sf):
     return li.agg(F.count("*").alias("cells"), F.count_if(~money.survives_double(F.col("value"))).alias("lost"))
 
 
-@register("a23_input_fingerprint", sql("SELECT company_id, sha256(string_agg(sha256(octet_length(encode(p)) || ':' || p), '' ORDER BY sha256(octet_length(encode(p)) || ':' || p))) AS fingerprint FROM (SELECT company_id, statement || '.' || account || '.' || year || '=' || value AS p FROM ledger) GROUP BY company_id", "ledger"))
+def _tree(rows: str, keys: str) -> str:
+    """The digest tree of the column p of a SELECT: leaves, sums per first byte, root."""
+    words = [f"sum(CAST('0x' || substr(h, {i}, 8) AS BIGINT))" for i in range(1, 65, 8)]
+    node = " || ',' || ".join(["substr(h, 1, 2)", "count(*)", *words])
+    return (f"SELECT {keys}, sha256(string_agg(node, ';' ORDER BY node)) AS fingerprint FROM (SELECT {keys}, {node} AS node FROM (SELECT *, sha256(octet_length(encode(p)) || ':' || p) AS h FROM ({rows}))"
+            f" GROUP BY {keys}, substr(h, 1, 2)) GROUP BY {keys}")
+
+
+@register("a23_input_fingerprint", sql(_tree("SELECT company_id, statement || '.' || account || '.' || year || '=' || value AS p FROM ledger", "company_id"), "ledger"))
 def a23(spark, sf):
     return AU.fingerprint(D.ledger(spark, sf), ["company_id"], F.concat("statement", F.lit("."), "account", F.lit("."), "year", F.lit("="), "value"))
 
 
-@register("a24_model_version", sql("SELECT company_id, scenario_id, sha256(string_agg(sha256(octet_length(encode(p)) || ':' || p), '' ORDER BY sha256(octet_length(encode(p)) || ':' || p))) AS fingerprint FROM (SELECT company_id, scenario_id, code || '@' || year || '=' || value || ':' || status AS p FROM resolved) GROUP BY company_id, scenario_id", "resolved"))
+_PARTS = " || ".join(f"octet_length(encode({p})) || ':' || {p}" for p in ("'scheme=2'", "('document=' || sha256(u.s_name))", "('mapping=' || m.fingerprint)", "('scenario=' || s.scenario_id)", "('assumptions=' || a.fingerprint)"))
+_MAPPED = ("SELECT document_id AS company_id, fact_id || '|' || account || '|' || mapping_type || '|' || COALESCE(CAST(allocation AS VARCHAR), '') || '|' || sign || '|'"
+           " || CASE WHEN document_id % 12 <> 11 THEN 'approved' ELSE 'unapproved' END AS p FROM maps")
+_ASSUMED = ("SELECT company_id, scenario_id, code || '@' || year || '=' || value || ':' || status AS p FROM (SELECT company_id, scenario_id, code, year, value, status FROM resolved"
+            " UNION ALL SELECT company_id, scenario_id, code, 0, value, status FROM anyres)")
+
+
+@register("a24_model_version", sql(
+    f"SELECT s.company_id, s.scenario_id, sha256({_PARTS}) AS version FROM scenario s JOIN supplier u ON u.s_suppkey = s.company_id JOIN ({_tree(_MAPPED, 'company_id')}) m ON m.company_id = s.company_id"
+    f" JOIN ({_tree(_ASSUMED, 'company_id, scenario_id')}) a ON a.company_id = s.company_id AND a.scenario_id = s.scenario_id", "scenario", "maps", "resolved", "anyres"))
 def a24(spark, sf):
-    return AU.fingerprint(model(spark, sf).resolved, ["company_id", "scenario_id"], F.concat("code", F.lit("@"), "year", F.lit("="), "value", F.lit(":"), "status"))
+    """Document, current mappings and resolved assumptions of every scenario as one identifier."""
+    f, m = FL.Filing(spark, sf), model(spark, sf)
+    return AU.model_version(f.documents, f.mappings, m.resolved_all, m.scenarios)
 
 
 @register("j35_changed_from_previous", sql("SELECT company_id, statement, year, account, " + sd("before", "before") + ", " + sd("after", "after") + " FROM (SELECT company_id, statement, year, account, value AS before, CASE WHEN account IN ('cash', 'revenue', 'capex') AND (company_id + year) % 2 = 0 THEN value + 1 ELSE value END AS after FROM ledger) WHERE before <> after", "ledger"))
@@ -109,15 +131,53 @@ def j35(spark, sf):
     return as_double(AU.changed_from_previous(old, new, ["company_id", "statement", "year", "account"]), "before", "after")
 
 
-@register("j34_impact_preview", sql("SELECT company_id, scenario_id, year, code, " + sd("value", "before", 6) + ", " + sd("CASE WHEN code = 'beta' THEN value + 1 END", "after", 6) + " FROM resolved WHERE code = 'beta'", "resolved"))
-def j34(spark, sf):
-    """Before and after of one changed base assumption, as every scenario sees it."""
-    from ..operators import scenarios as S
+# One change per company: beta, or capital expenditure, of the base scenario.
+_BETA, _CAPEX = "company_id % 2 = 0", "0.09"
+_AFTER = {"assumption": f"SELECT * REPLACE (CASE WHEN scenario_id = 'base' AND code = 'beta' AND {_BETA} THEN value + 1 WHEN scenario_id = 'base' AND code = 'capex_pct_revenue' AND NOT ({_BETA}) THEN {_CAPEX} ELSE value END AS value) FROM ({{0}})"}
+_PRICED = {"cost_of_equity": "ke", "after_tax_debt": "kd", "wacc": "wacc", "pv_explicit": "pv_explicit", "terminal_value": "tv", "pv_terminal": "pv_terminal", "enterprise_value": "ev", "equity_value": "equity", "per_share": "equity / CAST(m_diluted_shares AS DOUBLE)"}
+_FLOWS = ("revenue", "cogs", "operating_expenses", "ebit", "depreciation", "capex", "ppe_net", "accounts_receivable", "inventory", "accounts_payable", "change_in_nwc", "debt", "interest_expense", "pretax_income", "taxes", "net_income",
+          "dividends", "retained_earnings", "common_equity", "cfo", "cfi", "cff", "cash", "total_assets", "total_liabilities", "total_equity", "fcff")
+# What each of the two changes reaches, written out.
+_REACHED = {"beta": ("cost_of_equity", "wacc", "pv_explicit", "terminal_value", "pv_terminal", "enterprise_value", "equity_value", "per_share"),
+            "capex_pct_revenue": ("capex", "ppe_net", "depreciation", "cfo", "cfi", "cash", "total_assets", "fcff", "pv_explicit", "terminal_value", "pv_terminal", "enterprise_value", "equity_value", "per_share")}
+
+
+def _figures_sql() -> str:
+    rows = [f"SELECT company_id, scenario_id, year, '{c}' AS target, CAST({c} AS DOUBLE) AS value FROM fc" for c in _FLOWS]
+    rows += [f"SELECT s.company_id, s.scenario_id, 0, '{n}', v.x FROM scenario s LEFT JOIN (SELECT company_id, scenario_id, {e} AS x FROM valye) v ON v.company_id = s.company_id AND v.scenario_id = s.scenario_id" for n, e in _PRICED.items()]
+    rows += [f"SELECT s.company_id, s.scenario_id, 0, '{c}', NULL FROM scenario s WHERE NOT EXISTS (SELECT 1 FROM fc f WHERE f.company_id = s.company_id AND f.scenario_id = s.scenario_id)" for c in _FLOWS]
+    return " UNION ALL ".join(rows)
+
 
+_OLD, _NEW = (sql(_figures_sql(), "fc", "valye", "scenario", swap=x) for x in (None, _AFTER))
+_REACH = values([(c, t) for c, ts in _REACHED.items() for t in ts], "code, target", "rc")
+_IMPACT = ("SELECT o.company_id, o.scenario_id, r.code, CAST(o.year AS INTEGER) AS year, o.target, o.value AS before, n.value AS after, CASE WHEN n.value IS NULL THEN 'unavailable' WHEN abs(o.value - n.value) <= 1e-11 * greatest(abs(o.value), abs(n.value)) THEN 'same' ELSE 'moved' END AS state"
+           f" FROM ({_OLD}) o JOIN ({_NEW}) n ON n.company_id = o.company_id AND n.scenario_id = o.scenario_id AND n.year = o.year AND n.target = o.target JOIN ({_REACH}) r ON r.target = o.target"
+           " AND r.code = CASE WHEN o.company_id % 2 = 0 THEN 'beta' ELSE 'capex_pct_revenue' END")
+
+
+def impact(spark, sf):
     m = model(spark, sf)
-    changed = m.assumptions.withColumn("value", F.expr(f"CAST(CASE WHEN code = 'beta' THEN value + 1 ELSE value END AS {money.MONEY})"))
-    keys = ["company_id", "scenario_id", "year", "code"]
-    return as_double(AU.changed_from_previous(m.resolved, S.resolve(m.scenarios, changed, m.years), keys), "before", "after", places=6)
+    base = m.assumptions.where("scenario_id = 'base'")
+    changes = base.where(f"(code = 'beta' AND {_BETA}) OR (code = 'capex_pct_revenue' AND NOT ({_BETA}))").selectExpr(
+        "company_id", "scenario_id", "code", f"CAST(CASE WHEN code = 'beta' THEN value + 1 ELSE {_CAPEX} END AS {money.MONEY}) AS value")
+    return IM.preview(m, changes)
+
+
+@register("j34_impact_preview", f"SELECT company_id, scenario_id, code, year, target, {sd('before', 'before', 1)}, {sd('after', 'after', 1)}, state FROM ({_IMPACT})")
+def j34(spark, sf):
+    """Beta or capital expenditure of the base scenario changed: every figure it reaches, in every scenario that inherits."""
+    return as_double(impact(spark, sf).drop("reason"), "before", "after", places=1)
+
+
+@register("j34_impact_summary", "SELECT company_id, scenario_id, code, CAST(count(DISTINCT target) AS BIGINT) AS reaches, " + ", ".join(f"CAST(count(*) FILTER (WHERE state = '{s}') AS BIGINT) AS {s}" for s in ("moved", "same", "unavailable")) + f" FROM ({_IMPACT}) GROUP BY 1, 2, 3")
+def j34_summary(spark, sf):
+    return IM.impact_summary(impact(spark, sf))
+
+
+@register("l14_scenario_model", f"SELECT company_id, scenario_id, CAST(year AS INTEGER) AS year, target, {sd('value', 'value', 1)} FROM ({_OLD})")
+def l14(spark, sf):
+    return as_double(IM.scenario_model(model(spark, sf)).drop("reason"), "value", places=1)
 
 
 METRICS = (

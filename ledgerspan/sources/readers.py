@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import dims
-from ..money import MONEY, to_decimal
+from ..money import MONEY, exact_decimal, to_decimal
 
 # One schema per input table; values are text on read, never inferred.
 REPORTED = "company_id STRING, statement STRING, account STRING, year INT, value STRING, document STRING, page INT, line_item STRING"
@@ -20,6 +20,11 @@ RESULT = (
     " mappings ARRAY<STRUCT<fact_id: STRING, account: STRING, mapping_type: STRING, sign: STRING, allocation: STRING, approved_by: STRING>>,"
     " audit ARRAY<STRUCT<event_id: BIGINT, at: STRING, actor: STRING, action: STRING, entity_id: STRING, detail: STRING>>"
 )
+DRIVER_FILE = (
+    "company_id STRING, drivers ARRAY<STRUCT<name: STRING, value: STRING, basis: STRING, source: STRING, year: STRING, note: STRING>>,"
+    " conflicts ARRAY<STRUCT<topic: STRING, source_a: STRING, date_a: STRING, value_a: STRING, source_b: STRING, date_b: STRING, value_b: STRING, chosen: STRING, rationale: STRING>>,"
+    " tax STRUCT<basis: STRING, source: STRING, rates: MAP<STRING, STRING>>, segments MAP<STRING, STRING>"
+)
 FORMATS = ("json", "csv", "parquet", "orc")
 
 
@@ -128,3 +133,41 @@ def verify_hashes(found: DataFrame, manifest: DataFrame, key: str = "path") -> D
     """match, mismatch, missing or extra per file."""
     j = found.select(key, F.col("hash").alias("found")).join(manifest.select(key, F.col("hash").alias("recorded")), key, "full_outer")
     return j.withColumn("state", F.when(F.col("found").isNull(), "missing").when(F.col("recorded").isNull(), "extra").when(F.col("found") == F.col("recorded"), "match").otherwise("mismatch"))
+
+
+def read_drivers(spark: SparkSession, path: str, forecast_years: list[str], fmt: str = "json", actual_years: list[str] = ()) -> dict[str, DataFrame]:
+    """The four blocks of driver files and what they refuse (S03, P41, P39): drivers, conflicts, tax, segments, refused.
+
+    refused: company_id, block, item, reason. A row with a problem is in no block; nothing is rounded, filled or dropped silently.
+    Two drivers of one name and year refuse each other."""
+    raw = read(spark, path, DRIVER_FILE, fmt)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+
+    def absent(names: str, row: str = "") -> Column:
+        gaps = F.array_join(F.array_compact(F.array(*[F.when(blank(F.col(row + n)), n) for n in names.split()])), ", ")
+        return F.when(gaps != "", F.concat(F.lit("not given: "), gaps))
+
+    value, wrong = exact_decimal(F.col("value"))
+    d = raw.select("company_id", F.inline("drivers")).withColumns({"_value": value, "_wrong": wrong})
+    d = d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("company_id", "name", "year")))
+    years = [*actual_years, *forecast_years]
+    d = d.withColumn("reason", F.coalesce(
+        absent("name value basis source"), F.when(~F.lower(F.trim("basis")).isin(*sorted(set(dims.ENGINE_BASIS.values()))), "unknown basis"),
+        F.when(F.col("year").isNotNull() & ~F.col("year").isin(*years), "not a modelled year"), F.concat(F.lit("value: "), F.col("_wrong")), F.when(F.col("_n") > 1, "declared twice")))
+    c = raw.select("company_id", F.inline("conflicts"))
+    c = c.withColumn("reason", F.coalesce(
+        absent("topic source_a date_a value_a source_b date_b value_b chosen rationale"), F.when((F.col("chosen") != F.col("source_a")) & (F.col("chosen") != F.col("source_b")), "chosen is neither source")))
+    head = absent("basis source", "tax.")
+    t = raw.select("company_id", "tax", F.when(F.col("tax").isNull(), "no tax block").otherwise(head).alias("_head"), F.explode(F.array(*map(F.lit, forecast_years))).alias("year"))
+    rate, wrong = exact_decimal(F.try_element_at("tax.rates", F.col("year")))
+    t = t.select("company_id", "year", F.col("tax.basis").alias("basis"), F.col("tax.source").alias("source"), rate.alias("rate"), F.coalesce("_head", F.when(F.try_element_at("tax.rates", F.col("year")).isNull(), "no rate for the year"), F.concat(F.lit("rate: "), wrong)).alias("reason"))
+    s = raw.select("company_id", F.explode("segments").alias("segment", "value"))
+    value, wrong = exact_decimal(F.col("value"))
+    s = s.select("company_id", "segment", value.alias("base_revenue"), F.concat(F.lit("value: "), wrong).alias("reason"))
+    refused = [x.where("reason IS NOT NULL").select("company_id", F.lit(b).alias("block"), i.alias("item"), "reason")
+               for b, x, i in (("drivers", d, F.concat_ws(" ", "name", "year")), ("conflicts", c, F.col("topic")), ("tax", t, F.col("year")), ("segments", s, F.col("segment")))]
+    good = lambda x: x.where("reason IS NULL").drop("reason")
+    return {
+        "drivers": good(d).withColumn("value", F.col("_value")).drop("_value", "_wrong", "_n"), "conflicts": good(c), "tax": good(t), "segments": good(s),
+        "refused": refused[0].unionByName(refused[1]).unionByName(refused[2]).unionByName(refused[3]),
+    }
