@@ -64,12 +64,6 @@ def test_metrics(spark):
         X.order([("a", "b", ("b",), "x"), ("b", "a", ("a",), "x")])
 
 
-def _events(spark, d):
-    rows = [("k", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate((0, 1, 2, 3, 11, 12))]
-    spark.createDataFrame(rows, "key string, event_id bigint, at string").withColumn("at", F.to_timestamp("at")).write.parquet(d + "/in")
-    return spark.readStream.schema("key string, event_id bigint, at timestamp").parquet(d + "/in")
-
-
 def _drain(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -77,14 +71,21 @@ def _drain(df, name, mode="append"):
 
 
 def test_stream_rate_limit(spark):
-    got = {r.event_id: r.accepted for r in _drain(ST.rate_limit(_events(spark, scratch()), 2, 10), "limited")}
-    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True}
+    ST.use_state_store(spark)
+    d = scratch()
+    rows = [("k", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate((0, 1, 2, 3, 11, 12))] + [("end", 9, "2024-01-03 00:00:00")]
+    spark.createDataFrame(rows, "key string, event_id bigint, at string").withColumn("at", F.to_timestamp("at")).write.parquet(d + "/in")
+    events = spark.readStream.schema("key string, event_id bigint, at timestamp").parquet(d + "/in")
+    got = {r.event_id: r.verdict for r in _drain(ST.rate_limit(events, 2, 10), "limited")}
+    yes, no = "accepted", "refused"
+    assert got == {0: yes, 1: yes, 2: no, 3: no, 4: yes, 5: yes}
 
 
 def test_stream_transitions_and_dedupe(spark):
+    ST.use_state_store(spark)
     d = scratch()
-    rows = [("e", 1, "Draft"), ("e", 2, "Reviewed"), ("e", 3, "Needs Source"), ("e", 4, "Draft")]
-    spark.createDataFrame(rows, "entity_id string, event_id bigint, state string").withColumn("at", F.timestamp_seconds("event_id")).write.parquet(d + "/t")
+    rows = [("e", 1, "Draft"), ("e", 2, "Reviewed"), ("e", 3, "Needs Source"), ("e", 4, "Draft"), ("end", 400_000, "Draft")]
+    spark.createDataFrame(rows, "entity_id string, event_id bigint, state string").withColumn("at", F.timestamp_seconds(F.col("event_id") + 1_000_000)).write.parquet(d + "/t")
     s = spark.readStream.schema("entity_id string, event_id bigint, state string, at timestamp").parquet(d + "/t")
     assert [(r.event_id, r.previous, r.state) for r in _drain(ST.illegal_transitions(s), "illegal")] == [(3, "Reviewed", "Needs Source")]
     spark.createDataFrame([("a", "h1"), ("a", "h1"), ("b", "h1")], "company_id string, hash string").withColumn("uploaded_at", F.to_timestamp(F.lit("2024-01-01"))).write.parquet(d + "/u")
