@@ -31,6 +31,35 @@ def cover(m) -> DataFrame:
     return wide.selectExpr(*K, stacked(rows, ("field", "value")))
 
 
+def sources(documents: DataFrame, gated: DataFrame) -> DataFrame:
+    """The filing of each company: name, stored hash, pages and facts read, metadata and verification state.
+
+    gated: facts with their verification gates (`review.gates`)."""
+    per = gated.groupBy("document_id").agg(F.max("page").alias("pages"), F.count(F.lit(1)).alias("facts"), F.count_if("verified").alias("verified"))
+    return documents.join(per, "document_id", "left").selectExpr(
+        "document_id AS company_id", "company_name", "hash", "coalesce(pages, 0) AS pages", "coalesce(facts, 0) AS facts", "coalesce(verified, 0) AS verified",
+        "CASE WHEN metadata_confirmed THEN 'confirmed' ELSE 'unconfirmed' END AS metadata", "CASE WHEN facts > 0 AND verified = facts THEN 'verified' ELSE 'unverified' END AS status",
+    )
+
+
+PARSER_REFUSED = "the parser refused this cell rather than guess"
+
+
+def raw_facts(reviewed: DataFrame) -> DataFrame:
+    """Every printed figure beside what was read and decided; a correction never replaces the printed text."""
+    return reviewed.select(
+        F.col("document_id").alias("company_id"), "fact_id", "page", F.col("raw_label").alias("label"), F.col("raw_value").alias("raw"), F.col("period_label").alias("period"), F.col("parsed.value").alias("value"),
+        F.when(F.col("parsed.value").isNull(), PARSER_REFUSED).alias("missing"), "confidence", F.array_join("failed_evidence", ", ").alias("evidence_lacking"), "status",
+        F.coalesce("action", F.lit("(not reviewed)")).alias("decision"), F.coalesce("reason", F.lit("")).alias("reason"),
+    )
+
+
+def mapping(mappings: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Which line each printed figure became, how, and whether that was approved."""
+    m = mappings.join(reviewed.select("document_id", "fact_id", "raw_label"), ["document_id", "fact_id"])
+    return m.selectExpr("document_id AS company_id", "fact_id", "raw_label AS label", "account", "mapping_type", "sign", "allocation", "version", "CASE WHEN approved THEN 'approved' ELSE '(not approved)' END AS approval")
+
+
 def schedules(m) -> DataFrame:
     """Every schedule line of every year."""
     s = H.schedule_set(m.filled)

@@ -246,3 +246,10 @@ def trace(mappings: DataFrame, facts: DataFrame, ledger: DataFrame) -> DataFrame
     """Every ledger cell with the facts, pages and decisions behind it."""
     c = citations(mappings, facts).selectExpr("document_id AS company_id", "statement", "account", "CAST(regexp_extract(period_label, '(\\\\d{4})', 1) AS INT) AS year", "facts", "printed", "page AS cited_page")
     return ledger.join(c, ["company_id", "statement", "account", "year"], "left").withColumn("has_lineage", F.coalesce(F.size("facts") > 0, F.lit(False)))
+
+
+def trace_facts(mappings: DataFrame, facts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Every ledger cell with each fact behind it: where it was printed, how it was mapped, and what review decided."""
+    c = _joined(mappings, facts).join(facts.select("document_id", "fact_id", "action", "actor", F.col("reason").alias("decided_because")), ["document_id", "fact_id"])
+    c = c.selectExpr("document_id AS company_id", "statement", "account", "CAST(regexp_extract(period_label, '(\\\\d{4})', 1) AS INT) AS year", "fact_id", "page AS fact_page", "raw_label", "raw_value", "mapping_type", "contribution", "action", "actor", "decided_because")
+    return ledger.select("company_id", "statement", "account", "year", "value").join(c, ["company_id", "statement", "account", "year"], "left")

@@ -128,6 +128,14 @@ def differences(scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
     )
 
 
+def comparison(scenarios: DataFrame, assumptions: DataFrame, forecast: DataFrame, years: Sequence[int], figures: Sequence[str]) -> DataFrame:
+    """One row per scenario: the figures of each year side by side, and the drivers in which it departs from its parent."""
+    k = ["company_id", "scenario_id"]
+    side = forecast.groupBy(*k).agg(*[F.max(F.when(F.col("year") == y, F.col(n))).alias(f"{n}_{y}") for n in figures for y in years])
+    codes = differences(scenarios, assumptions).groupBy(*k).agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("differs_in"))
+    return scenarios.select(*k).join(side, k, "left").join(codes, k, "left").withColumn("differs_in", F.coalesce("differs_in", F.lit("")))
+
+
 _STATUS_NAMES = "array(" + ", ".join(f"'{x}'" for x in dims.STATUSES) + ")"
 _STATUS_NO = "array_position(" + _STATUS_NAMES + ", status)"
 _BLOCKING_NO = "(" + ", ".join(str(dims.STATUSES.index(x) + 1) for x in dims.BLOCKING_STATUSES) + ")"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import amounts as A
 from ..functions import labels as LB
+from ..operators import exports as EX
 from ..operators import facts as FA
 from ..operators import mapping as MP
 from ..operators import review as RV
@@ -337,6 +338,49 @@ def j37(spark, sf):
     return MP.trace(f.mappings, f.reviewed, led).select("company_id", "statement", "account", "year", "has_lineage", F.size("facts").alias("facts"))
 
 
+_ACTION = "CASE x.status WHEN 'accepted' THEN 'accept' WHEN 'corrected' THEN 'correct' ELSE 'reject' END"
+
+
+@register("j37_lineage_facts", sql(
+    "SELECT n.document_id AS company_id, n.statement, n.account, CAST(n.period_label AS INTEGER) AS year, m.fact_id, m.page AS fact_page, m.raw_label, m.mapping_type, " + sd("m.contribution", "contribution") + f", {_ACTION} AS action,"
+    " CASE WHEN (x.document_id + x.rw + x.cl) % 17 = 0 AND x.cl = 4 THEN 'reviewer-b' ELSE 'reviewer-a' END AS actor FROM norm n JOIN mj m ON m.document_id = n.document_id AND m.account = n.account AND m.period_label = n.period_label AND m.statement = n.statement"
+    " JOIN xrev x ON x.document_id = m.document_id AND x.fact_id = m.fact_id WHERE n.value IS NOT NULL AND n.document_id % 12 <> 11", "norm", "mj", "xrev"))
+def j37_facts(spark, sf):
+    """The facts behind every cell with the decision on each."""
+    f = FL.Filing(spark, sf)
+    led, _ = MP.build_ledger(MP.normalise(f.mappings, f.reviewed))
+    t = MP.trace_facts(f.mappings, f.reviewed, led)
+    return as_double(t.select("company_id", "statement", "account", "year", "fact_id", "fact_page", "raw_label", "mapping_type", "contribution", "action", "actor"), "contribution")
+
+
+_DIGITS = "CASE WHEN document_id % 3 = 1 THEN translate(format('{:,.2f}', CAST(abs(parsed) AS DOUBLE)), ',.', '.,') ELSE format('{:,.2f}', CAST(abs(parsed) AS DOUBLE)) END"
+_RAW = f"CASE WHEN dashed THEN '—' ELSE CASE WHEN account = 'revenue' AND document_id % 3 <> 1 THEN '$' ELSE '' END || CASE WHEN parsed < 0 THEN '(' || {_DIGITS} || ')' ELSE {_DIGITS} END || CASE WHEN footnoted THEN '(2)' ELSE '' END END"
+
+
+@register("e02_sources", sql(
+    "SELECT s.s_suppkey AS company_id, s.s_name AS company_name, sha256(s.s_name) AS hash, COALESCE(g.pages, 0) AS pages, CAST(COALESCE(g.facts, 0) AS BIGINT) AS facts, CAST(COALESCE(g.verified, 0) AS BIGINT) AS verified,"
+    f" CASE WHEN ({FL.SCALE_OK.replace('company_id', 's_suppkey')}) AND ({FL.CURRENCY_OK.replace('company_id', 's_suppkey')}) THEN 'confirmed' ELSE 'unconfirmed' END AS metadata, CASE WHEN g.facts = g.verified THEN 'verified' ELSE 'unverified' END AS status"
+    " FROM supplier s LEFT JOIN (SELECT document_id, max(page) AS pages, count(*) AS facts, count(*) FILTER (WHERE done AND mapped) AS verified FROM xgate GROUP BY 1) g ON g.document_id = s.s_suppkey", "xgate"))
+def e02(spark, sf):
+    f = FL.Filing(spark, sf)
+    return EX.sources(f.documents, RV.gates(f.reviewed, MP.fact_mapping_state(f.mappings), f.documents))
+
+
+@register("e03_raw_facts", sql(
+    f"SELECT x.document_id AS company_id, x.fact_id, x.page, x.raw_label AS label, {_RAW} AS raw, x.period_label AS period, {sd('x.parsed', 'value')}, CASE WHEN x.parsed IS NULL THEN '{EX.PARSER_REFUSED}' END AS missing, x.confidence,"
+    " concat_ws(', ', CASE WHEN dashed THEN 'parsed' END, CASE WHEN footnoted THEN 'clean_numeric' END, CASE WHEN repeated THEN 'table_intact' END) AS evidence_lacking, x.status,"
+    f" {_ACTION} AS decision, CASE WHEN (x.document_id + x.rw + x.cl) % 17 = 0 AND x.cl = 4 THEN 'second look' ELSE 'checked against the page' END AS reason FROM xrev x", "xrev"))
+def e03(spark, sf):
+    return as_double(EX.raw_facts(FL.Filing(spark, sf).reviewed).withColumn("confidence", F.col("confidence").cast("double")), "value")
+
+
+@register("e04_mapping", sql(
+    "SELECT document_id AS company_id, fact_id, raw_label AS label, account, mapping_type, sign, " + sd("allocation", "allocation") + ", CAST(version AS INTEGER) AS version, CASE WHEN document_id % 12 <> 11 THEN 'approved' ELSE '(not approved)' END AS approval FROM mj", "mj"))
+def e04(spark, sf):
+    f = FL.Filing(spark, sf)
+    return as_double(EX.mapping(f.mappings, f.reviewed), "allocation")
+
+
 @register("j39_revision_keep", sql(
     "SELECT document_id, fact_id, status, CASE WHEN status = 'accepted' AND dashed = FALSE AND document_id % 3 = 1 AND document_id % 20 <> 19 THEN 'unreviewed' ELSE status END AS status_after FROM xrev", "xrev"))
 def j39(spark, sf):

@@ -127,11 +127,15 @@ def a19(spark, sf):
     return as_double(H.latest_usable_rate(H.effective_tax(full(spark, sf))), "rate", places=6)
 
 
+_LACKING = "array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(absent, ', '))), lambda x: x <> ''))), ', ')"
+
+
 @register("h12_availability", sql(
-    "SELECT company_id, schedule, CASE WHEN no_opening = periods THEN 'UNAVAILABLE' WHEN no_opening > 0 OR absences > 0 THEN 'PARTIAL' ELSE 'AVAILABLE' END AS availability FROM ("
-    "SELECT company_id, schedule, count(*) AS periods, count(*) FILTER (WHERE computed_ending IS NULL) AS no_opening, count(*) FILTER (WHERE absent <> '') AS absences FROM roll GROUP BY 1, 2)", "roll"))
+    "SELECT company_id, schedule, CASE WHEN no_opening = periods THEN 'UNAVAILABLE' WHEN no_opening > 0 OR names <> '' THEN 'PARTIAL' ELSE 'AVAILABLE' END AS availability, CASE WHEN no_opening = periods THEN 'no period has an opening balance'"
+    " WHEN no_opening > 0 OR names <> '' THEN concat_ws('; ', CASE WHEN names <> '' THEN 'not reported: ' || names END, CASE WHEN no_opening > 0 THEN 'periods without opening: ' || no_opening END) ELSE '' END AS reason FROM ("
+    f"SELECT company_id, schedule, count(*) AS periods, count(*) FILTER (WHERE computed_ending IS NULL) AS no_opening, {_LACKING} AS names FROM roll GROUP BY 1, 2)", "roll"))
 def h12(spark, sf):
-    return H.availability(H.rollforward(full(spark, sf))).drop("reason")
+    return H.availability(H.rollforward(full(spark, sf)))
 
 
 @register("h13_unavailable_reasons", sql("SELECT company_id, s.schedule, s.reason FROM (SELECT DISTINCT company_id FROM ledger), (" + values(H.UNAVAILABLE, "schedule, reason", "s") + ") s", "ledger"))
@@ -489,10 +493,16 @@ def f33(spark, sf):
     return as_double(r.select("company_id", "scenario_id", "year", "code", "unit", "value"), "value", places=6)
 
 
-@register("j19_scenario_comparison", sql(f"SELECT {K}, " + ", ".join(sd(f"max(CASE WHEN year = {y} THEN revenue END)", f"revenue_{y}", 2) for y in D.FORECAST_YEARS) + f" FROM fc GROUP BY {K}", "fc"))
+_COMPARED = ("revenue", "ebit", "net_income", "fcff")
+
+
+@register("j19_scenario_comparison", sql(
+    f"SELECT s.company_id, s.scenario_id, " + ", ".join(sd(f"max(CASE WHEN f.year = {y} THEN f.{c} END)", f"{c}_{y}", 2) for c in _COMPARED for y in D.FORECAST_YEARS)
+    + ", COALESCE((SELECT string_agg(DISTINCT d.code, ', ' ORDER BY d.code) FROM diffs d WHERE d.company_id = s.company_id AND d.scenario_id = s.scenario_id), '') AS differs_in FROM scenario s LEFT JOIN fc f USING (company_id, scenario_id) GROUP BY s.company_id, s.scenario_id", "fc", "scenario", "diffs"))
 def j19(spark, sf):
-    p = model(spark, sf).forecast.groupBy("company_id", "scenario_id").pivot("year", list(D.FORECAST_YEARS)).agg(F.first("revenue"))
-    return p.select("company_id", "scenario_id", *[dbl(str(y), 2).alias(f"revenue_{y}") for y in D.FORECAST_YEARS])
+    m = model(spark, sf)
+    c = S.comparison(m.scenarios, m.assumptions, m.forecast, D.FORECAST_YEARS, _COMPARED)
+    return c.select("company_id", "scenario_id", *[dbl(f"{n}_{y}", 2).alias(f"{n}_{y}") for n in _COMPARED for y in D.FORECAST_YEARS], "differs_in")
 
 
 @register("s22_revenue_series", sql(
