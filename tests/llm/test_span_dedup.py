@@ -1,35 +1,63 @@
-"""Sentence spans against a plain counterpart."""
+"""Sentence spans against a plain counterpart with a splitter of its own."""
 
 import random
+import re
+
+import numpy as np
 
 from ledgerspan.llm import span_dedup as S
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def low(raw):
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+
+
+def split(text):
+    """[(words, bytes up to the next part, ends a sentence)] of a text, word by word; the cut words are the operator's."""
+    raw = text.encode()
+    found = list(WORD.finditer(raw))
+    parts, words, begin = [], [], found[0].start() if found else 0
+    for i, m in enumerate(found):
+        word = m[0]
+        words.append(low(word))
+        after = found[i + 1].start() if i + 1 < len(found) else len(raw)
+        sentence = word[-1:] in (b".", b"!", b"?") or b"\n" in raw[m.end() : after] or i + 1 == len(found)
+        own = S.parts_of(np.frombuffer(word, np.uint8), np.array([0, len(word)])).hashes[0]
+        if sentence or int(own) % S.CUT_EVERY == 0:
+            parts.append((words, raw[begin:after], sentence))
+            words, begin = [], after
+    return raw[: found[0].start()] if found else raw, parts
 
-def plain(rows, options):
-    def runs(text):
-        cuts = S.sentences(text)
-        keys = [" ".join(text[a:b].lower().split()) for a, b in cuts]
-        out = []
-        words = [len(k.split()) for k in keys]
-        for i in range(len(keys)):
-            size = next((z for z in range(options.run, len(keys) - i + 1) if sum(words[i : i + z]) >= options.min_words), None)
-            short = next((z for z in range(1, options.run) if sum(words[i : i + z]) >= options.long_words and i + z <= len(keys)), None)
-            out += [(tuple(keys[i : i + z]), i, z) for z in sorted({short, size} - {None})]
-        return cuts, out
 
+def spans(parts, least):
+    out = set()
+    count = [len(w) for w, _, _ in parts]
+    for i in range(len(parts)):
+        j = next((j for j in range(i + 1, len(parts) + 1) if sum(count[i:j]) >= least), None)
+        if j:
+            out.add((i, j))
+        k = next((k for k in range(i, -1, -1) if sum(count[k : i + 1]) >= least), None)
+        if parts[i][2] and k is not None:
+            out.add((k, i + 1))
+    return [(tuple(w for p in parts[i:j] for w in p[0]), i, j) for i, j in sorted(out)]
+
+
+def plain(rows, options):
     first, result = {}, {}
     for doc, text in sorted(((d, t) for d, t in rows if d is not None), key=lambda x: x[0]):
-        for key, _, _ in runs(text or "")[1]:
+        for key, _, _ in spans(split(text or "")[1], options.min_words):
             first.setdefault(key, doc)
     for doc, text in rows:
-        text = text or ""
-        cuts, found = runs(text)
+        lead, parts = split(text or "")
         dead, seen = set(), set()
-        for key, i, size in found:
+        for key, i, j in spans(parts, options.min_words):
             if key in seen or (doc is not None and first[key] < doc):
-                dead |= set(range(i, i + size))
+                dead |= set(range(i, j))
             seen.add(key)
-        result.setdefault(doc, []).append((len(cuts), len(dead), "".join(text[a:b] for i, (a, b) in enumerate(cuts) if i not in dead)))
+        kept = lead + b"".join(p[1] for i, p in enumerate(parts) if i not in dead) if dead else (text or "").encode()
+        result.setdefault(doc, []).append((len(parts), len(dead), kept.decode()))
     return result
 
 
@@ -43,7 +71,7 @@ def corpus(rng):
         for _ in range(rng.randint(0, 2)):
             parts.insert(rng.randint(0, len(parts)), rng.choice(passages))
         rows.append((d, "".join(parts)))
-    rows += [(200, None), (201, ""), (202, rows[5][1].upper()), (None, rows[5][1]), (None, rows[5][1]), (203, "In. In. In. " * 30), (204, "x" * 50_000), (5, rows[5][1])]
+    rows += [(206, "  \n lead " + rows[7][1]), (207, "kein Satz ohne Größe\u00a0und Ende " * 30), (208, rows[9][1] + rows[9][1]), (200, None), (201, ""), (202, rows[5][1].upper()), (None, rows[5][1]), (None, rows[5][1]), (203, "In. In. In. " * 30), (204, "x" * 50_000), (5, rows[5][1])]
     rng.shuffle(rows)
     return rows
 
@@ -66,6 +94,22 @@ def test_passage_removed_once_and_clean_text_kept(spark):
     assert got == {1: rows[0][1], 2: "Other end here.", 3: rows[2][1]}
 
 
+def test_nothing_goes_without_a_repeated_run_of_twenty_words(spark):
+    """On the given documents, by every run of words and not by sentences."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    where, again = {}, set()
+    for doc, text in sorted(rows):
+        words = [low(w) for w in WORD.findall(text.encode())]
+        for i in range(len(words) - 19):
+            key = tuple(words[i : i + 20])
+            if where.setdefault(key, (doc, i)) != (doc, i):
+                again.add(doc)
+    got = S.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    altered = {r.doc_id for r in got if r.n_removed}
+    assert altered <= again and len(altered) > 0.7 * len(again)
+    assert all(r.text == dict(rows)[r.doc_id] for r in got if not r.n_removed)
+
+
 def test_empty(spark):
     assert S.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
