@@ -12,9 +12,11 @@ Candidates become links only by their full shingle sets. Equal sets are one node
   and no partner is left out.
 
 Defined results: A-Z are lowered, words are split at ASCII white space; null text counts as empty; a text without words has an empty
-set and no link; with fewer words than a shingle the whole sequence is one. Rows without doc_id are linked with
-nothing. Rows that repeat a doc_id are one node. Shingles are compared by 64-bit hashes. An empty table gives
-an empty result. Other columns are not read.
+set and no link; with fewer words than a shingle the whole sequence is one. A node is a set, whoever has it: rows that share a doc_id but
+differ in text keep all links of each text, and near_duplicates puts them in one component. Rows without doc_id are compared like the
+others; their component_id is the least doc_id that their links reach, null if there is none. drop_near_duplicates decides by text
+alone, so it needs no doc_id and never drops a row for one it shares; of rows equal in doc_id and text one stays, rows without words all
+stay. Shingles are compared by 64-bit hashes. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrow import small_batches, text_bytes
-from .common import keep_rows, stage, with_group
+from .common import stage, text_hashes, with_group
 from .components import components
 
 SYMBOLS, CHUNKS, WIDTH = 48, 12, 4
@@ -131,11 +133,11 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
+SKETCH = "doc_id long, h1 long, h2 long, n_shingles long, digest binary, signature binary"
 
 
 def sketch(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """Set size, digest of the set and signature of every whole text."""
+    """Text hashes, set size, digest of the set and signature of every whole text."""
     size = options.words
 
     def run(batches):
@@ -150,10 +152,11 @@ def sketch(docs: DataFrame, options: Options = Options()) -> DataFrame:
                 for r, s in zip(some, signatures(np.concatenate([sets[r] for r in some]), at)):
                     signature[r] = s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(lengths), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"]
+                [*(b.column(c) for c in ("doc_id", "h1", "h2")), pa.array(lengths), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())], ["doc_id", "h1", "h2", "n_shingles", "digest", "signature"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    h1, h2 = text_hashes(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text").mapInArrow(run, SKETCH)
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
@@ -260,7 +263,7 @@ def _link_blocks(percent: int):
 
 
 def links(nodes: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
-    """u, v: verified links that connect every component of nodes(id, n_shingles, signature)."""
+    """u, v: verified links that connect every component of nodes(id, digest, least, signature); least is a doc_id that has the set."""
     percent, size = options.percent, options.words
     keys = stage(nodes.select("id", "signature").mapInArrow(_emit_keys, "key long, id long"), "near-keys")
     groups = keys.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -269,12 +272,14 @@ def links(nodes: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
     def make_sets(batches):
         for b in small_batches(batches, "text"):
             sets = [s.tobytes() for s in row_sets(b.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    wanted = met.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    # rows that repeat a doc_id: the node's own text is the one with the node's digest; any one of equal sets will do
-    sets = stage(texts.mapInArrow(make_sets, "id long, shingles binary").groupBy("id").agg(F.max_by("shingles", F.xxhash64("shingles")).alias("shingles")), "near-sets")
+    # the texts of each wanted node's doc_id; of several that share it, the set decides
+    wanted = stage(nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "digest", "least"), "near-wanted")
+    ids = wanted.select(F.col("least").alias("w_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["w_id"]), "left_semi").select("text")
+    sets = stage(texts.mapInArrow(make_sets, "digest binary, shingles binary").join(wanted.select("id", "digest"), "digest").select("id", "shingles").dropDuplicates(["id"]), "near-sets")
 
     most = Window.partitionBy("id").orderBy(F.desc("times"), "least")
     star = met.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("times")).withColumn("place", F.row_number().over(most)).filter("place = 1")
@@ -302,20 +307,44 @@ def links(nodes: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
     return found.unionByName(stage(blocks, "near-block-links"))
 
 
+def _placed(docs: DataFrame, options: Options, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows of the sketch, digest with copies, least doc_id, component and the component's least doc_id). With by_id, sets that share a doc_id are linked."""
+    rows = stage(sketch(docs, options), "near-sketch")
+    full = rows.filter("n_shingles > 0")
+    # numbered where it is written: what is read back never changes
+    each = full.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("signature").alias("signature"))
+    heads = stage(each.withColumn("id", F.monotonically_increasing_id()), "near-heads")
+    found = links(heads, docs, options)
+    if by_id:
+        held = with_group(full.filter("doc_id is not null").select("doc_id", "digest"), heads.select("digest", "copies", "id"), "digest", "copies").select("doc_id", "id")
+        several = held.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("last")).filter("u <> last")
+        found = found.unionByName(stage(held.join(several, "doc_id").filter("id <> u").select("u", F.col("id").alias("v")).distinct(), "near-same-id"))
+    part = components(found).withColumnRenamed("id", "c_id")
+    placed = stage(heads.join(part, heads["id"] == part["c_id"], "left").select("digest", "copies", "least", F.coalesce("component", "id").alias("component")), "near-components")
+    firsts = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return rows, stage(with_group(placed, stage(firsts, "near-firsts"), "component", "members").drop("members"), "near-placed-heads")
+
+
 def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    rows = stage(sketch(docs, options), "near-sketch")
-    full = rows.filter("n_shingles > 0 and doc_id is not null")
-    heads = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-heads")
-    nodes = stage(full.join(heads.select("id", F.col("digest").alias("h")), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("h"))).select("id", "n_shingles", "signature").dropDuplicates(["id"]), "near-nodes")
-    part = components(links(nodes, docs, options)).withColumnRenamed("id", "c_id")
-    placed = heads.join(part, heads["id"] == part["c_id"], "left").select("digest", "copies", F.coalesce("component", "id").alias("component_id"))
-    linked = with_group(full.select("doc_id", "n_shingles", "digest"), stage(placed, "near-components"), "digest", "copies")
-    alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows, placed = _placed(docs, options, True)
+    linked = with_group(rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), placed.select("digest", "copies", "component_id"), "digest", "copies")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """One document of each component, with all its columns."""
-    return keep_rows(docs, near_duplicates(docs, options).filter("kept"))
+    """One document of each component (the least doc_id, those without last), with all its columns."""
+    rows, placed = _placed(docs, options, False)
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("b")).select("b.digest", F.col("b.least").alias("b_id"))
+    full = rows.filter("n_shingles > 0").select("doc_id", "h1", "h2", "digest")
+    best = stage(best.join(placed.select("digest", "copies"), "digest"), "near-best")
+    chosen = with_group(full, best, "digest", "copies").filter(F.col("doc_id").eqNullSafe(F.col("b_id"))).groupBy("digest").agg(F.min(F.struct("h1", "h2")).alias("h"), F.first("doc_id").alias("k_id"))
+    stay = stage(chosen.select("k_id", F.col("h.h1").alias("k1"), F.col("h.h2").alias("k2")), "near-stay")
+    h1, h2 = text_hashes(docs["text"])
+    own = docs.withColumns({"_h1": h1, "_h2": h2})
+    kept = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["k_id"]) & (own["_h1"] == stay["k1"]) & (own["_h2"] == stay["k2"]), "left_semi")
+    one = kept.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_h1", "_h2").orderBy("_h1"))).filter("_place = 1")
+    empty = docs.filter(F.coalesce(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0)
+    return one.select(docs.columns).unionByName(empty)

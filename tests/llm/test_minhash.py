@@ -6,27 +6,33 @@ import re
 from ledgerspan.llm import minhash as M
 
 
-def brute(rows, words, percent=80):
+def word_set(text, words):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets[i] = {tuple(w[j : j + words]) for j in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+    return {tuple(w[j : j + words]) for j in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+
+def brute(rows, words, percent=80, by_id=True):
+    """Rows of (doc_id, set size, least doc_id of the component), and the component of each row, by all pairs."""
+    sets = [word_set(t, words) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(i for i in sets if sets[i] and i is not None)
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
             n = len(sets[i] & sets[j])
-            if n and 100 * n >= percent * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: (len(sets[i]), find(i) if i is not None else None) for i in sets}
+            same = by_id and rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]
+            if same or (n and 100 * n >= percent * len(sets[i] | sets[j])):
+                root[find(j)] = find(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(d)
+    least = {k: min((d for d in v if d is not None), default=None) for k, v in least.items()}
+    return [(d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)], [find(i) for i in range(len(rows))]
 
 
 def corpus(rng, groups=25, copies=8):
@@ -45,9 +51,8 @@ def corpus(rng, groups=25, copies=8):
 
 def check(spark, rows, words, **sizes):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, id int, key string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(df, M.Options(words=words)).collect()}
-    want = {i: (n, c, i == c) for i, (n, c) in brute(rows, words).items()}
-    assert got == want
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(df, M.Options(words=words)).collect()), key=repr)
+    assert got == sorted(((d, n, c, d == c) for d, n, c in brute(rows, words)[0]), key=repr)
 
 
 def test_against_brute_force(spark):
@@ -58,6 +63,25 @@ def test_against_brute_force(spark):
     check(spark, rows, 4)
 
 
+def test_shared_and_missing_ids(spark):
+    """One document in two texts links both its neighbourhoods; rows without doc_id meet their copies."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(2000)]
+    say = lambda n: rng.choices(vocab, k=n)
+    a, b, c, d = say(90), say(90), say(80), say(70)
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(say(50))), (5, " ".join(c)), (None, near(c)), (None, " ".join(d)), (None, near(d)), (None, " ".join(d)), (6, None), (None, ""), (7, " ".join(a)), (4, " ".join(say(3)))]
+    for _ in range(3):
+        rng.shuffle(rows)
+        check(spark, rows, 5)
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    kept = sorted(r.place for r in M.drop_near_duplicates(df).collect())
+    _, part = brute(rows, 5, by_id=False)
+    empty = {n for n, (_, t) in enumerate(rows) if not (t or "").strip()}
+    assert empty <= set(kept) and len(kept) - len(empty) == len({p for n, p in enumerate(part) if n not in empty}) == len({part[n] for n in kept if n not in empty})
+    assert all(rows[n][0] is not None for n in kept if n not in empty and any(rows[m][0] is not None for m, p in enumerate(part) if p == part[n]))
+
+
 def test_one_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_ROWS", 20)
     rng = random.Random(7)
