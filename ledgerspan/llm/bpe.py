@@ -189,6 +189,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def tokenize(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of docs with ids, n_tokens and exact: whether the ids, decoded again, give the text back to the byte (null text: empty).
+    Columns of docs with these names make way."""
+    shipped, new = _ship(docs, path), ("ids", "n_tokens", "exact")
+    rows = docs.drop(*new)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches):
+        own = codec(shipped.value)
+        for b in small_batches(batches, "text"):
+            ids, exact = [], []
+            for text in b.column("text").to_pylist():
+                ids.append(own.encode(text or ""))
+                exact.append(own.decode(ids[-1]) == (text or ""))
+            columns = [*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(exact, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, *new])
+
+    return rows.mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, exact boolean")
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, its ids decoded again, both digested part by part."""
     shipped = _ship(docs, path)
