@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids of every row that the mix holds."""
-    return bpe.encode(docs, VOCABULARY)
+    """Every row that the mix holds, with its token ids and whether they decode to the text again."""
+    return bpe.tokenize(docs, VOCABULARY)
 
 
 STAGES = [
