@@ -144,6 +144,17 @@ def all_checks(filled: DataFrame, fc: DataFrame, prepared: DataFrame) -> DataFra
     return verdict(hist.unionByName(forecast_tally(fc)), FC.K)
 
 
+NEEDS_VALUATION = ("WACC above terminal growth", "FCFF matches the statements")
+
+
+def forecast_readiness(checks: DataFrame, status: DataFrame) -> DataFrame:
+    """Per company whether every scenario is forecast and passes every check that needs no valuation, and what stands in the way."""
+    bad = checks.where(~F.col("check_name").isin(*NEEDS_VALUATION) & (F.col("status") != "PASS")).groupBy("company_id").agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat("scenario_id", F.lit(": "), "check_name", F.lit(" "), "status"))), "; ").alias("open"))
+    built = status.groupBy("company_id").agg(F.count(F.lit(1)).alias("scenarios"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("may_calculate"), F.col("scenario_id")))), ", ").alias("not_built"))
+    return built.join(bad, "company_id", "left").withColumn("open", F.coalesce("open", F.lit(""))).withColumn("forecast_ready", (F.col("not_built") == "") & (F.col("open") == ""))
+
+
 def counts(results: DataFrame, *by: str) -> DataFrame:
     """PASS, FAIL and SKIP counts with subtotals by the given columns."""
     return results.rollup(*by).agg(

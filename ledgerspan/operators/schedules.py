@@ -252,3 +252,28 @@ def reconcile(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def reconciliations(wide: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     roll = rollforward(wide, keys).selectExpr(*keys, "year", "schedule", "computed_ending AS computed", "reported_ending AS reported")
     return roll.unionByName(nwc_reconcile(wide, keys).selectExpr(*keys, "year", "schedule", "computed", "reported"))
+
+
+FORECAST_INTEREST_BASIS = "beginning"  # what the forecast charges interest on
+
+
+def interest_basis_check(wide: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Whether the history states interest on the basis that the forecast charges it on."""
+    i = implied_interest(wide, keys)
+    g = i.groupBy(*keys).agg(F.count_if(F.col("basis") == FORECAST_INTEREST_BASIS).alias("stated"), F.count_if((F.col("basis") == FORECAST_INTEREST_BASIS) & F.col("rate").isNotNull()).alias("computed"))
+    return g.selectExpr(
+        *keys, "'interest basis matches the forecast' AS check_name", "CASE WHEN stated = 0 THEN 'FAIL' WHEN computed = 0 THEN 'SKIP' ELSE 'PASS' END AS status",
+        f"CASE WHEN stated = 0 THEN 'the {FORECAST_INTEREST_BASIS} basis is not stated' WHEN computed = 0 THEN 'no rate could be computed' ELSE concat(computed, ' periods on {FORECAST_INTEREST_BASIS} debt') END AS detail",
+    )
+
+
+def explained_check(roll: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every schedule that is not available says why (C14)."""
+    a = availability(roll, keys).groupBy(*keys).agg(F.count_if(F.col("availability") == "UNAVAILABLE").alias("gone"), F.count_if((F.col("availability") != "AVAILABLE") & (F.col("reason") == "")).alias("silent"))
+    return a.selectExpr(*keys, "'schedules are available or explained' AS check_name", "CASE WHEN silent > 0 THEN 'FAIL' ELSE 'PASS' END AS status", "concat(gone, ' unavailable, ', silent, ' without a reason') AS detail")
+
+
+def schedule_checks(wide: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The whole set: every reconciliation, the interest basis, and gaps explained."""
+    ties = reconcile(reconciliations(wide, keys), keys).selectExpr(*keys, "concat(schedule, ' reconciles') AS check_name", "status", "concat(checked, ' periods, ', failed, ' out') AS detail")
+    return ties.unionByName(interest_basis_check(wide, keys)).unionByName(explained_check(rollforward(wide, keys), keys))

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..operators import checks as C
 from ..operators import exports as EX
 from ..operators import panel as PN
 from ..operators import portfolio as PF
+from ..operators import schedules as H
 from ..session import cut_lineage, stage_root
 from ..sources import derived as D
 from ..sources import filings as FL
 from . import q_filing  # noqa: F401  (its common table expressions)
 from .duck import CTES, M, R, cte, q, sql, values
 from .model import Model
-from .q_ledger import close_sql
-from .q_model import _SUBTOTALS, _fore, _hist_check, _FLOW
+from .q_ledger import close_sql, full
+from .q_model import _FLOW, _PANEL_NEEDS, _PANEL_SQL, _REC as _ALL_REC, _SUBTOTALS, _fore, _hist_check
 from .registry import register
 
 SETTLED = "document_id % 2 = 1 OR document_id % 5 = 0"
+_SCALE, _CURRENCY = FL.SCALE_OK.replace("company_id", "n.document_id"), FL.CURRENCY_OK.replace("company_id", "n.document_id")
 STALE = "document_id % 21 = 20"  # files that changed after they were stored
 
 
@@ -131,11 +134,45 @@ def c23(spark, sf):
 
 @register("a12_severity_summary", tied_sql("SELECT severity, clause, " + ", ".join(f"CAST(count(*) FILTER (WHERE status = '{x}') AS BIGINT) AS {x.lower()}" for x in ("PASS", "FAIL", "SKIP")) + " FROM fullpanel GROUP BY ROLLUP (severity, clause)"))
 def a12_severity(spark, sf):
-    from ..operators import checks as C
-
     return C.counts(panel(spark, sf), "severity", "clause")
 
 
 @register("e11_checks", tied_sql("SELECT company_id, scenario_id, code, clause, compares, status, severity, stage, blocked_by FROM fullpanel"))
 def e11(spark, sf):
     return EX.checks(panel(spark, sf)).drop("detail").withColumn("blocked_by", _stop())
+
+
+# ---- the check sets behind the panel ------------------------------------------------------------
+_C12 = "SELECT company_id, schedule || ' reconciles' AS check_name, CASE WHEN count(computed - reported) = 0 THEN 'SKIP' WHEN count(*) FILTER (WHERE NOT " + close_sql("computed", "reported") + f") > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM ({_ALL_REC}) GROUP BY company_id, schedule"
+
+
+@register("c15_schedule_check_set", sql(
+    _C12 + " UNION ALL SELECT company_id, 'interest basis matches the forecast', CASE WHEN count(CASE WHEN prev_bs_debt <> 0 THEN is_interest_expense / prev_bs_debt END) = 0 THEN 'SKIP' ELSE 'PASS' END FROM prevd WHERE n > 1 GROUP BY company_id"
+    " UNION ALL SELECT company_id, 'schedules are available or explained', CASE WHEN bool_or(partial AND why = '') THEN 'FAIL' ELSE 'PASS' END FROM (SELECT company_id, schedule, bool_or(computed_ending IS NULL OR absent <> '') AS partial,"
+    " string_agg(CASE WHEN computed_ending IS NULL THEN 'no opening' WHEN absent <> '' THEN absent END, '') AS why FROM roll GROUP BY 1, 2) GROUP BY company_id", "roll", "wc2", "prevd"))
+def c15(spark, sf):
+    """C12, C13 and C14 as one set."""
+    return H.schedule_checks(full(spark, sf)).drop("detail")
+
+
+@register("c10_cells_cited_and_verified", sql(
+    "SELECT company_id, CAST(count(*) AS BIGINT) AS cells, k.check_name, CAST(CASE WHEN k.check_name = 'every cell cites a page' THEN 0 ELSE count(*) FILTER (WHERE NOT sound) END AS BIGINT) AS broken,"
+    " CASE WHEN k.check_name = 'every cell is verified' AND count(*) FILTER (WHERE NOT sound) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM ("
+    f"SELECT n.document_id AS company_id, n.account, n.period_label, n.statement, bool_and(x.status IN ('accepted', 'corrected') AND len(x.outstanding) = 0 AND ({_SCALE}) AND ({_CURRENCY})) AS sound FROM norm n JOIN mj m ON m.document_id = n.document_id AND m.account = n.account AND m.period_label = n.period_label AND m.statement = n.statement"
+    " JOIN xrev x ON x.document_id = m.document_id AND x.fact_id = m.fact_id WHERE n.value IS NOT NULL AND n.document_id % 12 <> 11 GROUP BY 1, 2, 3, 4), (VALUES ('every cell cites a page'), ('every cell is verified')) k(check_name) GROUP BY company_id, k.check_name", "norm", "mj", "xrev"))
+def c10(spark, sf):
+    """C10 and C11 over the filings."""
+    f = FL.Filing(spark, sf)
+    led, _ = FL.MP.build_ledger(FL.MP.normalise(f.mappings, f.reviewed))
+    return FL.MP.cell_checks(f.mappings, f.reviewed, led, FL.RV.gates(f.reviewed, FL.MP.fact_mapping_state(f.mappings), f.documents))
+
+
+@register("c16_forecast_readiness", sql(
+    "SELECT s.company_id, CAST(count(*) AS BIGINT) AS scenarios, COALESCE(string_agg(CASE WHEN f.state <> 'ok' THEN s.scenario_id END, ', ' ORDER BY s.scenario_id), '') AS not_built,"
+    " COALESCE(any_value(b.open), '') AS open, bool_and(f.state = 'ok') AND any_value(b.open) IS NULL AS forecast_ready FROM scenario s JOIN fstatus f USING (company_id, scenario_id) LEFT JOIN ("
+    "SELECT company_id, string_agg(DISTINCT scenario_id || ': ' || check_name || ' ' || status, '; ' ORDER BY scenario_id || ': ' || check_name || ' ' || status) AS open FROM (" + _PANEL_SQL + f") WHERE status <> 'PASS' AND check_name NOT IN ({', '.join(q(c) for c in C.NEEDS_VALUATION)}) GROUP BY 1) b"
+    " ON b.company_id = s.company_id GROUP BY s.company_id", "scenario", "fstatus", *_PANEL_NEEDS, swap={k: v for k, v in TIED.items() if k != "xrev"}))
+def c16(spark, sf):
+    """Whether every scenario of a company is forecast and holds, over the statements that tie."""
+    m = tied_model(spark, sf).staged(stage_root(spark))
+    return C.forecast_readiness(m.checks, m.status)
