@@ -279,7 +279,11 @@ def links(nodes: DataFrame, docs: DataFrame, options: Options) -> DataFrame:
     ids = wanted.select(F.col("least").alias("w_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["w_id"]), "left_semi").select("text")
-    sets = stage(texts.mapInArrow(make_sets, "digest binary, shingles binary").join(wanted.select("id", "digest"), "digest").select("id", "shingles").dropDuplicates(["id"]), "near-sets")
+    sets = stage(texts.mapInArrow(make_sets, "digest binary, shingles binary").join(wanted.select("id", "digest"), "digest").select("id", "shingles"), "near-sets")
+    # rows of one doc_id and text give a set again; only these are sorted to keep one
+    again = stage(sets.groupBy("id").count().filter("count > 1").select("id"), "near-again")
+    if not again.isEmpty():
+        sets = stage(sets.join(again, "id", "left_anti").unionByName(sets.join(again, "id", "left_semi").dropDuplicates(["id"])), "near-sets")
 
     most = Window.partitionBy("id").orderBy(F.desc("times"), "least")
     star = met.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("times")).withColumn("place", F.row_number().over(most)).filter("place = 1")
