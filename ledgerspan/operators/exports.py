@@ -100,11 +100,9 @@ def limitations(m) -> DataFrame:
 
 
 def export_set(m, evidence: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables by name; the checks need the filing's evidence (see `panel.filing_evidence`)."""
+    """All tables by name; the checks of the sources need the filing's evidence (see `panel.filing_evidence`)."""
     short = {"income": "is", "balance": "bs", "cashflow": "cf"}
-    out = {"cover": cover(m), "schedules": schedules(m), "assumptions": assumptions(m), "dcf": dcf(m), "limitations": limitations(m)}
-    if evidence is not None:
-        out["checks"] = checks(PN.evaluate(m, evidence))
+    out = {"cover": cover(m), "schedules": schedules(m), "assumptions": assumptions(m), "dcf": dcf(m), "limitations": limitations(m), "checks": checks(PN.evaluate(m, evidence))}
     for statement, n in short.items():
         out[f"historical_{n}"] = PF.statement_rows(m.filled, statement)
         out[f"forecast_{n}"] = forecast_statement(m, statement)

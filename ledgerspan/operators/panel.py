@@ -134,13 +134,17 @@ def stage_errors(m) -> DataFrame:
     return m.prepared.selectExpr(*K, "blocked_by AS forecast_error").join(v, list(K), "left")
 
 
-def evaluate(m, evidence: DataFrame) -> DataFrame:
-    """company_id, scenario_id, code, clause, severity, stage, compares, status, detail, blocked_by: thirty rows per scenario (C17)."""
+def evaluate(m, evidence: DataFrame | None = None) -> DataFrame:
+    """company_id, scenario_id, code, clause, severity, stage, compares, status, detail, blocked_by: thirty rows per scenario (C17).
+    Without the filing's evidence its clauses are SKIP, so nothing can be released."""
     known = m.filled.groupBy("company_id").agg(F.count("*").alias("n_years"))
-    sources = _wide_answers(evidence, ("company_id",), SOURCE_CLAUSES)
-    company = answers(sources.unionByName(historical_answers(m)), "company_id").withColumnRenamed("answers", "of_company")
+    past = historical_answers(m)
+    if evidence is not None:
+        past = past.unionByName(_wide_answers(evidence, ("company_id",), SOURCE_CLAUSES))
+    company = answers(past, "company_id").withColumnRenamed("answers", "of_company")
     scenario = answers(scenario_answers(m), *K).withColumnRenamed("answers", "of_scenario")
-    rows = m.scenarios.select(*K).join(company, "company_id", "left").join(evidence.select("company_id", "build_error"), "company_id", "left").join(known, "company_id", "left")
+    rows = m.scenarios.select(*K).join(company, "company_id", "left").join(known, "company_id", "left")
+    rows = rows.join(evidence.select("company_id", "build_error"), "company_id", "left") if evidence is not None else rows.withColumn("build_error", F.lit(None).cast("string"))
     rows = rows.join(stage_errors(m), list(K), "left").join(scenario, list(K), "left")
     # one fold over the chain of stages: what stops a stage is the first error at it or before it
     chain = "array(named_struct('stage', 'statements', 'error', CASE WHEN n_years IS NULL THEN 'no reported line' ELSE build_error END), named_struct('stage', 'forecast', 'error', forecast_error), named_struct('stage', 'valuation', 'error', valuation_error))"
