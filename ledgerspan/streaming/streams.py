@@ -9,6 +9,7 @@ They need the RocksDB state store: call `use_state_store` once per session.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -18,6 +19,9 @@ from .. import dims
 from ..operators import facts as FA
 
 
+CHUNK = 1000  # events in one element of a key's waiting list
+
+
 def use_state_store(spark: SparkSession) -> None:
     """The keyed jobs keep lists and timers, which the default store can't hold."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -71,43 +75,61 @@ def audit_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 min
 
 def _in_order(step: Callable, kept: str, body: str, names: list[str], grace_ms: int, idle_ms: int) -> StatefulProcessor:
     """A processor that gives step(key, kept tuple or None, at in microseconds, event_id, body) each event once, in (at, event_id) order, and
-    takes (kept tuple, output fields after the key) from it. `late` rows get no step."""
+    takes (kept tuple, output fields after the key) from it. `late` rows get no step.
+
+    A call to the state store costs far more than an event, so events are held in chunks, and a key has a timer for the earliest event that
+    waits, not one for each: when it goes off, everything that is ready is judged, and the next timer is that of the earliest left."""
 
     output = Row(*names)
 
+    def chunked(rows: list) -> list:
+        return [tuple(list(c) for c in zip(*rows[i : i + CHUNK])) for i in range(0, len(rows), CHUNK)]
+
     class InOrder(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.waiting = handle.getListState("waiting", f"at bigint, event_id bigint, body {body}")
+            self.waiting = handle.getListState("waiting", f"at array<bigint>, event_id array<bigint>, body array<{body}>")
             self.last = handle.getValueState("last", f"at bigint, {kept}")
 
+        def alarm(self, at: int, more_ms: int = 0) -> None:
+            self.handle.registerTimer(-(-at // 1000) + more_ms - grace_ms)
+
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            passed = timerValues.getCurrentWatermarkInMs() + grace_ms
+            passed = (timerValues.getCurrentWatermarkInMs() + grace_ms) * 1000
+            held, first = [], None
             for r in rows:
-                if r.at_us <= passed * 1000:
+                if r.at_us <= passed:
                     yield output(key[0], r.event_id, "late", None)
-                else:
-                    self.waiting.appendValue((r.at_us, r.event_id, r.body))
-                    self.handle.registerTimer(-(-r.at_us // 1000) - grace_ms)
+                    continue
+                held.append((r.at_us, r.event_id, r.body))
+                first = r.at_us if first is None else min(first, r.at_us)
+                if len(held) == CHUNK:
+                    self.waiting.appendList(chunked(held))
+                    held = []
+            if held:
+                self.waiting.appendList(chunked(held))
+            if first is not None:
+                self.alarm(first)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-            passed = timerValues.getCurrentWatermarkInMs() + grace_ms
+            passed = (timerValues.getCurrentWatermarkInMs() + grace_ms) * 1000
             if self.waiting.exists():
-                rows = sorted(tuple(r) for r in self.waiting.get())
-                ready = [r for r in rows if r[0] <= passed * 1000]
-                if ready:
+                rows = sorted(r for chunk in self.waiting.get() for r in zip(*chunk))
+                n = bisect_right(rows, passed, key=lambda r: r[0])
+                if n:
                     state = tuple(self.last.get())[1:] if self.last.exists() else None
-                    for at, event_id, what in ready:
+                    for at, event_id, what in rows[:n]:
                         state, said = step(state, at, what)
                         if said is not None:
                             yield output(key[0], event_id, *said)
-                    self.last.update((ready[-1][0], *state))
-                    self.handle.registerTimer(-(-ready[-1][0] // 1000) + idle_ms - grace_ms)
-                    if len(ready) < len(rows):
-                        self.waiting.put(rows[len(ready):])
+                    self.last.update((rows[n - 1][0], *state))
+                    self.alarm(rows[n - 1][0], idle_ms)
+                    if n < len(rows):
+                        self.waiting.put(chunked(rows[n:]))
+                        self.alarm(rows[n][0])
                     else:
                         self.waiting.clear()
-            elif self.last.exists() and self.last.get()[0] + idle_ms * 1000 <= passed * 1000:
+            elif self.last.exists() and self.last.get()[0] + idle_ms * 1000 <= passed:
                 self.last.clear()
 
         def close(self) -> None:

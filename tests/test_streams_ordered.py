@@ -144,3 +144,38 @@ def test_limiter_query_against_the_ordered_loop(spark):
     rows = [(r.actor, r.event_id, r.at) for r in D.audit_events(spark, sf).select("actor", "event_id", "at").collect()]
     got = {r.event_id: r.verdict for r in st03(spark, sf).collect()}
     assert got == limiter(rows, 5, 86_400) and set(got.values()) == {"accepted", "refused"}
+
+
+def test_a_key_calls_the_state_store_per_chunk_and_not_per_event():
+    from types import SimpleNamespace as Some
+
+    calls, store = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def do(*args):
+                calls.append((self.name, call))
+                if call == "appendList":
+                    store.setdefault(self.name, []).extend(args[0])
+                elif call in ("put", "update"):
+                    store[self.name] = args[0]
+                elif call == "clear":
+                    store.pop(self.name)
+                return self.name in store if call == "exists" else iter(store[self.name]) if call == "get" and self.name == "waiting" else store.get(self.name)
+
+            return do
+
+    timers = []
+    p = ST._in_order(lambda last, at, body: ((body,), (body, last[0] if last else None)), "state string", "string", ["key", "event_id", "state", "previous"], 0, 10**9)
+    p.init(Some(getListState=lambda name, _: State(name), getValueState=lambda name, _: State(name), registerTimer=timers.append))
+    n, clock = 5000, Some(getCurrentWatermarkInMs=lambda: 0)
+    rows = [Some(at_us=i * 1000, event_id=i, body=str(i)) for i in range(1, n + 1)]
+    random.Random(3).shuffle(rows)
+    assert not list(p.handleInputRows(("k",), iter(rows), clock)) and timers == [1]
+    first = list(p.handleExpiredTimer(("k",), Some(getCurrentWatermarkInMs=lambda: 1200), None))
+    rest = list(p.handleExpiredTimer(("k",), Some(getCurrentWatermarkInMs=lambda: n), None))
+    assert [r.event_id for r in first] == list(range(1, 1201)) and [r.event_id for r in rest] == list(range(1201, n + 1)) and rest[0].previous == "1200"
+    assert 1201 in timers and len(timers) == 4 and len(calls) < 30 and "waiting" not in store
