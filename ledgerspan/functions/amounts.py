@@ -24,17 +24,21 @@ _NUMBER = {
     DOT: r"^(?:\d{1,3}(?:,\d{3})+|\d*)(?:\.\d+)?$",
     COMMA: r"^(?:\d{1,3}(?:\.\d{3})+|\d*)(?:,\d+)?$",
 }
+# What the layers below look for; a text without it passes them unchanged.
+_CLEAN = r"^(?:[!-~](?:[ -~]*[!-~])?)?\z"
+_FIGURE = r"^[0-9.,()%+' -]*\z"
+_UNIT_SHAPE = rf"[A-Z{CURRENCY_SYMBOLS}]"
 PARSED_FIELDS = ("value", "sign_source", "locale_used", "unit_marker", "currency_symbol", "decimals", "markers", "codes")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(c.rlike(_CLEAN), c).otherwise(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
 def normalise_text(c: Column) -> Column:
     """Full-width forms to ASCII, exotic spaces to plain ones, ends trimmed. NFC is assumed upstream."""
     folded = F.translate(c, FULL_WIDTH[0], FULL_WIDTH[1])
-    return strip(F.translate(folded, SPACES, " " * len(SPACES)))
+    return F.when(c.rlike(_CLEAN), c).otherwise(strip(F.translate(folded, SPACES, " " * len(SPACES))))
 
 
 def footnote_run(c: Column) -> Column:
@@ -58,9 +62,9 @@ def _last_in(c: Column, chars: str) -> Column:
 
 
 def _peel(df: DataFrame, text: str, symbol: str) -> DataFrame:
-    """Remove one leading or trailing currency symbol or code, if a number is left behind."""
+    """Remove one leading or trailing currency symbol or code, if a number is left behind. Only a text with a symbol or a capital (`_units`) is looked at."""
     t = F.trim(F.col(text))
-    iso = F.regexp_extract(t, r"^([A-Z]{3})\b|\b([A-Z]{3})$", 0)
+    iso = F.when(t.rlike("[A-Z]{3}"), F.regexp_extract(t, r"^([A-Z]{3})\b|\b([A-Z]{3})$", 0)).otherwise("")
     rest = F.trim(F.when(t.startswith(iso), F.substr(t, F.lit(4))).otherwise(F.substr(t, F.lit(1), F.length(t) - 3)))
     head, tail = _first_in(t, CURRENCY_SYMBOLS), _last_in(t, CURRENCY_SYMBOLS)
     code = (iso != "") & rest.rlike(r"\d")
@@ -71,16 +75,21 @@ def _peel(df: DataFrame, text: str, symbol: str) -> DataFrame:
         .when(code, rest)
         .otherwise(t)
     )
-    return df.withColumns({text: F.trim(left), symbol: F.when(taken.isNull(), F.col(symbol)).otherwise(F.concat(F.coalesce(symbol, F.lit("")), taken))})
+    peeled = F.when(taken.isNull(), F.col(symbol)).otherwise(F.concat(F.coalesce(symbol, F.lit("")), taken))
+    return df.withColumns({text: F.when(F.col("_units"), F.trim(left)).otherwise(t), symbol: F.when(F.col("_units"), peeled).otherwise(F.col(symbol))})
 
 
 def reading(core: Column, locale: str) -> Column:
-    """The digits read under one separator convention as decimal text, or NULL if it is not a number there."""
+    """The digits read under one separator convention as decimal text, or NULL if it is not a number there. Its group characters are apostrophes (`one_group`)."""
     group, point = (",", ".") if locale == DOT else (".", ",")
-    t = F.translate(core, GROUP_CHARS, group * len(GROUP_CHARS))
-    plain = F.translate(F.regexp_replace(t, "\\" + group, ""), point, ".")
-    text = F.when(plain.startswith("."), F.concat(F.lit("0"), plain)).otherwise(plain)
-    return F.when((t != "") & t.rlike(_NUMBER[locale]), text)
+    t = F.replace(core, F.lit("'"), F.lit(group))
+    plain = F.replace(F.replace(t, F.lit(group), F.lit("")), F.lit(point), F.lit("."))
+    text = F.concat(F.when(core.startswith(point), "0").otherwise(""), plain)
+    return F.when((core != "") & t.rlike(_NUMBER[locale]), text)
+
+
+def one_group(core: Column) -> Column:
+    return F.when(core.rlike(r"^[0-9.,]*\z"), core).otherwise(F.translate(core, GROUP_CHARS, "'" * len(GROUP_CHARS)))
 
 
 def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale", out: str = "parsed") -> DataFrame:
@@ -88,7 +97,12 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
     conventions read differently stays unread until the document's locale is confirmed."""
     keep = df.columns
     d = settle(df.withColumn("_t", F.coalesce(normalise_text(F.col(raw)), F.lit(""))), keep)
-    d = d.withColumns({"_low": F.btrim(F.lower("_t"), F.lit(". ")), "_run": footnote_run(F.col("_t")), "_b": without_footnotes(F.col("_t")), "_sym": F.lit(None).cast("string")})
+    # every later text is a piece of this one, so what it lacks they lack
+    figure = F.col("_t").rlike(_FIGURE)
+    d = settle(d.withColumns({"_units": ~figure & F.col("_t").rlike(_UNIT_SHAPE), "_marked": F.when(figure, F.col("_t").rlike(r"\(\d{1,2}\)")).otherwise(F.col("_t").rlike(_MARKER))}), keep)
+    run = lambda c: F.when(F.col("_marked"), footnote_run(c)).otherwise("")
+    unmarked = lambda c: F.when(F.col("_marked"), without_footnotes(c)).otherwise(F.rtrim(c))
+    d = d.withColumns({"_low": F.btrim(F.lower("_t"), F.lit(". ")), "_run": run(F.col("_t")), "_b": unmarked(F.col("_t")), "_sym": F.lit(None).cast("string")})
     d = settle(d, keep)
     for _ in range(3):
         d = settle(_peel(d, "_b", "_sym"), keep)
@@ -111,20 +125,29 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
     d = d.withColumns({"_trail": trail, "_c": F.when(trail, F.trim(F.substr("_c", F.lit(1), F.greatest(F.length("_c") - 1, F.lit(0))))).otherwise(F.col("_c"))})
     d = settle(d, keep)
     signs = F.col("_paren").cast("int") + F.col("_lead").cast("int") + F.col("_plus").cast("int") + F.col("_trail").cast("int")
-    d = d.withColumns({"_signs": signs, "_run2": footnote_run(F.col("_c")), "_c": without_footnotes(F.col("_c")), "_sym2": F.lit(None).cast("string")})
+    d = d.withColumns({"_signs": signs, "_run2": run(F.col("_c")), "_c": unmarked(F.col("_c")), "_sym2": F.lit(None).cast("string")})
     d = settle(d, keep)
     for _ in range(3):
         d = settle(_peel(d, "_c", "_sym2"), keep)
+    d = settle(d.withColumn("_g", one_group(F.col("_c"))), keep)
+    loc = F.coalesce(F.col(locale), F.lit(UNKNOWN))
+    none = F.array().cast("array<string>")
     d = d.withColumns(
         {
-            "_dot": reading(F.col("_c"), DOT),
-            "_comma": reading(F.col("_c"), COMMA),
+            "_own": F.when(loc == COMMA, reading(F.col("_g"), COMMA)).otherwise(reading(F.col("_g"), DOT)),
             "_sym": F.coalesce("_sym", "_sym2"),
-            "_marks": F.concat(footnote_markers(F.col("_run")), footnote_markers(F.col("_run2"))),
+            "_marks": F.when(F.col("_marked"), F.concat(footnote_markers(F.col("_run")), footnote_markers(F.col("_run2")))).otherwise(none),
+        }
+    )
+    d = settle(d, keep)
+    # a figure that reads under the document's own convention is not read under the other
+    d = d.withColumns(
+        {
+            "_dot": F.when(loc != COMMA, F.col("_own")).when(F.col("_own").isNull(), reading(F.col("_g"), DOT)),
+            "_comma": F.when(loc == COMMA, F.col("_own")).when((loc != DOT) | F.col("_own").isNull(), reading(F.col("_g"), COMMA)),
         }
     )
     d = settle(d, keep)
-    loc = F.coalesce(F.col(locale), F.lit(UNKNOWN))
     both_differ = F.col("_dot").isNotNull() & F.col("_comma").isNotNull() & (F.col("_dot") != F.col("_comma"))
     chosen = (
         F.when(loc == DOT, F.col("_dot")).when(loc == COMMA, F.col("_comma")).when(~both_differ, F.coalesce("_dot", "_comma"))
@@ -133,14 +156,14 @@ def parse_amounts(df: DataFrame, raw: str = "raw_value", locale: str = "locale",
     code = (
         F.when(F.col("_t") == "", "BLANK_CELL")
         .when(F.col("_low").isin(*WRITTEN_ZERO), "WRITTEN_ZERO")
-        .when((F.col("_inner") != "") & F.col("_inner").rlike(f"^[ {DASHES[1:]}-]+$"), "DASH_AMBIGUOUS")
+        .when(F.col("_lead") & (F.col("_inner") != "") & F.col("_inner").rlike(f"^[ {DASHES[1:]}-]+$"), "DASH_AMBIGUOUS")
         .when(na, "NOT_APPLICABLE")
         .when(F.col("_signs") > 1, "SIGN_UNRESOLVED")
         .when(F.col("_c") == "", "NOT_NUMERIC")
         .when(F.col("_dot").isNull() & F.col("_comma").isNull(), "NOT_NUMERIC")
         .when(chosen.isNull(), "SEPARATOR_AMBIGUOUS")
-        .when(F.length(F.regexp_replace(F.regexp_extract(chosen, r"^(\d*)", 1), "^0+", "")) > INTEGER_DIGITS, "OUT_OF_RANGE")
-        .when(F.length(F.regexp_replace(F.regexp_extract(chosen, r"\.(\d+)$", 1), "0+$", "")) > DECIMAL_DIGITS, "TOO_PRECISE")
+        .when((F.length(chosen) > INTEGER_DIGITS) & (F.length(F.regexp_replace(F.regexp_extract(chosen, r"^(\d*)", 1), "^0+", "")) > INTEGER_DIGITS), "OUT_OF_RANGE")
+        .when((F.length(F.substring_index(chosen, ".", -1)) > DECIMAL_DIGITS) & (F.length(F.regexp_replace(F.regexp_extract(chosen, r"\.(\d+)$", 1), "0+$", "")) > DECIMAL_DIGITS), "TOO_PRECISE")
     )
     d = settle(d.withColumns({"_code": code, "_num": chosen}), keep)
     negative = F.col("_paren") | F.col("_lead") | F.col("_trail")

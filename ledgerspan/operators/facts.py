@@ -30,10 +30,11 @@ def header_rows(cells: DataFrame) -> DataFrame:
         {
             "row_periods": F.count_if(is_period).over(row),
             "row_label": F.max(F.when(F.col("col") == 0, F.col("text"))).over(row),
-            "row_text": F.array_sort(F.collect_list(F.struct("col", "text")).over(row)),
         }
     )
     qualifies = ((F.col("row_periods") >= 1) & (F.coalesce("row_label", F.lit("")) == "")) | (F.col("row_periods") >= 2)
+    # a repeat of the header reads as it does, so other rows need no text
+    c = c.withColumn("row_text", F.sort_array(F.collect_list(F.when(qualifies, F.struct("col", "text"))).over(row)))
     c = c.withColumn("header_row", F.min(F.when(qualifies, F.col("row"))).over(table))
     c = c.withColumn("header_text", F.max(F.when(F.col("row") == F.col("header_row"), F.col("row_text"))).over(table))
     repeated = (F.col("row") != F.col("header_row")) & (F.col("row_text") == F.col("header_text"))

@@ -15,9 +15,14 @@ from . import ledger as L
 
 
 def propose(facts: DataFrame, limit: int = 3) -> DataFrame:
-    """Ranked accounts per fact; blocked labels and already rejected facts get none."""
+    """Ranked accounts per fact; blocked labels and already rejected facts get none.
+
+    The rules run once per distinct label and statement. The join back is a broadcast where the optimizer sees that these are few, else a
+    sort-merge join whose hot labels AQE splits. The facts are read twice, so hand in a stage table."""
     clean = settle(facts.withColumn("_label", LB.squeeze(F.col("raw_label"))), facts.columns)
-    return settle(clean.withColumn("candidates", LB.candidates(F.col("_label"), F.col("statement"), limit)).drop("_label"), facts.columns)
+    known = settle(clean.select("_label", "statement").distinct().toDF("_known", "_on"), ())
+    known = settle(known.withColumn("candidates", LB.candidates(F.col("_known"), F.col("_on"), limit)), ["_known", "_on"])
+    return clean.join(known, (F.col("_label") == F.col("_known")) & F.col("statement").eqNullSafe(F.col("_on"))).select(*facts.columns, "candidates")
 
 
 def propose_mappings(facts: DataFrame, already: DataFrame | None = None) -> DataFrame:

@@ -183,7 +183,7 @@ cte("ranked", "SELECT *, row_number() OVER (PARTITION BY raw_label, statement OR
 
 @register("t01_propose_top3", sql("SELECT f.document_id, f.fact_id, CAST(r.rn AS INTEGER) AS rank, r.code AS account, CAST(r.score AS INTEGER) AS score FROM ffacts f JOIN ranked r USING (raw_label, statement) WHERE r.rn <= 3", "ffacts", "ranked"))
 def t01(spark, sf):
-    p = MP.propose(FL.facts(spark, sf)).select("document_id", "fact_id", F.posexplode("candidates").alias("pos", "c"))
+    p = MP.propose(cut_lineage(FL.facts(spark, sf))).select("document_id", "fact_id", F.posexplode("candidates").alias("pos", "c"))
     return p.select("document_id", "fact_id", (F.col("pos") + 1).alias("rank"), "c.account", "c.score")
 
 

@@ -82,3 +82,23 @@ def test_figures_beyond_the_type_are_coded_and_reviewed(spark):
     for raw, code in rows:
         assert (code in got[raw].codes if code else got[raw].codes == []) and (got[raw].value is None) == bool(code), raw
         assert code is None or code in dims.BLOCKING
+
+
+def test_label_rules_run_once_per_distinct_label(spark):
+    from ledgerspan.operators import mapping as MP
+
+    labels = [("Net sales", "income"), ("net  sales", "income"), ("Goodwill", "balance"), ("Goodwill", None), (None, "income"), ("Total current assets", "balance")]
+    facts = spark.createDataFrame([(i, *labels[i % len(labels)]) for i in range(120)], "fact_id int, raw_label string, statement string")
+    got = MP.propose(facts)
+    assert "Aggregate [_label" in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.fact_id: [(c.account, c.score) for c in r.candidates] for r in got.collect()}
+    assert len(rows) == 120 and rows[0] == rows[1] == rows[7] and rows[0][0] == ("revenue", 95)
+    assert rows[2][0] == rows[3][0] == ("goodwill", 95) and rows[4] == rows[5] == []
+
+
+def test_layers_that_a_text_passes_unchanged_are_not_skipped_wrongly(spark):
+    """A line end before the end of the text, a figure under the other convention, marks and codes beside digits."""
+    raws = [("12\n", US, "12"), ("\t(1,234) ", US, "-1234"), ("1.234,5", UNK, "1234.5"), ("1'234,5", EU, "1234.5"), ("$(2)", US, "-2"), ("(1,234)(12)", US, "-1234"), ("EUR 5", EU, "5"), ("5 eur", EU, None), (",5", EU, "0.5")]
+    df = spark.createDataFrame([(i, r, loc) for i, (r, loc, _) in enumerate(raws)], "i int, raw_value string, locale string")
+    got = {r.i: r.parsed.value for r in A.parse_amounts(df).collect()}
+    assert got == {i: None if v is None else Decimal(v) for i, (_, _, v) in enumerate(raws)}
