@@ -30,16 +30,21 @@ def tied_model(spark, sf) -> Model:
     return Model(D.tied_ledger(spark, sf), D.scenarios(spark, sf), a, D.FORECAST_YEARS)
 
 
-def evidence(spark, sf):
-    f = FL.Filing(spark, sf, D.tied_ledger(spark, sf), SETTLED)
+def filing(spark, sf, ledger=None):
+    """The filings of the companies that tie, over a ledger that is staged already or is staged here."""
+    return FL.Filing(spark, sf, cut_lineage(D.tied_ledger(spark, sf)) if ledger is None else ledger, SETTLED)
+
+
+def evidence(f):
     printed, _ = FL.MP.build_ledger(FL.MP.normalise(f.mappings, f.reviewed))
     documents = f.documents.selectExpr("*", f"CASE WHEN {STALE} THEN reverse(hash) ELSE hash END AS found_hash")
     return PN.filing_evidence(f.reviewed, f.mappings, documents, printed)
 
 
 def panel(spark, sf):
-    """Over staged tables: the transactions are read once for the model and once for the filings."""
-    return PN.evaluate(tied_model(spark, sf).staged(stage_root(spark)), cut_lineage(evidence(spark, sf)))
+    """Over staged tables: the model and the filings share one ledger."""
+    m = tied_model(spark, sf).staged(stage_root(spark))
+    return PN.evaluate(m, cut_lineage(evidence(filing(spark, sf, m.ledger))))
 
 
 # ---- the same in SQL --------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from ..money import MONEY
 from ..operators import handoff as HO
 from ..operators import mapping as MP
 from ..operators import metrics as X
-from ..session import stage_root
+from ..session import cut_lineage, stage_root
 from ..sources import derived as D
 from ..sources import filings as FL
 from ..sources import readers as RD
@@ -17,7 +17,7 @@ from . import q_filing, q_panel  # noqa: F401  (their common table expressions)
 from .duck import sql
 from .q_ledger import full
 from .q_more import METRICS
-from .q_panel import SETTLED, TIED
+from .q_panel import TIED
 from .registry import as_double, register, sd
 
 
@@ -66,12 +66,13 @@ def s09(spark, sf):
 
 # ---- hand-off -----------------------------------------------------------------------------------
 def handoff(spark, sf):
-    from .q_panel import evidence
+    from .q_panel import evidence, filing
 
-    f = FL.Filing(spark, sf, D.tied_ledger(spark, sf), SETTLED)
+    ledger = cut_lineage(D.tied_ledger(spark, sf))
+    f = filing(spark, sf, ledger)
     printed, _ = MP.build_ledger(MP.normalise(f.mappings, f.reviewed))
-    pages = MP.statement_bookmarks(FL.raw_cells(spark, sf, D.tied_ledger(spark, sf))).selectExpr("document_id AS company_id", "CASE statement WHEN 'income' THEN 'income_statement' WHEN 'balance' THEN 'balance_sheet' ELSE 'cash_flow_statement' END AS section", "page")
-    return HO.publish(evidence(spark, sf), printed, pages, stage_root(spark))
+    pages = MP.statement_bookmarks(FL.raw_cells(spark, sf, ledger)).selectExpr("document_id AS company_id", "CASE statement WHEN 'income' THEN 'income_statement' WHEN 'balance' THEN 'balance_sheet' ELSE 'cash_flow_statement' END AS section", "page")
+    return HO.publish(cut_lineage(evidence(f)), printed, pages, stage_root(spark))
 
 
 _REFUSED = (f"SELECT company_id, 'displayed_scale is not confirmed' AS reason FROM pevid WHERE NOT ({FL.SCALE_OK}) UNION ALL SELECT company_id, 'reporting_currency is not confirmed' FROM pevid WHERE NOT ({FL.CURRENCY_OK})"

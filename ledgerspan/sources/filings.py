@@ -50,8 +50,8 @@ def _case(column: str, pairs) -> str:
 
 
 def raw_cells(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
-    """document_id, page, table_id, row, col, text, caption of the derived ledger, or of another one."""
-    led = cut_lineage(D.ledger(spark, sf_dir) if ledger is None else ledger).selectExpr(
+    """document_id, page, table_id, row, col, text, caption of the derived ledger, or of another one, which is read six times: hand in a stage table."""
+    led = (cut_lineage(D.ledger(spark, sf_dir)) if ledger is None else ledger).selectExpr(
         "company_id", "account", "year", "value", f"{_case('statement', PAGES.items())} AS page", f"{_case('account', ROWS.items())} AS row",
         f"concat(CASE WHEN company_id % 10 IN (3, 7) THEN '' ELSE 'Consolidated ' END, {_case('statement', CAPTIONS.items())}, CASE WHEN company_id % 10 = 7 THEN ' by segment' ELSE '' END) AS caption",
     )

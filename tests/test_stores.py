@@ -118,3 +118,13 @@ def test_driver_files_refuse_what_they_cannot_hold(spark):
     assert refused["bad", "drivers", "beta"] == "not given: source" and refused["bad", "drivers", "x 1990E"] == "not a modelled year" and refused["bad", "drivers", "y"] == "unknown basis"
     assert refused["bad", "drivers", "z"] == "value: out of range" and refused["bad", "tax", "2002E"] == "not given: basis" and refused["none", "tax", "2002E"] == "no tax block"
     assert refused["bad", "segments", "n"] == "value: absent"
+
+
+def test_a_hand_off_builds_its_filings_once(spark, monkeypatch):
+    from ledgerspan.plans import q_store as QS
+
+    built, real = [], QS.FL.Filing.__init__
+    monkeypatch.setattr(QS.FL.Filing, "__init__", lambda self, *a, **k: (built.append(1), real(self, *a, **k))[1])
+    monkeypatch.setattr(QS.HO, "publish", lambda evidence, ledger, pages, root: (ledger, pages, evidence))
+    _, _, evidence = QS.handoff(spark, "/root/testdata/sf0.001")
+    assert len(built) == 1 and evidence.columns[0] == "company_id"
