@@ -6,6 +6,8 @@ from types import SimpleNamespace
 
 from ledgerspan.operators import exports as EX
 from ledgerspan.operators import scenarios as S
+from ledgerspan.plans import q_panel
+from ledgerspan.session import stage_root
 
 
 def _plan(df) -> str:
@@ -37,3 +39,10 @@ def test_limitations_read_the_status_once(spark):
     df = EX.limitations(SimpleNamespace(status=status))
     assert sorted(map(tuple, df.collect())) == [(1, "base", "forecast", "drivers"), (1, "base", "valuation", "missing: beta"), (3, "base", "forecast", "no actual period")]
     assert "Union" not in _plan(df)
+
+
+def test_staged_resolution_is_spread_again(spark):
+    sf = "/root/testdata/sf0.001"
+    m = q_panel.tied_model(spark, sf).staged(stage_root(spark))
+    assert "REPARTITION_BY_NUM" in _plan(m.resolved_all)
+    assert m.resolved_all.count() == q_panel.tied_model(spark, sf).resolved_all.count()
