@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import dims
 from ..functions import amounts as A
 from ..functions import labels as LB
-from ..layers import settle
+from ..layers import settle, spread
 
 TABLE = ["document_id", "table_id"]
 
 
 def clustered(cells: DataFrame) -> DataFrame:
-    return cells.repartition(*TABLE)
+    return spread(cells, *TABLE)
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import dims
 from ..functions import labels as LB
-from ..layers import settle
+from ..layers import settle, spread
 from ..money import MONEY, close
 from . import ledger as L
 
@@ -48,7 +48,7 @@ def no_proposal_reason(facts: DataFrame) -> DataFrame:
 def latest_batch(mappings: DataFrame) -> DataFrame:
     """Replay of an append-only mapping log: the newest batch of each fact replaces the earlier ones."""
     w = Window.partitionBy("document_id", "fact_id")
-    return mappings.withColumn("newest", F.max("version").over(w)).where("version = newest").drop("newest")
+    return spread(mappings, "document_id", "fact_id").withColumn("newest", F.max("version").over(w)).where("version = newest").drop("newest")
 
 
 def split_violations(mappings: DataFrame, facts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import dims
+from ..layers import spread
 from .facts import effective_value, outstanding
 
 DOCUMENT_CODES = ("SCALE_UNCONFIRMED", "CURRENCY_UNCONFIRMED")
@@ -12,7 +13,7 @@ DOCUMENT_CODES = ("SCALE_UNCONFIRMED", "CURRENCY_UNCONFIRMED")
 
 def latest_decision(decisions: DataFrame) -> DataFrame:
     """Last decision per fact in (at, event_id) order."""
-    return decisions.groupBy("document_id", "fact_id").agg(
+    return spread(decisions, "document_id", "fact_id").groupBy("document_id", "fact_id").agg(
         F.max_by(F.struct("action", "actor", "reason", "corrected_value"), F.struct("at", "event_id")).alias("d")
     ).select("document_id", "fact_id", "d.*")
 
