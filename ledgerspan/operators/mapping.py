@@ -262,7 +262,11 @@ def trace_facts(mappings: DataFrame, facts: DataFrame, ledger: DataFrame) -> Dat
 
 def cell_checks(mappings: DataFrame, facts: DataFrame, ledger: DataFrame, gated: DataFrame) -> DataFrame:
     """Two checks per company: every historical cell cites a page (C10), and rests on verified facts (C11)."""
-    t = trace_facts(mappings, facts, ledger).join(gated.select(F.col("document_id").alias("company_id"), "fact_id", "verified"), ["company_id", "fact_id"], "left")
-    cell = t.groupBy("company_id", "statement", "account", "year").agg(F.max(F.col("fact_page").isNotNull()).alias("cited"), F.every(F.coalesce("verified", F.lit(False))).alias("sound"))
+    key = ["company_id", "statement", "account", "year"]
+    c = _joined(mappings, facts).join(gated.select("document_id", "fact_id", "verified"), ["document_id", "fact_id"], "left")
+    c = c.selectExpr("document_id AS company_id", "statement", "account", "CAST(regexp_extract(period_label, '(\\\\d{4})', 1) AS INT) AS year", "page", "verified")
+    # the facts of a cell are judged before they meet the ledger
+    per = c.groupBy(*key).agg(F.max(F.col("page").isNotNull()).alias("has_page"), F.every(F.coalesce("verified", F.lit(False))).alias("all_verified"))
+    cell = ledger.select(*key).join(per, key, "left").groupBy(*key).agg(F.max(F.coalesce("has_page", F.lit(False))).alias("cited"), F.every(F.coalesce("all_verified", F.lit(False))).alias("sound"))
     n = cell.groupBy("company_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("cited")).alias("bare"), F.count_if(~F.col("sound")).alias("unsound"))
     return n.selectExpr("company_id", "cells", L.stacked([("'every cell cites a page'", "bare"), ("'every cell is verified'", "unsound")], ("check_name", "broken"))).withColumn("status", F.when(F.col("broken") > 0, "FAIL").otherwise("PASS"))
