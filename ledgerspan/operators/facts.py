@@ -1,7 +1,7 @@
 """Raw page-table cells to located, parsed, scored facts.
 
 raw_cell: document_id, page, table_id, row, col, text, caption. A table is bounded by its page, so
-windows over one table stay small; everything is clustered once on (document_id, table_id).
+windows over one table stay small; everything is clustered once on document_id.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ TABLE = ["document_id", "table_id"]
 
 
 def clustered(cells: DataFrame) -> DataFrame:
-    return spread(cells, *TABLE)
+    """Clustered on the document, as all that follows is: joins and groupings by document and more move no cell again."""
+    return spread(cells, "document_id")
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import dims
+from ..session import cut_lineage, joins_keep_clustering
 
 BUCKETS = 32
 NEEDED_FIELDS = ("displayed_scale", "reporting_currency")
@@ -38,18 +39,18 @@ def publish(evidence: DataFrame, ledger: DataFrame, pages: DataFrame, root: str)
     """(published ledger, published profile, refusals) under `root`."""
     spark = ledger.sparkSession
 
-    def staged(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    candidate, no = staged(ledger, "candidate"), staged(refusals(evidence, ledger), "refusals")
+    # both lie clustered on the company: what refuses a company meets its rows without moving them, and the ledger is worked out once
+    candidate = cut_lineage(ledger, "company_id", path=f"{root}/candidate")
+    no = cut_lineage(refusals(evidence, candidate), "company_id", path=f"{root}/refusals")
     clear = candidate.join(no, "company_id", "left_anti")
     out = []
     for name, rows in (("ledger", clear), ("profile", profile(evidence, candidate, pages).join(no, "company_id", "left_anti"))):
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("company_id"), F.lit(BUCKETS)).cast("int"))
+        rows = rows.repartition("bucket") if name == "profile" else rows  # a row per company: else every task writes a file per bucket
         path = f"{root}/published/{name}"
         earlier = _kept(spark, path, candidate.select("company_id").distinct(), rows)
-        (rows if earlier is None else rows.unionByName(earlier)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+        with joins_keep_clustering(spark):
+            (rows if earlier is None else rows.unionByName(earlier)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
         out.append(spark.read.schema(rows.schema).parquet(path).drop("bucket"))
     return out[0], out[1], no
 

@@ -11,17 +11,18 @@ from .. import dims
 from ..functions import labels as LB
 from ..layers import settle, spread
 from ..money import MONEY, close
+from ..session import cut_lineage
 from . import ledger as L
 
 
 def propose(facts: DataFrame, limit: int = 3) -> DataFrame:
     """Ranked accounts per fact; blocked labels and already rejected facts get none.
 
-    The rules run once per distinct label and statement. The join back is a broadcast where the optimizer sees that these are few, else a
-    sort-merge join whose hot labels AQE splits. The facts are read twice, so hand in a stage table."""
+    The rules run once per distinct label and statement, which are a stage table: the join back is a broadcast where the optimizer sees that
+    these are few, and moves no fact; else a sort-merge join whose hot labels AQE splits. The facts are read twice, so hand in a stage table."""
     clean = settle(facts.withColumn("_label", LB.squeeze(F.col("raw_label"))), facts.columns)
     known = settle(clean.select("_label", "statement").distinct().toDF("_known", "_on"), ())
-    known = settle(known.withColumn("candidates", LB.candidates(F.col("_known"), F.col("_on"), limit)), ["_known", "_on"])
+    known = cut_lineage(known.withColumn("candidates", LB.candidates(F.col("_known"), F.col("_on"), limit)))
     return clean.join(known, (F.col("_label") == F.col("_known")) & F.col("statement").eqNullSafe(F.col("_on"))).select(*facts.columns, "candidates")
 
 
@@ -48,7 +49,7 @@ def no_proposal_reason(facts: DataFrame) -> DataFrame:
 def latest_batch(mappings: DataFrame) -> DataFrame:
     """Replay of an append-only mapping log: the newest batch of each fact replaces the earlier ones."""
     w = Window.partitionBy("document_id", "fact_id")
-    return spread(mappings, "document_id", "fact_id").withColumn("newest", F.max("version").over(w)).where("version = newest").drop("newest")
+    return spread(mappings, "document_id").withColumn("newest", F.max("version").over(w)).where("version = newest").drop("newest")
 
 
 def split_violations(mappings: DataFrame, facts: DataFrame) -> DataFrame:
@@ -249,8 +250,9 @@ def version_history(mappings: DataFrame) -> DataFrame:
 
 def trace(mappings: DataFrame, facts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every ledger cell with the facts, pages and decisions behind it."""
-    c = citations(mappings, facts).selectExpr("document_id AS company_id", "statement", "account", "CAST(regexp_extract(period_label, '(\\\\d{4})', 1) AS INT) AS year", "facts", "printed", "page AS cited_page")
-    return ledger.join(c, ["company_id", "statement", "account", "year"], "left").withColumn("has_lineage", F.coalesce(F.size("facts") > 0, F.lit(False)))
+    # a citation has a fact at least, so that one is there says it all, and who asks no more builds no lists
+    c = citations(mappings, facts).selectExpr("document_id AS company_id", "statement", "account", "CAST(regexp_extract(period_label, '(\\\\d{4})', 1) AS INT) AS year", "facts", "printed", "page AS cited_page", "true AS _cited")
+    return ledger.join(c, ["company_id", "statement", "account", "year"], "left").withColumn("has_lineage", F.coalesce("_cited", F.lit(False))).drop("_cited")
 
 
 def trace_facts(mappings: DataFrame, facts: DataFrame, ledger: DataFrame) -> DataFrame:

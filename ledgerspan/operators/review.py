@@ -13,7 +13,7 @@ DOCUMENT_CODES = ("SCALE_UNCONFIRMED", "CURRENCY_UNCONFIRMED")
 
 def latest_decision(decisions: DataFrame) -> DataFrame:
     """Last decision per fact in (at, event_id) order."""
-    return spread(decisions, "document_id", "fact_id").groupBy("document_id", "fact_id").agg(
+    return spread(decisions, "document_id").groupBy("document_id", "fact_id").agg(
         F.max_by(F.struct("action", "actor", "reason", "corrected_value"), F.struct("at", "event_id")).alias("d")
     ).select("document_id", "fact_id", "d.*")
 

@@ -32,7 +32,7 @@ def tied_model(spark, sf) -> Model:
 
 def filing(spark, sf, ledger=None):
     """The filings of the companies that tie, over a ledger that is staged already or is staged here."""
-    return FL.Filing(spark, sf, cut_lineage(D.tied_ledger(spark, sf)) if ledger is None else ledger, SETTLED)
+    return FL.Filing(spark, sf, cut_lineage(D.tied_ledger(spark, sf), "company_id") if ledger is None else ledger, SETTLED)
 
 
 def evidence(f):

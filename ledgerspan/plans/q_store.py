@@ -68,11 +68,11 @@ def s09(spark, sf):
 def handoff(spark, sf):
     from .q_panel import evidence, filing
 
-    ledger = cut_lineage(D.tied_ledger(spark, sf))
+    ledger = cut_lineage(D.tied_ledger(spark, sf), "company_id")
     f = filing(spark, sf, ledger)
     printed, _ = MP.build_ledger(MP.normalise(f.mappings, f.reviewed))
     pages = MP.statement_bookmarks(FL.raw_cells(spark, sf, ledger)).selectExpr("document_id AS company_id", "CASE statement WHEN 'income' THEN 'income_statement' WHEN 'balance' THEN 'balance_sheet' ELSE 'cash_flow_statement' END AS section", "page")
-    return HO.publish(cut_lineage(evidence(f)), printed, pages, stage_root(spark))
+    return HO.publish(cut_lineage(evidence(f), "company_id"), printed, pages, stage_root(spark))
 
 
 _REFUSED = (f"SELECT company_id, 'displayed_scale is not confirmed' AS reason FROM pevid WHERE NOT ({FL.SCALE_OK}) UNION ALL SELECT company_id, 'reporting_currency is not confirmed' FROM pevid WHERE NOT ({FL.CURRENCY_OK})"

@@ -6,6 +6,8 @@ format, so the volume follows the ledger and the round trip can be checked.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import labels as LB
@@ -50,8 +52,9 @@ def _case(column: str, pairs) -> str:
 
 
 def raw_cells(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
-    """document_id, page, table_id, row, col, text, caption of the derived ledger, or of another one, which is read six times: hand in a stage table."""
-    led = (cut_lineage(D.ledger(spark, sf_dir)) if ledger is None else ledger).selectExpr(
+    """document_id, page, table_id, row, col, text, caption of the derived ledger, or of another one, which is read six times: hand in a stage table.
+    Where that is clustered on the company, no cell moves."""
+    led = (cut_lineage(D.ledger(spark, sf_dir), "company_id") if ledger is None else ledger).selectExpr(
         "company_id", "account", "year", "value", f"{_case('statement', PAGES.items())} AS page", f"{_case('account', ROWS.items())} AS row",
         f"concat(CASE WHEN company_id % 10 IN (3, 7) THEN '' ELSE 'Consolidated ' END, {_case('statement', CAPTIONS.items())}, CASE WHEN company_id % 10 = 7 THEN ' by segment' ELSE '' END) AS caption",
     )
@@ -92,44 +95,42 @@ def facts(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) ->
 
 def decisions(facts: DataFrame, settled: str = "FALSE") -> DataFrame:
     """Two rounds of review over the facts, and a third that accepts what is still rejected where `settled` holds; the last one wins."""
-    first = facts.selectExpr(
-        "document_id", "fact_id", "1L AS event_id", "TIMESTAMP'2024-01-01 09:00:00' AS at", "'reviewer-a' AS actor", "'checked against the page' AS reason",
-        "CASE WHEN parsed.value IS NULL THEN 'correct' WHEN (document_id + row + col) % 17 = 0 THEN 'reject' ELSE 'accept' END AS action",
-        f"CASE WHEN parsed.value IS NULL THEN CAST(100 AS {MONEY}) END AS corrected_value",
-    )
-    second = facts.where("(document_id + row + col) % 17 = 0 AND col = 4").selectExpr(
-        "document_id", "fact_id", "2L AS event_id", "TIMESTAMP'2024-01-02 09:00:00' AS at", "'reviewer-b' AS actor", "'second look' AS reason", "'accept' AS action", f"CAST(NULL AS {MONEY}) AS corrected_value"
-    )
-    third = facts.where(f"(document_id + row + col) % 17 = 0 AND parsed.value IS NOT NULL AND ({settled})").selectExpr(
-        "document_id", "fact_id", "3L AS event_id", "TIMESTAMP'2024-01-03 09:00:00' AS at", "'reviewer-c' AS actor", "'settled with the preparer' AS reason", "'accept' AS action", f"CAST(NULL AS {MONEY}) AS corrected_value"
-    )
-    both = first.unionByName(second)
-    return both if settled == "FALSE" else both.unionByName(third)
+    none = f"CAST(NULL AS {MONEY})"
+    row = lambda n, actor, reason, action, value: f"named_struct('event_id', {n}L, 'at', TIMESTAMP'2024-01-0{n} 09:00:00', 'actor', '{actor}', 'reason', '{reason}', 'action', {action}, 'corrected_value', {value})"
+    marked = "(document_id + row + col) % 17 = 0"
+    first = row(1, "reviewer-a", "checked against the page", f"CASE WHEN parsed.value IS NULL THEN 'correct' WHEN {marked} THEN 'reject' ELSE 'accept' END", f"CASE WHEN parsed.value IS NULL THEN CAST(100 AS {MONEY}) END")
+    second = f"CASE WHEN {marked} AND col = 4 THEN {row(2, 'reviewer-b', 'second look', repr('accept'), none)} END"
+    third = f"CASE WHEN {marked} AND parsed.value IS NOT NULL AND ({settled}) THEN {row(3, 'reviewer-c', 'settled with the preparer', repr('accept'), none)} END"
+    return facts.selectExpr("document_id", "fact_id", f"inline(array_compact(array({first}, {second}, {third})))")
 
 
 def mapping_log(reviewed: DataFrame) -> DataFrame:
     """Append-only mapping versions: 1 is the system proposal, 2 holds manual batches."""
     v1 = MP.propose_mappings(reviewed).withColumn("version", F.lit(1)).drop("score")
     lab = {a: t for a, t in LABELS}
-    base = reviewed.select("document_id", "fact_id", "raw_label", "col", "value")
-    split = base.where(f"document_id % 15 = 2 AND raw_label = '{lab['other_current_assets']}' AND col = 6 AND value IS NOT NULL").selectExpr(
-        "document_id", "fact_id",
-        f"stack(2, 'inventory', CAST(round(value * 0.4, 2) AS {MONEY}), 'other_current_assets', CAST(value - round(value * 0.4, 2) AS {MONEY})) AS (account, allocation)",
-    ).selectExpr("*", "'split' AS mapping_type")
-    moved = base.where(f"document_id % 14 = 6 AND raw_label = '{lab['other_noncurrent_assets']}'").selectExpr("document_id", "fact_id", "'inventory' AS account", f"CAST(NULL AS {MONEY}) AS allocation", "'one_to_one' AS mapping_type")
-    both = base.where(f"document_id % 14 = 6 AND raw_label = '{lab['cogs']}'").selectExpr("document_id", "fact_id", f"stack(2, 'cogs', CAST(NULL AS {MONEY}), 'gross_profit', CAST(NULL AS {MONEY})) AS (account, allocation)", "'one_to_one' AS mapping_type")
-    v2 = split.unionByName(moved).unionByName(both).withColumns({"sign": F.lit("as_printed"), "version": F.lit(2)})
+    of = lambda account, label: f"document_id % 14 = 6 AND raw_label = '{lab[label]}' THEN array({', '.join(account)})"
+    to = lambda account, value="NULL", kind="one_to_one": f"named_struct('account', '{account}', 'allocation', CAST({value} AS {MONEY}), 'mapping_type', '{kind}')"
+    split = ", ".join((to("inventory", "round(value * 0.4, 2)", "split"), to("other_current_assets", "value - round(value * 0.4, 2)", "split")))
+    batches = (f"CASE WHEN document_id % 15 = 2 AND raw_label = '{lab['other_current_assets']}' AND col = 6 AND value IS NOT NULL THEN array({split})"
+               f" WHEN {of([to('inventory')], 'other_noncurrent_assets')} WHEN {of([to('cogs'), to('gross_profit')], 'cogs')} END")
+    v2 = reviewed.selectExpr("document_id", "fact_id", f"inline({batches})").withColumns({"sign": F.lit("as_printed"), "version": F.lit(2)})
     return v1.unionByName(v2)
 
 
 class Filing:
-    """Facts, review and mapping of every derived filing. Facts and reviewed facts are stage tables:
-    they are read many times downstream, so each is materialised once on shared storage."""
+    """Facts, review and mapping of every derived filing. Facts, reviewed facts and mappings are stage tables clustered on the
+    document: they are read many times downstream, so each is materialised once on shared storage, and what joins them moves no row."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None, settled: str = "FALSE"):
         self.documents = documents(spark, sf_dir)
-        self.facts = cut_lineage(facts(spark, sf_dir, ledger))
+        self.facts = cut_lineage(facts(spark, sf_dir, ledger), "document_id")
         self.decisions = decisions(self.facts, settled)
-        self.reviewed = cut_lineage(RV.apply_decisions(self.facts, self.decisions))
-        self.log = mapping_log(self.reviewed.where("status <> 'rejected'"))
-        self.mappings = MP.latest_batch(self.log).withColumn("approved", F.expr("document_id % 12 <> 11"))
+        self.reviewed = cut_lineage(RV.apply_decisions(self.facts, self.decisions), "document_id")
+
+    @cached_property
+    def log(self) -> DataFrame:
+        return mapping_log(self.reviewed.where("status <> 'rejected'"))
+
+    @cached_property
+    def mappings(self) -> DataFrame:
+        return cut_lineage(MP.latest_batch(self.log).withColumn("approved", F.expr("document_id % 12 <> 11")), "document_id")
