@@ -26,8 +26,9 @@ STALE = "document_id % 21 = 20"  # files that changed after they were stored
 
 
 def tied_model(spark, sf) -> Model:
-    a = D.assumptions(spark, sf, rows=D.TIED_ASSUMPTIONS).selectExpr("*", f"{D.OBSERVED} AS date", "CAST(NULL AS STRING) AS url")
-    return Model(D.tied_ledger(spark, sf), D.scenarios(spark, sf), a, D.FORECAST_YEARS)
+    years = cut_lineage(D.company_year(spark, sf))  # the transactions are read once for ledger and drivers
+    a = D.assumptions(spark, sf, rows=D.TIED_ASSUMPTIONS, years=years).selectExpr("*", f"{D.OBSERVED} AS date", "CAST(NULL AS STRING) AS url")
+    return Model(D.tied_ledger(spark, sf, years), D.scenarios(spark, sf), a, D.FORECAST_YEARS)
 
 
 def filing(spark, sf, ledger=None):
@@ -44,7 +45,7 @@ def evidence(f):
 def panel(spark, sf):
     """Over staged tables: the model and the filings share one ledger."""
     m = tied_model(spark, sf).staged(stage_root(spark))
-    return PN.evaluate(m, cut_lineage(evidence(filing(spark, sf, m.ledger))))
+    return PN.evaluate(m, cut_lineage(evidence(filing(spark, sf, m.ledger)), "company_id"))
 
 
 # ---- the same in SQL --------------------------------------------------------------------------

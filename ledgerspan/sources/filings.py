@@ -66,7 +66,8 @@ def raw_cells(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None)
     )
     key = ["company_id AS document_id", "page", "concat(company_id, '-', page) AS table_id"]
     values = led.selectExpr(*key, "row", f"year - {D.FIRST_YEAR - 1} AS col", f"{text} AS text", "caption")
-    labels = led.selectExpr(*key, "row", "0 AS col", f"{_case('account', LABELS)} AS text", "caption").distinct()
+    # texts are made of the few rows that are left, which are told apart once more, because two accounts may read alike
+    labels = led.select("company_id", "page", "row", "account", "caption").distinct().selectExpr(*key, "row", "0 AS col", f"{_case('account', LABELS)} AS text", "caption").distinct()
     tables = led.select("company_id", "page", "year", "caption").distinct()
     n = D.LAST_YEAR - D.FIRST_YEAR + 1
     head = tables.selectExpr(*key, "explode(CASE WHEN company_id % 10 = 4 AND page = 2 THEN array(0, 99) ELSE array(0) END) AS row", f"year - {D.FIRST_YEAR - 1} AS col", "CAST(year AS STRING) AS text", "caption")

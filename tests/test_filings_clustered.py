@@ -88,3 +88,32 @@ def test_lineage_is_known_without_lists_and_refusals_read_the_staged_ledger(fili
     assert {(r.company_id, r.facts, r.bare) for r in ev.collect()} == {(k, 8, 0) for k in (6, 7, 13, 17, 32)}
     ledger, _, refused = HO.publish(ev, printed, printed.selectExpr("company_id", "'balance_sheet' AS section", "page"), str(tmp_path / "out"))
     assert {r.company_id for r in ledger.collect()} | {r.company_id for r in refused.collect()} == {6, 7, 13, 17, 32}
+
+
+def test_the_panel_reads_the_transactions_once_and_its_ledger_stays_by_company(spark, tmp_path):
+    from datetime import datetime
+
+    from ledgerspan.plans.q_panel import tied_model
+    from ledgerspan.session import stage_root
+    from ledgerspan.sources import derived as DV
+
+    line = "l_suppkey LONG, l_partkey LONG, l_shipdate TIMESTAMP, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_quantity DOUBLE, l_returnflag STRING, l_linestatus STRING"
+    rows = [(k, p, datetime(y, 3, 4), 100.0 * k + p, 0.05, 0.02, 2.0, "RA"[p % 2], "FO"[p % 2]) for k in (1, 2) for p in (1, 2, 3) for y in (2000, 2001)]
+    spark.createDataFrame([*rows, *rows[:2]], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, 10.0 * p) for p in (1, 2, 3)], "p_partkey LONG, p_retailprice DOUBLE").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1,), (2,), (3,)], "s_suppkey LONG").write.parquet(f"{tmp_path}/supplier.parquet")
+    m, sf = tied_model(spark, str(tmp_path)), str(tmp_path)
+    for df in (m.ledger, m.assumptions):
+        assert "l_suppkey" not in df._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(m.ledger) == told(DV.tied_ledger(spark, sf)) and m.ledger.count() > 100
+    assert told(m.assumptions.select("company_id", "scenario_id", "code", "value", "seq")) == told(DV.assumptions(spark, sf, rows=DV.TIED_ASSUMPTIONS).select("company_id", "scenario_id", "code", "value", "seq"))
+    s = m.staged(stage_root(spark))
+    assert told(s.ledger) == told(m.ledger)
+    assert not _moved(s.ledger.groupBy("company_id", "year").count()) and not _moved(FL.raw_cells(spark, sf, s.ledger).distinct())
+
+
+def test_accounts_that_read_alike_give_one_label(spark):
+    ledger = cut_lineage(spark.createDataFrame([(1, "income", a, y, D(5), "reported") for a in ("revenue", "unheard_of", "unknown") for y in (2000, 2001)], LEDGER), "company_id")
+    labels = FL.raw_cells(spark, "", ledger).where("col = 0 AND (row < 90 OR row IS NULL) AND (text <> '' OR text IS NULL)").collect()
+    assert sorted((r.text is None, r.text) for r in labels if r.text) == [(False, "Net sales")] and len([r for r in labels if r.text is None]) == 1
