@@ -15,22 +15,24 @@ from ..session import cut_lineage
 from . import ledger as L
 
 
-def propose(facts: DataFrame, limit: int = 3) -> DataFrame:
+def propose(facts: DataFrame, limit: int = 3, staged: bool = False) -> DataFrame:
     """Ranked accounts per fact; blocked labels and already rejected facts get none.
 
-    The rules run once per distinct label and statement, which are a stage table: the join back is a broadcast where the optimizer sees that
-    these are few, and moves no fact; else a sort-merge join whose hot labels AQE splits. The facts are read twice, so hand in a stage table."""
+    The rules run once per distinct label and statement. The join back is a broadcast where the optimizer sees that these are few, else a
+    sort-merge join whose hot labels AQE splits. The facts are read twice, so hand in a stage table. staged: the distinct labels are written
+    first, so that their number is known when the join is planned, and a broadcast of few moves no fact."""
     clean = settle(facts.withColumn("_label", LB.squeeze(F.col("raw_label"))), facts.columns)
     known = settle(clean.select("_label", "statement").distinct().toDF("_known", "_on"), ())
-    known = cut_lineage(known.withColumn("candidates", LB.candidates(F.col("_known"), F.col("_on"), limit)))
+    known = settle(known.withColumn("candidates", LB.candidates(F.col("_known"), F.col("_on"), limit)), ["_known", "_on"])
+    known = cut_lineage(known) if staged else known
     return clean.join(known, (F.col("_label") == F.col("_known")) & F.col("statement").eqNullSafe(F.col("_on"))).select(*facts.columns, "candidates")
 
 
-def propose_mappings(facts: DataFrame, already: DataFrame | None = None) -> DataFrame:
+def propose_mappings(facts: DataFrame, already: DataFrame | None = None, staged: bool = False) -> DataFrame:
     """The best candidate of every fact not yet mapped, with the sign the chart expects."""
     f = facts if already is None else facts.join(already.select("document_id", "fact_id").distinct(), ["document_id", "fact_id"], "left_anti")
     return (
-        propose(f).where(F.size("candidates") > 0)
+        propose(f, staged=staged).where(F.size("candidates") > 0)
         .select(
             "document_id", "fact_id", F.col("candidates")[0]["account"].alias("account"), F.col("candidates")[0]["score"].alias("score"),
             F.lit("one_to_one").alias("mapping_type"), LB.infer_sign(F.col("candidates")[0]["account"], F.col("value")).alias("sign"),

@@ -107,7 +107,7 @@ def decisions(facts: DataFrame, settled: str = "FALSE") -> DataFrame:
 
 def mapping_log(reviewed: DataFrame) -> DataFrame:
     """Append-only mapping versions: 1 is the system proposal, 2 holds manual batches."""
-    v1 = MP.propose_mappings(reviewed).withColumn("version", F.lit(1)).drop("score")
+    v1 = MP.propose_mappings(reviewed, staged=True).withColumn("version", F.lit(1)).drop("score")
     lab = {a: t for a, t in LABELS}
     of = lambda account, label: f"document_id % 14 = 6 AND raw_label = '{lab[label]}' THEN array({', '.join(account)})"
     to = lambda account, value="NULL", kind="one_to_one": f"named_struct('account', '{account}', 'allocation', CAST({value} AS {MONEY}), 'mapping_type', '{kind}')"
